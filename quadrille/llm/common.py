@@ -151,3 +151,30 @@ def split_large(df: DataFrame, keys: list[str], limit: int, by: Column) -> DataF
         return df.withColumns({"n_chunks": F.lit(1), "chunk": F.lit(0)})
     out = df.join(counts, keys, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
     return out.withColumn("chunk", F.pmod(F.xxhash64(by), F.col("n_chunks").cast("long")).cast("int"))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what sizes groups and buckets."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def text_groups(docs: DataFrame, total_bytes: int, group_bytes: int) -> DataFrame:
+    """(gid, doc_id, text), dealt by gid into groups of about group_bytes of text; all rows of a doc_id share a group.
+
+    The same frame read several times in a query is shuffled once: Spark reuses
+    the exchange.
+    """
+    groups = max(1, -(-total_bytes // group_bytes))
+    gid = F.pmod(F.xxhash64("doc_id"), F.lit(groups).cast("long"))
+    return docs.select(gid.alias("gid"), "doc_id", "text").repartition("gid")
+
+
+class Memo(dict):
+    """A function's results by argument."""
+
+    def __init__(self, fn: Callable) -> None:
+        self.fn = fn
+
+    def __missing__(self, key):
+        value = self[key] = self.fn(key)
+        return value

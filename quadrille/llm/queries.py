@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op5_simhash_near_dedup": "simhash",
+    "op6_source_mixing": "mixing",
+    "op8_substring_dedup": "substring_dedup",
+    "op9_line_dedup": "line_dedup",
     "op10_exact_dedup": "exact_dedup",
 }
 
