@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that defines a function of that name (and SQL, where SQL can express it).
 MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
+    "op2_quality_classifier": "quality",
     "op5_simhash_near_dedup": "simhash",
     "op6_source_mixing": "mixing",
+    "op7_language_id": "language",
     "op8_substring_dedup": "substring_dedup",
     "op9_line_dedup": "line_dedup",
     "op10_exact_dedup": "exact_dedup",
