@@ -16,6 +16,7 @@ _STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # an open store holds 4 MB of disk however small it is
 }
 
 
