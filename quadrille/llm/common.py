@@ -159,14 +159,14 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def text_groups(docs: DataFrame, total_bytes: int, group_bytes: int) -> DataFrame:
-    """(gid, doc_id, text), dealt by gid into groups of about group_bytes of text; all rows of a doc_id share a group.
+    """Adds gid to docs and deals them by it into groups of about group_bytes of text; all rows of a doc_id share a group.
 
     The same frame read several times in a query is shuffled once: Spark reuses
     the exchange.
     """
     groups = max(1, -(-total_bytes // group_bytes))
     gid = F.pmod(F.xxhash64("doc_id"), F.lit(groups).cast("long"))
-    return docs.select(gid.alias("gid"), "doc_id", "text").repartition("gid")
+    return docs.select(gid.alias("gid"), "*").repartition("gid")
 
 
 class Memo(dict):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op2_quality_classifier": "quality",
+    "op3_lm_scoring": "lm",
     "op4_sentencepiece": "sentencepiece_codec",
     "op5_simhash_near_dedup": "simhash",
     "op6_source_mixing": "mixing",

@@ -117,7 +117,7 @@ def _later(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["gid", "late"])
 
 
-def substring_dedup(docs: DataFrame, *, width: int = 50, group_bytes: int = 8 << 20, bucket_windows: int = 8_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, width: int = 50, group_bytes: int = 4 << 20, bucket_windows: int = 8_000_000) -> DataFrame:
     """Removes the words of every window of `width` words that starts earlier somewhere in docs.
 
     Every window gets a Rabin-Karp hash. Documents are dealt into groups of
@@ -138,7 +138,7 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, group_bytes: int = 8 <<
     """
     total = text_bytes(docs)
     bits = max(8, (total // 5 // bucket_windows).bit_length())
-    groups = text_groups(docs, total, group_bytes)
+    groups = text_groups(docs.select("doc_id", "text"), total, group_bytes)
 
     def hashed(frame: pd.DataFrame) -> pd.DataFrame:
         g = _Group(frame, width)
