@@ -76,7 +76,11 @@ def route(capacity: list[int], members: list[list[int]], quota: list[float], max
 
 
 def _filled(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Takes documents in seeded order as long as they fit in what is left of the group's words; larger ones are passed over."""
+    """Takes documents in seeded order as long as they fit in what is left of the group's words; larger ones are passed over.
+
+    Then, while words are left, the exchange of one taken document for one not
+    taken that leaves the fewest.
+    """
     chosen = np.zeros(len(frame), dtype=bool)
     size, room = frame["size"].to_numpy(), frame["room"].to_numpy()
     for s, e in zip(starts[:-1], starts[1:]):
@@ -84,10 +88,18 @@ def _filled(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         for i in range(s, e):
             if size[i] <= left:
                 chosen[i], left = True, left - size[i]
+        for _ in range(4):
+            own, other = np.flatnonzero(chosen[s:e]) + s, np.flatnonzero(~chosen[s:e]) + s
+            gain = size[other][None, :] - size[own][:, None] if left else np.zeros((0, 0))
+            gain = np.where(gain <= left, gain, 0)
+            if not gain.size or gain.max() <= 0:
+                break
+            a, b = np.unravel_index(gain.argmax(), gain.shape)
+            chosen[own[a]], chosen[other[b]], left = False, True, left - gain[a, b]
     yield frame[["row_id"]][chosen]
 
 
-def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 2000, max_patterns: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 2000, max_patterns: int = 10_000, keep_columns: bool = False) -> DataFrame:
     """Mixes documents so that sources come near target weights.
 
     sources is an array of a document's sources (default: the column source
@@ -108,10 +120,13 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     take 0; a null source is a source of its own, an empty or null array counts
     as [null]. Rows that repeat a doc_id are documents of their own. The same
     rows give the same mix. Returns doc_id, sources, size, source_size, target
-    (the sums over the document's sources) and taken (words, repeats counted).
+    (the sums over the document's sources) and taken (words, repeats counted);
+    with keep_columns also the other columns of docs (which then has none of
+    these names).
     """
     members = F.array("source") if sources is None else F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    base = docs.select("doc_id", members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    carried = [c for c in docs.columns if c != "doc_id"] if keep_columns else []
+    base = docs.select("doc_id", *carried, members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
     base = base.withColumn("row_id", F.monotonically_increasing_id())
     base = stored(base, "mixing")
     sums = base.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
@@ -143,9 +158,10 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     rows = rows.join(before, F.col("sources").eqNullSafe(F.col("b_sources")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_sources", "b_bucket")
     edge = rows.where("room IS NOT NULL").select(F.to_json(F.struct("sources")).alias("pattern"), "draw", "doc_id", "row_id", "size", "room")
     some = map_groups(edge, ["pattern"], _filled, "row_id long", sort=("draw", "doc_id", "row_id")).withColumn("part", F.lit(True))
-    rows = rows.join(some, "row_id", "left")
+    part = rows.where("room IS NOT NULL").join(some, "row_id", "left")
+    rows = rows.where("room IS NULL").withColumn("part", F.lit(None).cast("boolean")).unionByName(part)
     taken = F.col("size") * (F.col("passes") + F.coalesce(F.col("whole"), F.lit(False)).cast("long") + F.coalesce(F.col("part"), F.lit(False)).cast("long"))
-    return rows.select("doc_id", "sources", "size", "source_size", "target", taken.alias("taken"), "row_id")
+    return rows.select("doc_id", *carried, "sources", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

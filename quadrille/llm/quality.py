@@ -148,7 +148,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, threshold: float = 0.3, seed: int = 5) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, threshold: float = 0.3, seed: int = 5, keep_columns: bool = False) -> DataFrame:
     """Scores every text of docs for quality, learning from labels.
 
     Words are counted in hashed buckets, once by their letters and once by
@@ -164,7 +164,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
     doc_id and text; other columns are ignored. Null and empty texts and those
     without words share one score. Without labels of both kinds all scores are
     0.5, or 1 or 0 if one kind is there. Returns doc_id, score (0 to 1),
-    predicted (1 if score >= threshold), one row per row of docs.
+    predicted (1 if score >= threshold), one row per row of docs; with
+    keep_columns, the other columns of docs come between (docs then has none
+    called score or predicted).
     """
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs, seed))
@@ -193,9 +195,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
             for a in range(0, len(frame), 500):
                 part = frame.iloc[a : a + 500]
                 score = model.probabilities(pooled(part["text"].tolist(), vectors.value, memo).astype(np.float64)) if model else np.full(len(part), constant)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+                yield part[carried].assign(score=score, predicted=(score >= threshold).astype(np.int32))
 
-    return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double, predicted int")
+    carried = docs.columns if keep_columns else ["doc_id"]
+    given = docs if keep_columns else docs.select("doc_id", "text")
+    return given.mapInPandas(scored, docs.select(*carried).schema.add("score", "double").add("predicted", "integer"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"quadrille.llm.{module}"), name) for name, module in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f"quadrille.llm.{module}"), name) for name, module in MODULES.items()}
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
