@@ -56,6 +56,18 @@ TABLES = {
       SELECT DISTINCT profesor_id, asignatura_id FROM {sesiones} WHERE id % 3 = 0""",
     "fechadas": """
       SELECT o_orderkey AS id, o_custkey % 50 + 50 * (o_orderkey // 4000) AS aula_id, CAST(o_orderdate AS DATE) AS dia, CAST(480 + (o_orderkey * 37) % 600 AS INT) AS ini, CAST(540 + (o_orderkey * 37) % 600 AS INT) AS fin FROM {orders}""",
+    "celdas": """
+      SELECT p_partkey // 60 AS doc, CAST(1 AS INT) AS page, CAST((p_partkey % 60) // 5 AS INT) AS fila, CAST(p_partkey % 5 AS INT) AS col,
+        CASE WHEN (p_partkey % 60) // 5 % 4 = 2 AND p_partkey // 60 % 3 = 1 THEN NULL ELSE concat(lpad(CAST(8 + (p_partkey % 60) // 5 AS VARCHAR), 2, '0'), ':30') END AS hora,
+        CASE (p_partkey // 5 // 2 + p_partkey % 5) % 6 WHEN 0 THEN '' WHEN 1 THEN concat('Cálculo I AULA ', CAST(p_partkey % 5 + 1 AS VARCHAR), ' PL', CAST(p_partkey % 5 AS VARCHAR))
+          WHEN 2 THEN CASE WHEN p_partkey // 5 % 2 = 0 THEN 'Estructuras de' ELSE 'Datos LSC 2' END WHEN 3 THEN CASE WHEN p_partkey // 5 % 2 = 0 THEN 'Física' ELSE 'LATC Grupo 1' END
+          WHEN 4 THEN '(*) aviso' ELSE concat('Álgebra lineal Grupo ', CAST(p_partkey % 5 AS VARCHAR)) END AS text
+      FROM {part}""",
+    "paginas": """
+      SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS page, CASE WHEN l_partkey % 3 = 0 THEN '  corto ' ELSE concat('Texto de la página con más de cincuenta caracteres útiles, número ', CAST(l_partkey AS VARCHAR)) END AS text FROM {lineitem}""",
+    "atomos": """
+      SELECT l_orderkey AS doc, CAST(1 AS INT) AS page, concat('t', CAST(l_linenumber AS VARCHAR)) AS text, CAST(10 + 60 * (l_linenumber % 3) + l_partkey % 7 AS DOUBLE) AS x0, CAST(10 + 30 * (l_linenumber // 3) AS DOUBLE) AS top,
+        CAST(40 + 60 * (l_linenumber % 3) AS DOUBLE) AS x1, CAST(20 + 30 * (l_linenumber // 3) AS DOUBLE) AS bottom, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS n FROM {lineitem}""",
     "textos": """
       SELECT p_partkey AS id, CASE p_partkey % 16
         WHEN 0 THEN concat('  Física   básica  I-', p_name) WHEN 1 THEN concat('AULA', CAST(p_size AS VARCHAR), '  ') WHEN 2 THEN concat('lab. química ', CAST(p_size AS VARCHAR))
