@@ -17,6 +17,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _ASCII_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows and bytes of text that a Python worker is handed at once, where the session doesn't say otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold: Spark's own defaults are made for short rows, and texts have no longest length."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or now == usual or (usual is None and not now.isdigit()) or (usual is None and int(now) > value):
+            spark.conf.set(key, str(value))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

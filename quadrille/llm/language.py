@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, fold
+from quadrille.llm.common import documents, fold, small_batches
 
 #: Cells for the hashed n-grams of 1, 2 and 3 letters.
 CELLS = (256, 2048, 4096)
@@ -72,6 +72,7 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, per_language: in
     there is nothing to learn from. Equal scores go to the name that sorts
     first. Returns doc_id, lang_pred, score (0 to 1), one row per row of docs.
     """
+    small_batches(docs.sparkSession)
     usable = training.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, stored
+from quadrille.llm.common import documents, small_batches, stored
 
 
 def line_dedup(docs: DataFrame, *, width: int = 3) -> DataFrame:
@@ -28,6 +28,7 @@ def line_dedup(docs: DataFrame, *, width: int = 3) -> DataFrame:
     doc_id, n_lines, n_removed, kept (the remaining lines joined by newlines),
     one row per row of docs.
     """
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     lines = F.split("text", "\n")
     starts = F.when(F.size("lines") >= width, F.sequence(F.lit(1), F.size("lines") - (width - 1)))

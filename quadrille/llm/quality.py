@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Memo, documents, fold
+from quadrille.llm.common import Memo, documents, fold, small_batches
 
 #: Buckets for words by their letters, and for their shapes; a shape says also whether the word repeats the one before.
 STEMS, SHAPES = 1 << 15, 1 << 12
@@ -36,7 +36,7 @@ def tokens(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]
         found = (text or "").encode("utf-8", "surrogatepass").split()
         sizes.append(len(found))
         words += found
-    if len(memo) > 500_000:
+    if len(memo) > 150_000:
         memo.clear()
     code = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
     same = np.zeros(len(code), dtype=bool)
@@ -169,6 +169,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
     called score or predicted).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs, seed))
     labels = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, train_rows / max(1, labels.count()))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Memo, documents
+from quadrille.llm.common import Memo, documents, small_batches
 
 SPACE = "▁"
 #: A unit is what no piece goes beyond: blanks and the letters after them, or blanks alone, or a line end.
@@ -100,9 +100,9 @@ class Codec:
         low = np.searchsorted(ordered, self.pieces.astype(f"S{width}"), "left")
         high = np.searchsorted(ordered, np.char.add(self.pieces, b"\xff").astype(f"S{width}"), "left")
         count = high - low
-        piece = np.repeat(np.arange(len(count)), count)
-        rank = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        return starts[array[rank]], piece
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        rank = np.arange(len(piece)) + np.repeat(low - np.cumsum(count) + count, count)
+        return starts[array[rank]].astype(np.int32), piece
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units of known letters only, one after another, and how many each has."""
@@ -112,10 +112,10 @@ class Codec:
         text = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
         letters = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 10))
         start, piece = self._edges(text, letters)
-        end = start + self.piece_len[piece]
-        unit = np.repeat(np.arange(len(units)), sizes + 1)[start]
+        end = start + self.piece_len.astype(np.int32)[piece]
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes + 1)[start]
         # relax: edges in the order of the position, within their unit, where they end
-        step = end - begin[unit]
+        step = end - begin.astype(np.int32)[unit]
         order = np.argsort(step, kind="stable")
         start, end, ids, step, unit = start[order], end[order], self.piece_ids[piece[order]], step[order], unit[order]
         cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
@@ -150,7 +150,7 @@ class Codec:
             found = _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
             rows.append(np.fromiter(map(number, found), dtype=np.int64, count=len(found)))
         names = list(units)
-        if len(self.seen) > 400_000:
+        if len(self.seen) > 150_000:
             self.seen.clear()
         parts = {u: self._parts(u) for u in names if u not in self.seen}
         todo = list({p for own in parts.values() for p in own if isinstance(p, str) and p not in self.seen})
@@ -204,7 +204,7 @@ def _model_bytes(spark: SparkSession, model: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, *, model: str | None = None, batch_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, *, model: str | None = None, batch_chars: int = 1_000_000) -> DataFrame:
     """SentencePiece ids of every text: doc_id, ids (array<int>), one row per row of docs.
 
     The model is BPE with byte fallback and no normalisation. A batch's
@@ -219,6 +219,7 @@ def encode(docs: DataFrame, *, model: str | None = None, batch_chars: int = 4_00
     docs needs doc_id and text; other columns are ignored. Null and empty
     texts have no ids; texts of any length are encoded whole.
     """
+    small_batches(docs.sparkSession)
     sent = _model_bytes(docs.sparkSession, model or default_model())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
