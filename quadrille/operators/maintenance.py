@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import text as T
 from quadrille.operators import conflicts as C
 from quadrille.operators.matching import match_teachers, resolve_rooms, resolve_subjects
+from quadrille.sources.storage import cut
 
 OPEN = "por_revisar"
 
@@ -185,27 +186,30 @@ def confirm_schedule(state: dict[str, DataFrame], draft: DataFrame, restrictions
     conflicts, and get the draft's: one group a code, one session a group, day
     and start. Conflicts are found once for all new sessions.
     """
-    q = draft.withColumn("qid", F.monotonically_increasing_id())
+    q = cut(draft.withColumn("qid", F.monotonically_increasing_id()))
     subj = resolve_subjects(q.select("qid", F.col("asignatura").alias("texto")), state["asignaturas"], state["aliases"])
-    room = resolve_rooms(q.select("qid", F.col("aula").alias("texto")), state["aulas"])
+    places = q.select(F.col("aula").alias("qid"), F.col("aula").alias("texto")).distinct()
+    room = cut(resolve_rooms(places, state["aulas"]))
+    room = q.select("qid", "aula").join(room.select(F.col("qid").alias("aula"), "aula_id", "error"), "aula").drop("aula")
     errors = subj.where("error IS NOT NULL").select("error").unionByName(room.where("error IS NOT NULL").select("error")).distinct()
     if not errors.isEmpty():
         return state, errors
     rows = q.join(subj.select("qid", "asignatura_id"), "qid").join(room.select("qid", "aula_id"), "qid")
-    rows = rows.withColumn("codigo", F.when(F.upper(F.trim(F.coalesce("grupo", F.lit("")))) == "", "UNICO").otherwise(F.upper(F.trim("grupo"))))
+    rows = cut(rows.withColumn("codigo", F.when(F.upper(F.trim(F.coalesce("grupo", F.lit("")))) == "", "UNICO").otherwise(F.upper(F.trim("grupo")))))
     touched = rows.select("asignatura_id").distinct()
     group = C.keep_first(rows, ["asignatura_id", "codigo"], ["orden"]).select("asignatura_id", "codigo", "tipo", "curso")
-    groups = new_ids(group, state["grupos"], ["asignatura_id", "codigo"])
+    groups = cut(new_ids(group, state["grupos"], ["asignatura_id", "codigo"]))
     old = state["grupos"].join(touched, "asignatura_id", "left_semi").select(F.col("id").alias("grupo_docente_id"))
     lost = state["sesiones"].join(old, "grupo_docente_id", "left_semi").select("id")
     keyed = rows.join(groups.select("asignatura_id", "codigo", F.col("id").alias("grupo_docente_id")), ["asignatura_id", "codigo"])
     session = C.keep_first(keyed, ["grupo_docente_id", "dia_semana", "ini"], ["orden"]).select("grupo_docente_id", "aula_id", "dia_semana", "ini", "fin")
     new = new_ids(session, state["sesiones"], ["grupo_docente_id", "dia_semana", "ini"]).select("id", "grupo_docente_id", "aula_id", "dia_semana", "ini", "fin")
+    new = cut(new)
     grupos = state["grupos"].join(touched, "asignatura_id", "left_anti").unionByName(groups, allowMissingColumns=True)
     sesiones = state["sesiones"].join(lost, "id", "left_anti").unionByName(new, allowMissingColumns=True)
     full = sesiones.select("id", "grupo_docente_id", "aula_id", "dia_semana", "ini", "fin").join(grupos.select(F.col("id").alias("grupo_docente_id"), "asignatura_id", F.col("codigo").alias("grupo_codigo"), F.col("tipo").alias("tipo_grupo"), "curso"), "grupo_docente_id").join(state["asignaturas"].select(F.col("id").alias("asignatura_id"), "periodo"), "asignatura_id")
     full = C.effective_teachers(full, sesiones.sparkSession.createDataFrame([], "sesion_id long, profesor_id long"), state["profesores_asignaturas"]).withColumn("mencion_ids", F.array().cast("array<bigint>"))
-    found = C.detect_for(full, new.select("id"), restrictions)
+    found = C.detect_for(cut(full), new.select("id"), restrictions)
     conflicts = sync_session_conflicts(state["conflictos"].join(C.touching(state["conflictos"], lost).select("hash"), "hash", "left_anti"), found, new.select("id"))
     return state | {"grupos": grupos, "sesiones": sesiones, "conflictos": conflicts}, errors
 
