@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, lower_ascii, shared_dir
+from quadrille.llm.common import documents, lower_ascii, shared_dir, stored
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM_CONF = {
@@ -25,7 +25,7 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _keyed_state(rows: DataFrame, folder: str, bytes_per_batch: int) -> DataFrame:
+def _keyed_state(rows: DataFrame, folder: str, bytes_per_batch: int, rows_per_state: int) -> DataFrame:
     """Streams (digest, doc_id, locator) through a keyed state in RocksDB and reads that state.
 
     The state never expires. For a digest it holds the row with the largest
@@ -33,8 +33,12 @@ def _keyed_state(rows: DataFrame, folder: str, bytes_per_batch: int) -> DataFram
     """
     spark = rows.sparkSession
     rows.write.parquet(f"{folder}/rows")
-    kept = {k: spark.conf.get(k, None) for k in _STREAM_CONF}
-    for k, v in _STREAM_CONF.items():
+    count = spark.read.schema(rows.schema).parquet(f"{folder}/rows").count()
+    # every partition of the state has files of its own, so that small ones cost more than what they hold
+    parts = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // rows_per_state)))
+    conf = _STREAM_CONF | {"spark.sql.shuffle.partitions": str(parts)}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(f"{folder}/rows")
@@ -48,7 +52,7 @@ def _keyed_state(rows: DataFrame, folder: str, bytes_per_batch: int) -> DataFram
     return state.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("keeper"), F.col("value.count").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, *, normalise: Callable[[Column], Column] = lower_ascii, digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 64 << 30, broadcast_rows: int = 100_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, normalise: Callable[[Column], Column] = lower_ascii, digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 64 << 30, rows_per_state: int = 100_000, broadcast_rows: int = 100_000) -> DataFrame:
     """Groups documents with equal normalised texts; the row with the largest doc_id stays.
 
     Digests go through a streaming aggregation whose state, on disk in RocksDB
@@ -66,7 +70,8 @@ def exact_dedup(docs: DataFrame, *, normalise: Callable[[Column], Column] = lowe
     are each counted; all rows of the kept id say kept. An empty table gives an
     empty result.
 
-    bytes_per_batch bounds a micro-batch. broadcast_rows bounds the digests
+    bytes_per_batch bounds a micro-batch; the state has a partition for every
+    rows_per_state rows, and no more than spark.sql.shuffle.partitions. broadcast_rows bounds the digests
     sent to executors to find the hits' texts; beyond that they are joined by
     a shuffle.
     """
@@ -75,7 +80,7 @@ def exact_dedup(docs: DataFrame, *, normalise: Callable[[Column], Column] = lowe
     text = normalise(F.coalesce(F.col("text"), F.lit("")))
     base = docs.select("doc_id", text.alias("_text"))
     rows = base.select("doc_id", digest(F.col("_text")).alias("digest"), *([] if digest is sha256 else [sha256(F.col("_text")).alias("text_digest")]), F.input_file_name().alias("locator"))
-    state = _keyed_state(rows, folder, bytes_per_batch)
+    state = _keyed_state(rows, folder, bytes_per_batch, rows_per_state)
     rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
     hits = state.where("group_size > 1").select("digest", F.col("keeper.doc_id").alias("keep_id"))
@@ -83,6 +88,7 @@ def exact_dedup(docs: DataFrame, *, normalise: Callable[[Column], Column] = lowe
     texts = base.withColumn("digest", digest(F.col("_text")))
     seen = texts.join(F.broadcast(hits) if few else hits, "digest")
     keeper = seen.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_text").alias("_kept_text"))
+    keeper = stored(keeper, "exact_dedup_kept")  # one row a digest, written so that AQE can split a digest with many hits in the join below
     differs = seen.join(keeper, "digest").where(F.col("_text") != F.col("_kept_text")).select("digest").distinct()
     differs.write.parquet(f"{folder}/collisions")
     differs = spark.read.schema(differs.schema).parquet(f"{folder}/collisions")
