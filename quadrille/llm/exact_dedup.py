@@ -13,7 +13,9 @@ _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # an open store holds 4 MB of disk however small it is
