@@ -141,15 +141,16 @@ def _linked(distance: int):
         a, b = [], []
         for s, e in zip(starts[:-1], starts[1:]):
             mine, seen = fp[s:e][home[s:e]], np.unique(fp[s:e][~home[s:e]])
-            if not len(mine) or len(seen) < 2:
+            if not len(mine) or not len(seen):
                 continue
             every = np.unique(np.concatenate([mine, seen]))
             forest, at = Forest(len(every)), np.searchsorted(every, seen)
             own = np.searchsorted(every, mine)
             step = max(1, 4_000_000 // len(seen))
             for lo in range(0, len(mine), step):
-                near = np.bitwise_count(mine[lo : lo + step, None] ^ seen) <= distance
-                for i in np.flatnonzero(near.sum(axis=1) > 1):
+                apart = np.bitwise_count(mine[lo : lo + step, None] ^ seen)
+                near = (apart <= distance) & (apart > 0)  # a home may sit in another chunk of visitors, so that itself never counts
+                for i in np.flatnonzero(near.any(axis=1)):
                     forest.join(np.append(at[near[i]], own[lo + i]))
             joined = np.flatnonzero(forest.label != np.arange(len(every)))
             a.append(every[joined])
