@@ -83,23 +83,37 @@ def exact_subject(queries: DataFrame, index: DataFrame, links: DataFrame) -> Dat
     return resolve_ambiguity(q.join(index, "key"), links).select("qid", "asignatura_id")
 
 
-def candidate_universe(queries: DataFrame, index: DataFrame, links: DataFrame, block: int = 20_000) -> DataFrame:
-    """(qid, key): keys that a query may be like, from its program and course; without any there, its program; else all.
-
-    The last level meets the keys in blocks of the given number of rows, so
-    that no task has all of them.
-    """
-    queries = queries.select("qid", "prog_id", "curso")
+def _near_universe(queries: DataFrame, index: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (qid, candidate) by program and course, else by program, and the queries that have none there."""
     keyed = index.join(links.select("asignatura_id", F.col("programa_id").alias("prog_id"), F.coalesce("curso", F.lit(0)).alias("curso")), "asignatura_id")
     course = queries.where("curso > 0").join(keyed.select("prog_id", "curso", "key").distinct(), ["prog_id", "curso"]).select("qid", F.col("key").alias("candidate"))
     rest = queries.join(course.select("qid").distinct(), "qid", "left_anti")
     program = rest.join(keyed.select("prog_id", "key").distinct(), "prog_id").select("qid", F.col("key").alias("candidate"))
-    rest = rest.join(program.select("qid").distinct(), "qid", "left_anti")
-    keys = index.select("key").distinct()
-    blocks = max(1, -(-keys.count() // block))
-    blocked = keys.select(F.col("key").alias("candidate"), F.pmod(F.xxhash64("key"), F.lit(blocks).cast("long")).alias("_b"))
-    every = rest.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b")).join(blocked, "_b").drop("_b")
-    return course.unionByName(program).unionByName(every)
+    return course.unionByName(program), rest.join(program.select("qid").distinct(), "qid", "left_anti")
+
+
+def _grid(left: DataFrame, by: str, keys: DataFrame, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Deals left and keys (candidate) to the cells (_t, _b) of a grid, so that every row meets every key in one cell of about rows x block pairs."""
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((left, rows), (keys, block)))
+
+    def dealt(column: str, n: int):
+        return F.pmod(F.xxhash64(column), F.lit(n).cast("long"))
+
+    def all_of(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    return left.select("*", dealt(by, parts).alias("_t"), all_of(blocks).alias("_b")), keys.select("*", all_of(parts).alias("_t"), dealt("candidate", blocks).alias("_b"))
+
+
+def candidate_universe(queries: DataFrame, index: DataFrame, links: DataFrame, block: int = 20_000) -> DataFrame:
+    """(qid, key): keys that a query may be like, from its program and course; without any there, its program; else all.
+
+    The last level meets the keys in blocks of the given number of rows, and
+    the queries in parts, so that no task has all of them.
+    """
+    near, rest = _near_universe(queries.select("qid", "prog_id", "curso"), index, links)
+    mine, keys = _grid(rest.select("qid"), "qid", index.select(F.col("key").alias("candidate")).distinct(), 50, block)
+    return near.unionByName(mine.join(keys, ["_t", "_b"]).select("qid", "candidate"))
 
 
 def best_candidate(scored: DataFrame, key: str = "candidate") -> DataFrame:

@@ -42,7 +42,8 @@ def j8(t):
     ("asignaturas", "enlaces"),
 )
 def j9(t):
-    pairs = M.candidate_universe(own(t, NAMES).where("qid % 8 <> 4"), M.subject_index(t.asignaturas, own(t, ALIASES)), t.enlaces)
+    """All queries. The SQL above still leaves out qid % 8 = 4; tests hold all of them against brute force."""
+    pairs = M.candidate_universe(own(t, NAMES), M.subject_index(t.asignaturas, own(t, ALIASES)), t.enlaces)
     return pairs.groupBy("qid").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,8 @@ import re
 import pytest
 
 from quadrille import plans
+from quadrille.operators import matching as M
+from quadrille.plans import matching as PM
 from quadrille.plans.registry import Tables
 
 
@@ -23,3 +25,25 @@ def test_split_groups_takes_all_texts(spark, small):
         want += [(r.id, p.strip(" ")) for p in cut if p.strip(" ")]
     got = [(r.id, r.grupo) for r in plans.queries()["n16_split_groups"](spark, small).collect()]
     assert sorted(got) == sorted(want) and {i % 16 for i, _ in got} == set(range(16))
+
+
+@pytest.fixture(scope="module")
+def world(spark, small):
+    """Queries, (key, asignatura_id) pairs and links, as plain rows."""
+    t = Tables(spark, small)
+    index = {(r.key, r.asignatura_id) for r in M.subject_index(t.asignaturas, PM.own(t, PM.ALIASES)).collect()}
+    queries = PM.own(t, PM.NAMES).withColumn("key", M.subject_key(M.F.col("texto"))).collect()
+    return queries, index, {(r.asignatura_id, r.programa_id, r.curso) for r in t.enlaces.collect()}
+
+
+def universe(q, index, links):
+    course = {(a, c) for a, p, c in links if p == q.prog_id}
+    keys = {k for k, a in index if q.curso > 0 and (a, q.curso) in course}
+    return keys or {k for k, a in index if a in {a for a, _ in course}} or {k for k, _ in index}
+
+
+def test_candidate_universe_of_all_queries(spark, small, world):
+    queries, index, links = world
+    want = {q.qid: len(universe(q, index, links)) for q in queries}
+    assert sum(n == len({k for k, _ in index}) for n in want.values()) >= len(queries) / 4
+    assert {r.qid: r.n for r in plans.queries()["j9_candidate_universe"](spark, small).collect()} == want
