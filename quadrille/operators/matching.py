@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.text import collapse, room_alnum, room_key, subject_key
+from quadrille.sources.storage import cut
 
 CUTOFF, AUTO, STRICT_MORE, PROGRAM, ROOM = 65, 88, 5, 85, 80
 
@@ -116,6 +117,24 @@ def candidate_universe(queries: DataFrame, index: DataFrame, links: DataFrame, b
     return near.unionByName(mine.join(keys, ["_t", "_b"]).select("qid", "candidate"))
 
 
+def best_of_all(texts: DataFrame, index: DataFrame, rows: int = 200, block: int = 2_000) -> DataFrame:
+    """(key, candidate, score): for each of the distinct texts (key) its most similar key of all, from CUTOFF; of equal ones the first."""
+
+    def best(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        candidates = sorted(keys["candidate"])
+        for text in texts["key"]:
+            scores = [token_set_ratio(text, c) for c in candidates]
+            top = max(scores, default=0.0)
+            if top >= CUTOFF:
+                found.append((text, candidates[scores.index(top)], top))
+        return pd.DataFrame(found, columns=["key", "candidate", "score"])
+
+    mine, keys = _grid(texts, "key", index.select(F.col("key").alias("candidate")).distinct(), rows, block)
+    cells = mine.groupBy("_t", "_b").cogroup(keys.groupBy("_t", "_b")).applyInPandas(best, "key string, candidate string, score double")
+    return best_candidate(cells.withColumn("qid", F.col("key"))).drop("qid")
+
+
 def best_candidate(scored: DataFrame, key: str = "candidate") -> DataFrame:
     """The highest score of each query; of equal ones the first key."""
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
@@ -127,14 +146,18 @@ def match_subjects(queries: DataFrame, subjects: DataFrame, aliases: DataFrame |
 
     EXACT for equal keys; else the most similar key of the query's universe,
     FUZZY_AUTO from 88 (93 if strict) and FUZZY_LOW_CONFIDENCE from 65; else
-    NO_MATCH. Only what has no equal key is scored.
+    NO_MATCH. Only what has no equal key is scored. Where all keys are the
+    universe, each distinct text meets them once, whatever queries have it.
     """
-    index = subject_index(subjects, aliases)
-    exact = exact_subject(queries, index, links).withColumns({"estado": F.lit("EXACT"), "score": F.lit(100.0)})
-    rest = queries.withColumn("key", subject_key(F.coalesce("texto", F.lit("")))).where(F.length("key") >= 2).join(exact.select("qid"), "qid", "left_anti")
-    pairs = candidate_universe(rest, index, links).join(rest.select("qid", "key"), "qid")
+    index = cut(subject_index(subjects, aliases))
+    exact = cut(exact_subject(queries, index, links).withColumns({"estado": F.lit("EXACT"), "score": F.lit(100.0)}))
+    rest = cut(queries.withColumn("key", subject_key(F.coalesce("texto", F.lit("")))).where(F.length("key") >= 2).join(exact.select("qid"), "qid", "left_anti"))
+    near, far = _near_universe(rest.select("qid", "prog_id", "curso"), index, links)
+    pairs = near.join(rest.select("qid", "key"), "qid")
     scored = pairs.withColumn("score", scorer(token_set_ratio)("key", "candidate")).where(F.col("score") >= CUTOFF)
     best = best_candidate(scored).select("qid", F.col("candidate").alias("key"), "score")
+    far = cut(rest.join(far.select("qid").distinct(), "qid", "left_semi").select("qid", "key"))
+    best = cut(best.unionByName(far.join(best_of_all(far.select("key").distinct(), index), "key").select("qid", F.col("candidate").alias("key"), "score")))
     chosen = resolve_ambiguity(best.join(index, "key").join(rest.select("qid", "prog_id", "curso"), "qid"), links)
     auto = F.col("score") >= AUTO + (STRICT_MORE if strict else 0)
     fuzzy = chosen.select("qid", "asignatura_id", F.when(auto, "FUZZY_AUTO").otherwise("FUZZY_LOW_CONFIDENCE").alias("estado"), F.bround("score", 2).alias("score"))

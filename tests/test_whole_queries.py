@@ -47,3 +47,33 @@ def test_candidate_universe_of_all_queries(spark, small, world):
     want = {q.qid: len(universe(q, index, links)) for q in queries}
     assert sum(n == len({k for k, _ in index}) for n in want.values()) >= len(queries) / 4
     assert {r.qid: r.n for r in plans.queries()["j9_candidate_universe"](spark, small).collect()} == want
+
+
+def resolved(q, ids, links):
+    return min(ids, key=lambda a: (not any(x == a and p == q.prog_id for x, p, _ in links), not (q.curso > 0 and (a, q.prog_id, q.curso) in links), a))
+
+
+def test_match_subjects_reaches_all_keys(spark, small, world):
+    queries, index, links = world
+    of = {}
+    for k, a in index:
+        of.setdefault(k, set()).add(a)
+    want = {}
+    for q in queries:
+        want[q.qid] = (None, "NO_MATCH", 0.0, q.prog_id)
+        if q.key in of:
+            want[q.qid] = (resolved(q, of[q.key], links), "EXACT", 100.0, q.prog_id)
+        elif len(q.key) >= 2:
+            score, best = min((-M.token_set_ratio(q.key, c), c) for c in universe(q, index, links))
+            if -score >= M.CUTOFF:
+                want[q.qid] = (resolved(q, of[best], links), "FUZZY_AUTO" if -score >= M.AUTO else "FUZZY_LOW_CONFIDENCE", round(-score, 2), q.prog_id)
+    got = {r.qid: (r.asignatura_id, r.estado, r.score, r.prog_id) for r in plans.queries()["j10_w3_match_subjects"](spark, small).collect()}
+    assert got == want and any(q.prog_id is None and want[q.qid][1].startswith("FUZZY") for q in queries)
+
+
+def test_best_of_all_over_several_cells(spark):
+    texts, keys = [f"MTERIA {i} X" for i in range(9)] + ["QQQQ"], [f"MATERIA {i}" for i in range(12)] + ["MATERIA 3 X", "Z"]
+    index = spark.createDataFrame([(k, n) for n, k in enumerate(keys)] + [("Z", 99)], "key string, asignatura_id long")
+    want = {t: min((-M.token_set_ratio(t, k), k) for k in keys) for t in texts}
+    got = {r.key: (-r.score, r.candidate) for r in M.best_of_all(spark.createDataFrame([(t,) for t in texts], "key string"), index, rows=3, block=4).collect()}
+    assert got == {t: w for t, w in want.items() if -w[0] >= M.CUTOFF}
