@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Forest, components, map_groups, split_large, stored
+from quadrille.llm.common import components, map_groups, merged, split_large, stored
 
 
 def _hashed(tables: int, projections: int, width: float, seed: int):
@@ -28,8 +28,8 @@ def _hashed(tables: int, projections: int, width: float, seed: int):
                 cell = np.floor((unit @ normal + shift) / width).astype(np.int64).reshape(len(part), tables, projections)
                 odd = rng.integers(1, 1 << 62, (tables, projections)) * 2 + 1
                 keys = (cell * odd).sum(axis=2) + np.int64(dim)
-                keys ^= keys >> np.int64(31)
-                packed = [k.tobytes() for k in keys.astype(np.int32)]
+                keys = (keys ^ (keys >> np.int64(32))).astype(np.int32)  # the bucket itself: what tells whether a pair has met before must be the same number
+                packed = [k.tobytes() for k in keys]
                 vectors = [v.tobytes() for v in raw]
                 for t in range(tables):
                     yield pd.DataFrame({"tbl": np.int32(t), "key": keys[:, t], "keys": packed, "rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "vector": vectors, "is_double": raw.dtype == np.float64})
@@ -59,7 +59,7 @@ def _compared(threshold: float):
                     v[r, : len(raw) // np.dtype(kind).itemsize] = np.frombuffer(raw, dtype=kind)
             v /= np.abs(v).max(axis=1, keepdims=True)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            forest, add = Forest(e - s), np.zeros(e - s, dtype=np.int64)
+            label, add = np.arange(e - s), np.zeros(e - s, dtype=np.int64)
             order = np.arange(e - s)
             step = max(1, 2_000_000 // (e - s))
             for lo in range(0, e - s, step):
@@ -76,12 +76,11 @@ def _compared(threshold: float):
                 a, b = a[first], b[first]
                 np.add.at(add, a, size[s + b])
                 np.add.at(add, b, size[s + a])
-                for x in np.unique(a):
-                    forest.join(np.append(b[a == x], x))
+                label = merged(label, a, b)
             hit = np.flatnonzero(add)
             ids.append(rep[s + hit])
             adds.append(add[hit])
-            roots.append(rep[s + forest.label[hit]])
+            roots.append(rep[s + label[hit]])
         if ids:
             yield pd.DataFrame({"rep": np.concatenate(ids), "links": np.concatenate(adds), "root": np.concatenate(roots)})
 
@@ -104,7 +103,9 @@ def embedding_near_dedup(vectors: DataFrame, *, threshold: float = 0.95, tables:
     that is null, empty, zero, or has null or non-finite parts links with
     nothing, and vectors of different lengths never link. Returns vec_id,
     n_links (other rows linked directly), component_id (smallest vec_id
-    reachable), kept, one row per row of vectors.
+    reachable), kept, one row per row of vectors. A null vec_id is never
+    chosen while the group has another; where all are null, component_id is
+    null and all say kept.
     """
     base = vectors.select("vec_id", "embedding")
     parts = F.col("embedding")
@@ -112,10 +113,11 @@ def embedding_near_dedup(vectors: DataFrame, *, threshold: float = 0.95, tables:
     # zeros of either sign are equal numbers
     clean = F.transform(parts, lambda x: F.when(x == 0, F.abs(x)).otherwise(x)).alias("embedding")
     good = base.where(valid).select("vec_id", clean)
-    classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "embedding_classes")
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "embedding_classes")  # classes have numbers of their own: an id may be null
 
-    schema = "tbl int, key long, keys binary, rep long, size long, vector binary, is_double boolean"
-    rows = classes.mapInPandas(_hashed(tables, projections, width, seed), schema)
+    schema = "tbl int, key int, keys binary, rep long, size long, vector binary, is_double boolean"
+    rows = classes.select("rep", "size", "embedding").mapInPandas(_hashed(tables, projections, width, seed), schema)
     rows = split_large(rows, ["tbl", "key"], group_limit, F.col("rep"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other")
     rows = rows.select("*", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
@@ -124,8 +126,10 @@ def embedding_near_dedup(vectors: DataFrame, *, threshold: float = 0.95, tables:
 
     names = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "rep", "left").join(names.withColumnRenamed("id", "rep"), "rep", "left")
-    named = stored(named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "embedding_named")
+    named = classes.join(links, "rep", "left").join(names.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("component_id", "rep")).drop("component_id")
+    named = stored(named, "embedding_rooted")
+    roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stored(named.join(roots, "root").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "embedding_named")
     linked = good.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = base.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, fold, small_batches
+from quadrille.llm.common import documents, fold, map_texts, stored
 
 #: Cells for the hashed n-grams of 1, 2 and 3 letters.
 CELLS = (256, 2048, 4096)
@@ -57,7 +55,21 @@ def fit(features: np.ndarray, labels: np.ndarray, names: list[str], landmarks: i
     return marks, np.vstack([root @ weight[:-1], weight[-1:]]).astype(np.float32)
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, *, per_language: int = 500, landmarks: int = 160, ridge: float = 1e-3, max_languages: int = 500, seed: int = 3) -> DataFrame:
+def sampled(training: DataFrame, per_language: int, fit_rows: int, seed: int) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of the rows to fit on: of each language those first in the order of a seeded hash of id and text, as exactly as many."""
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")
+    usable = training.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", draw)
+    names = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    if not names:
+        return [], usable.select("lang", "text")
+    each = max(1, min(per_language, fit_rows // len(names)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    # hashes are drawn first, so that no text is sorted; every task hands on no more than its own first rows of a language
+    chosen = stored(usable.select("lang", "draw").withColumn("place", place).where(F.col("place") <= each).select("lang", "draw").distinct(), "language_sample")
+    return names, usable.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"]).select("lang", "text")
+
+
+def identify_languages(docs: DataFrame, training: DataFrame, *, per_language: int = 500, fit_rows: int = 16_000, landmarks: int = 160, ridge: float = 1e-3, seed: int = 3) -> DataFrame:
     """Predicts the language of every text of docs.
 
     The kernel of two texts is the mean over n = 1, 2, 3 of the cosine of their
@@ -65,56 +77,44 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, per_language: in
     the Nystroem features, on which one ridge regression a language is
     fitted; batches are scored by matrix products.
 
-    training needs text and lang; at most about per_language seeded rows of
-    each lang are fitted on (the bounded sample; rows without text or lang are
-    left out). docs needs doc_id and text; other columns are ignored. A null
+    training needs doc_id, text and lang; of each lang the per_language rows
+    first in the order of a seeded hash of id and text are fitted on (the
+    bounded sample; rows equal in id and text count once in it, rows without
+    text or lang are left out), fewer where there are so many languages that
+    fit_rows would be exceeded, but one at least, so that none is unlearnt.
+    docs needs doc_id and text; other columns are ignored. A null
     text and one without a letter are `und` with score 0, and so is all if
     there is nothing to learn from. Equal scores go to the name that sorts
     first. Returns doc_id, lang_pred, score (0 to 1), one row per row of docs.
     """
-    small_batches(docs.sparkSession)
-    usable = training.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    names = sorted(counts)
+    names, sample = sampled(training, per_language, fit_rows, seed)
     model = None
     if names:
-        share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per_language / counts[n]))])
-        draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000).cast("long")) / 1_000_000
-
-        def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                rows = presence(frame["text"].tolist())
-                yield pd.DataFrame({"lang": frame["lang"], "features": [np.packbits(r > 0).tobytes() for r in rows]})
-
-        sample = usable.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text").mapInPandas(featured, "lang string, features binary")
-        rows = sorted((r["lang"], bytes(r["features"])) for r in sample.limit(2 * per_language * len(names)).collect())
-        if rows:
-            names = sorted({lang for lang, _ in rows})
-            x = np.unpackbits(np.frombuffer(b"".join(f for _, f in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-            at = 0
-            for cells in CELLS:
-                x[:, at : at + cells] /= np.sqrt(np.maximum(x[:, at : at + cells].sum(axis=1, keepdims=True), 1) * len(CELLS))
-                at += cells
-            model = docs.sparkSession.sparkContext.broadcast((*fit(x, np.array([lang for lang, _ in rows]), names, landmarks, ridge, seed), names))
-
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for a in range(0, len(frame), 128):
-                part = frame.iloc[a : a + 128]
-                texts = part["text"].tolist()
-                letters = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
-                lang, score = np.full(len(part), "und", dtype=object), np.zeros(len(part))
-                if model is not None:
-                    marks, weight, known = model.value
-                    values = (presence(texts) @ marks.T) @ weight[:-1] + weight[-1]
-                    best = values.argmax(axis=1)
-                    lang[letters] = np.array(known, dtype=object)[best[letters]]
-                    score[letters] = np.clip((values[letters, best[letters]] + 1) / 2, 0, 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": lang, "score": score})
-
-    return docs.select("doc_id", "text").mapInPandas(predicted, "doc_id long, lang_pred string, score double")
+
+        def featured(texts: pa.Array) -> dict:
+            return {"features": [np.packbits(r > 0).tobytes() for r in presence(texts.to_pylist())]}
+
+        rows = sorted((r["lang"], bytes(r["features"])) for r in map_texts(sample, featured, "features binary", ("lang",)).collect())
+        x = np.unpackbits(np.frombuffer(b"".join(f for _, f in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+        at = 0
+        for cells in CELLS:
+            x[:, at : at + cells] /= np.sqrt(np.maximum(x[:, at : at + cells].sum(axis=1, keepdims=True), 1) * len(CELLS))
+            at += cells
+        model = docs.sparkSession.sparkContext.broadcast((*fit(x, np.array([lang for lang, _ in rows]), names, landmarks, ridge, seed), names))
+
+    def predicted(texts: pa.Array) -> dict:
+        given = texts.to_pylist()
+        letters = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in given], dtype=bool)
+        lang, score = np.full(len(given), "und", dtype=object), np.zeros(len(given))
+        if model is not None:
+            marks, weight, known = model.value
+            values = (presence(given) @ marks.T) @ weight[:-1] + weight[-1]
+            best = values.argmax(axis=1)
+            lang[letters] = np.array(known, dtype=object)[best[letters]]
+            score[letters] = np.clip((values[letters, best[letters]] + 1) / 2, 0, 1)
+        return {"lang_pred": lang, "score": score}
+
+    return map_texts(docs, predicted, "lang_pred string, score double", rows=128)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

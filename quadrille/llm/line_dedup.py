@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, small_batches, stored
+from quadrille.llm.common import documents, released, slices, stored, with_fields
 
 
 def line_dedup(docs: DataFrame, *, width: int = 3) -> DataFrame:
@@ -28,7 +28,6 @@ def line_dedup(docs: DataFrame, *, width: int = 3) -> DataFrame:
     doc_id, n_lines, n_removed, kept (the remaining lines joined by newlines),
     one row per row of docs.
     """
-    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     lines = F.split("text", "\n")
     starts = F.when(F.size("lines") >= width, F.sequence(F.lit(1), F.size("lines") - (width - 1)))
@@ -40,22 +39,25 @@ def line_dedup(docs: DataFrame, *, width: int = 3) -> DataFrame:
     late = place.join(first, "hash").where(F.struct("doc", "at") != F.col("first"))
     late = late.groupBy("doc").agg(F.collect_set("at").alias("late")).select("doc.*", "late")
 
-    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for doc_id, text, late in zip(frame["doc_id"], frame["text"], frame["late"]):
-                parts = text.split("\n")
-                n = len(parts)
-                if late is not None:
-                    gone = (np.asarray(late, dtype=np.int64)[:, None] + np.arange(width)).ravel()
-                    keep = np.ones(n, dtype=bool)
-                    keep[gone] = False
-                    parts = [parts[i] for i in np.flatnonzero(keep)]
-                out.append((doc_id, n, n - len(parts), "\n".join(parts)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_lines", "n_removed", "kept"]).astype({"doc_id": "Int64"})
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sizes, gone, kept = [], [], []
+                for text, late in zip(part.column("text").to_pylist(), part.column("late")):
+                    lines = text.split("\n")
+                    keep = np.ones(len(lines), dtype=bool)
+                    if late.is_valid:
+                        keep[(late.values.to_numpy()[:, None] + np.arange(width)).ravel()] = False
+                        text = "\n".join([lines[i] for i in np.flatnonzero(keep)])
+                    sizes.append(len(lines))
+                    gone.append(len(lines) - int(keep.sum()))
+                    kept.append(text)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept"])
+        released()
 
     joined = base.join(late, base["doc_id"].eqNullSafe(late["doc_id"]) & (base["text_key"] == late["text_key"]), "left").select(base["doc_id"], base["text"], "late")
-    return joined.mapInPandas(cleaned, "doc_id long, n_lines long, n_removed long, kept string")
+    schema = with_fields(docs.select("doc_id"), "n_lines long, n_removed long, kept string")
+    return joined.mapInArrow(cleaned, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

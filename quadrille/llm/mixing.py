@@ -14,7 +14,7 @@ from quadrille.llm.common import documents, map_groups, stored, word_count
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], max_repeats: int) -> dict[str | None, float]:
     """Each source's share of all words by weight, at most max_repeats times its size; the excess goes to the others by weight."""
-    total, out, left = float(sum(sizes.values())), {}, set(sizes)
+    total, out, left = float(sum(sizes.values())), {}, list(sizes)
     while left:
         room = total - sum(out.values())
         share = sum(weights[s] for s in left)
@@ -22,7 +22,7 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], max_
         if not over:
             return out | {s: room * weights[s] / share if share else 0.0 for s in left}
         out |= {s: float(max_repeats * sizes[s]) for s in over}
-        left -= set(over)
+        left = [s for s in left if s not in set(over)]
     return out
 
 
@@ -32,12 +32,13 @@ def route(capacity: list[int], members: list[list[int]], quota: list[float], max
     A pattern's words can be taken max_repeats times; the k-th time costs k a
     word, so that the cost is convex and repeats spread over patterns. Flow is
     sent along cheapest residual paths, found by Bellman-Ford over patterns
-    and sources, until quotas are met or no path is left.
+    and sources, until quotas are met or no path is left. Every path carries
+    more than eps, so that it ends.
     """
     flow = np.zeros((len(capacity), len(quota)))
     used, got = np.zeros(len(capacity)), np.zeros(len(quota))
     eps = 1e-6 * max(1.0, sum(quota))
-    for _ in range(50 * (len(capacity) + 1) * max_repeats * (len(quota) + 1)):
+    while True:
         # cheapest way into each pattern: fresh words at the pattern's present level, or words freed from it by way of a source
         level = np.array([np.floor((u + eps) / c) if c else max_repeats for u, c in zip(used, capacity)])
         cost = np.where(level < max_repeats, level + 1.0, np.inf)
@@ -72,14 +73,30 @@ def route(capacity: list[int], members: list[list[int]], quota: list[float], max
             flow[p, s] += amount if k % 2 == 0 else -amount
         used[path[-1][0]] += amount
         got[end] += amount
-    return flow
+
+
+def routed(capacity: list[int], members: list[list[int]], quota: list[float], max_repeats: int) -> np.ndarray:
+    """Words that each pattern gives, over all its sources. Only sources that share a pattern with another need a flow; the others take what they need of their own."""
+    shared = {s for own in members if len(own) > 1 for s in own}
+    given = np.zeros(len(capacity))
+    tied = [p for p, own in enumerate(members) if shared.intersection(own)]
+    for p, own in enumerate(members):
+        if own[0] not in shared:
+            given[p] = min(quota[own[0]], max_repeats * capacity[p])
+    if tied:
+        names = sorted(shared)
+        at = {s: k for k, s in enumerate(names)}
+        flow = route([capacity[p] for p in tied], [[at[s] for s in members[p]] for p in tied], [quota[s] for s in names], max_repeats)
+        given[tied] = flow.sum(axis=1)
+    return given
 
 
 def _filled(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
     """Takes documents in seeded order as long as they fit in what is left of the group's words; larger ones are passed over.
 
     Then, while words are left, the exchange of one taken document for one not
-    taken that leaves the fewest.
+    taken that leaves the fewest: for each size taken, the largest size not
+    taken that fits in its place is looked up among the sorted ones.
     """
     chosen = np.zeros(len(frame), dtype=bool)
     size, room = frame["size"].to_numpy(), frame["room"].to_numpy()
@@ -90,16 +107,19 @@ def _filled(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
                 chosen[i], left = True, left - size[i]
         for _ in range(4):
             own, other = np.flatnonzero(chosen[s:e]) + s, np.flatnonzero(~chosen[s:e]) + s
-            gain = size[other][None, :] - size[own][:, None] if left else np.zeros((0, 0))
-            gain = np.where(gain <= left, gain, 0)
-            if not gain.size or gain.max() <= 0:
+            if not left or not len(own) or not len(other):
+                break
+            other = other[np.argsort(size[other], kind="stable")]
+            fits = np.searchsorted(size[other], size[own] + left, side="right") - 1
+            gain = np.where(fits >= 0, size[other[fits]] - size[own], 0)
+            a = int(gain.argmax())
+            if gain[a] <= 0:
                 break
-            a, b = np.unravel_index(gain.argmax(), gain.shape)
-            chosen[own[a]], chosen[other[b]], left = False, True, left - gain[a, b]
+            chosen[own[a]], chosen[other[fits[a]]], left = False, True, left - gain[a]
     yield frame[["row_id"]][chosen]
 
 
-def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 2000, max_patterns: int = 10_000, keep_columns: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 200, max_buckets: int = 1_000_000, broadcast_rows: int = 100_000, keep_columns: bool = False) -> DataFrame:
     """Mixes documents so that sources come near target weights.
 
     sources is an array of a document's sources (default: the column source
@@ -110,12 +130,14 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     cost more each time they are repeated, to the targets. A pattern's words
     are then whole passes over all its documents and one pass over a seeded
     part: documents in the order of a seeded hash until the words run out.
-    That order is cut into buckets of about bucket_rows documents, so that
-    only sums of buckets are ordered as a whole, and only the one bucket where
-    words run out is walked through document by document.
-
-    Patterns, not documents, come to the driver: more than max_patterns are an
-    error. docs needs doc_id, text and source (or what the given columns use);
+    That order is cut into buckets of about bucket_rows documents (at most
+    max_buckets), so that only sums of buckets are ordered as a whole, and only
+    the one bucket where words run out is walked through document by document.
+
+    Patterns, not documents, come to the driver; only those that share a
+    source with another go through the flow. What is joined to the documents,
+    one row a pattern, a bucket or a document at the edge, goes to all
+    executors up to broadcast_rows rows and by a shuffle beyond. docs needs doc_id, text and source (or what the given columns use);
     other columns are ignored. Documents without words (null or empty texts)
     take 0; a null source is a source of its own, an empty or null array counts
     as [null]. Rows that repeat a doc_id are documents of their own. The same
@@ -129,36 +151,42 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     base = docs.select("doc_id", *carried, members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
     base = base.withColumn("row_id", F.monotonically_increasing_id())
     base = stored(base, "mixing")
-    sums = base.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    sums = base.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sums.sort(key=lambda r: [(s is None, s or "") for s in r["sources"]])
     names = sorted({s for r in sums for s in r["sources"]}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r["size"] for r in sums if s in r["sources"]) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for r in sums:
+        for s in r["sources"]:
+            sizes[s] += r["size"]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     total = sum(r["size"] for r in sums)
     goal = targets(sizes, weight, max_repeats) if total else {s: 0.0 for s in names}
     if total and sum(goal.values()) > total:  # where sources overlap their sizes add up to more than all words
         goal = {s: g * total / sum(goal.values()) for s, g in goal.items()}
-    flow = route([r["size"] for r in sums], [[names.index(s) for s in r["sources"]] for r in sums], [goal[s] for s in names], max_repeats)
+    place = {s: k for k, s in enumerate(names)}
+    given = routed([r["size"] for r in sums], [[place[s] for s in r["sources"]] for r in sums], [goal[s] for s in names], max_repeats)
 
     plan = []
-    for r, words in zip(sums, flow.sum(axis=1)):
+    for r, words in zip(sums, given.tolist()):
         passes = min(max_repeats, int((words + 1e-6 * total) // r["size"])) if r["size"] else 0
         rest = max(0, round(words - passes * r["size"])) if passes < max_repeats else 0
-        plan.append((r["sources"], passes, rest, max(1, -(-r["n"] // bucket_rows)), sum(sizes[s] for s in r["sources"]), float(sum(goal[s] for s in r["sources"]))))
+        plan.append((r["sources"], passes, rest, max(1, min(max_buckets, -(-r["n"] // bucket_rows))), sum(sizes[s] for s in r["sources"]), float(sum(goal[s] for s in r["sources"]))))
     spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(plan, "p_sources array<string>, passes long, rest long, n_buckets long, source_size long, target double"))
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
+    plan = sent(spark.createDataFrame(plan, "p_sources array<string>, passes long, rest long, n_buckets long, source_size long, target double"))
     same = F.col("sources").eqNullSafe(F.col("p_sources"))
     rows = base.join(plan, same).drop("p_sources").withColumn("bucket", F.pmod("draw", "n_buckets"))
 
     cut = rows.where("rest > 0").groupBy("sources", "rest", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = cut.selectExpr("sources", "rest", "bucket", "in_bucket", "sum(in_bucket) OVER (PARTITION BY sources ORDER BY bucket ROWS UNBOUNDED PRECEDING) - in_bucket AS before")
     before = stored(before.selectExpr("sources AS b_sources", "bucket AS b_bucket", "before + in_bucket <= rest AS whole", "CASE WHEN before < rest AND before + in_bucket > rest THEN rest - before END AS room"), "mixing_buckets")
-    rows = rows.join(before, F.col("sources").eqNullSafe(F.col("b_sources")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_sources", "b_bucket")
-    edge = rows.where("room IS NOT NULL").select(F.to_json(F.struct("sources")).alias("pattern"), "draw", "doc_id", "row_id", "size", "room")
-    some = map_groups(edge, ["pattern"], _filled, "row_id long", sort=("draw", "doc_id", "row_id")).withColumn("part", F.lit(True))
-    part = rows.where("room IS NOT NULL").join(some, "row_id", "left")
+    rows = rows.join(sent(before), F.col("sources").eqNullSafe(F.col("b_sources")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_sources", "b_bucket")
+    edge = rows.where("room IS NOT NULL").select(F.to_json(F.struct("sources")).alias("pattern"), "draw", "row_id", "size", "room")
+    some = stored(map_groups(edge, ["pattern"], _filled, "row_id long", sort=("draw", "row_id")), "mixing_edge")
+    part = rows.where("room IS NOT NULL").join(sent(some).withColumn("part", F.lit(True)), "row_id", "left")
     rows = rows.where("room IS NULL").withColumn("part", F.lit(None).cast("boolean")).unionByName(part)
     taken = F.col("size") * (F.col("passes") + F.coalesce(F.col("whole"), F.lit(False)).cast("long") + F.coalesce(F.col("part"), F.lit(False)).cast("long"))
     return rows.select("doc_id", *carried, "sources", "size", "source_size", "target", taken.alias("taken"))

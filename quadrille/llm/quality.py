@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Memo, documents, fold, small_batches
+from quadrille.llm.common import Memo, Words, documents, fold, map_texts, released, slices
 
 #: Buckets for words by their letters, and for their shapes; a shape says also whether the word repeats the one before.
 STEMS, SHAPES = 1 << 15, 1 << 12
@@ -29,22 +29,19 @@ def _coded(word: bytes) -> int:
     return stem * (SHAPES // 2) + xxhash.xxh32_intdigest(_RUN.sub(rb"\1\1", shape)) % (SHAPES // 2)
 
 
-def tokens(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers, a shape before each stem, of all texts together; the number of tokens of each text."""
-    words, sizes = [], []
-    for text in texts:
-        found = (text or "").encode("utf-8", "surrogatepass").split()
-        sizes.append(len(found))
-        words += found
+    words = Words(texts)
     if len(memo) > 150_000:
         memo.clear()
-    code = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+    known = np.fromiter(map(memo.__getitem__, words.listed()), dtype=np.int64, count=len(words.names))
+    code = known[words.of]
     same = np.zeros(len(code), dtype=bool)
     same[1:] = code[1:] == code[:-1]
     out = np.empty(2 * len(code), dtype=np.int64)
     out[0::2] = STEMS + code % (SHAPES // 2) + np.where(same, SHAPES // 2, 0)
     out[1::2] = code // (SHAPES // 2)
-    return out, 2 * np.array(sizes, dtype=np.int64)
+    return out, 2 * words.sizes
 
 
 def index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +57,12 @@ def word_vectors(docs: DataFrame, seed: int = 5) -> np.ndarray:
     The result's size doesn't depend on the documents.
     """
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors(seed)
         total, memo = np.zeros(BUCKETS * DIM), Memo(_coded)
-        for frame in batches:
-            for a in range(0, len(frame), 500):
-                ids, sizes = tokens(frame["text"].iloc[a : a + 500].tolist(), memo)
+        for batch in batches:
+            for part in slices(batch):
+                ids, sizes = tokens(part.column("text"), memo)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 for step in range(1, REACH + 1):
                     near = np.flatnonzero(owner[step:] == owner[:-step])
@@ -75,10 +72,13 @@ def word_vectors(docs: DataFrame, seed: int = 5) -> np.ndarray:
                         total += np.bincount(right * DIM + place[left, k], weights=sign[left, k], minlength=len(total))
         rows = total.reshape(BUCKETS, DIM)
         used = np.flatnonzero(np.abs(rows).sum(axis=1))
-        yield pd.DataFrame({"bucket": used, **{f"v{i}": rows[used, i] for i in range(DIM)}})
+        memo.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(rows[used, i]) for i in range(DIM))], names=["bucket", *(f"v{i}" for i in range(DIM))])
+        del total, rows
+        released()
 
     columns = [f"v{i}" for i in range(DIM)]
-    summed = docs.select("text").mapInPandas(added, "bucket int, " + ", ".join(f"{c} double" for c in columns))
+    summed = docs.select("text").mapInArrow(added, "bucket int, " + ", ".join(f"{c} double" for c in columns))
     summed = summed.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     out = np.zeros((BUCKETS, DIM), dtype=np.float32)
     vectors = summed[columns].to_numpy()
@@ -86,7 +86,7 @@ def word_vectors(docs: DataFrame, seed: int = 5) -> np.ndarray:
     return out
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray, memo: Memo) -> np.ndarray:
+def pooled(texts: pa.Array, vectors: np.ndarray, memo: Memo) -> np.ndarray:
     """Mean vector of a text's shapes, mean vector of its stems (zeros for a text without words) and its number of words, side by side."""
     ids, sizes = tokens(texts, memo)
     out = np.zeros((len(texts), 2 * DIM + 1), dtype=np.float32)
@@ -159,8 +159,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
     sample.
 
     labels needs doc_id and quality (0 or 1; other values and nulls are left
-    out). At most about train_rows of them, by a seeded hash of the id, are
-    fitted on: the bounded sample, which is also what is broadcast. docs needs
+    out; of several labels of an id the lowest counts). The train_rows labels
+    first in the order of a seeded hash of the id are fitted on: the bounded
+    sample, which is also what is broadcast. Where docs repeat an id, one of its rows is learnt from. docs needs
     doc_id and text; other columns are ignored. Null and empty texts and those
     without words share one score. Without labels of both kinds all scores are
     0.5, or 1 or 0 if one kind is there. Returns doc_id, score (0 to 1),
@@ -169,38 +170,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
     called score or predicted).
     """
     spark = docs.sparkSession
-    small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(docs, seed))
     labels = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, train_rows / max(1, labels.count()))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000).cast("long")) / 1_000_000
-    sample = labels.where(draw < share).limit(2 * train_rows)
-
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(_coded)
-        for frame in batches:
-            for a in range(0, len(frame), 500):
-                part = frame.iloc[a : a + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "features": [r.tobytes() for r in pooled(part["text"].tolist(), vectors.value, memo)]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featured, "doc_id long, quality int, features binary")
-    rows = sorted((r["doc_id"], r["quality"], bytes(r["features"])) for r in rows.limit(4 * train_rows).collect())
+    sample = labels.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_rows)
+
+    def featured(texts: pa.Array, memo: Memo) -> dict:
+        return {"features": [r.tobytes() for r in pooled(texts, vectors.value, memo)]}
+
+    rows = map_texts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), featured, "features binary", ("doc_id", "quality"), start=lambda: Memo(_coded))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "features")).alias("one")).select("one.*", "doc_id").collect()  # no more than train_rows
+    rows = sorted((r["doc_id"], r["quality"], bytes(r["features"])) for r in rows)
     y = np.array([q for _, q, _ in rows], dtype=np.float64)
     both = len(set(y.tolist())) == 2
     model = Network(np.frombuffer(b"".join(f for *_, f in rows), dtype=np.float32).reshape(len(rows), -1).astype(np.float64), y) if both else None
     constant = float(y[0]) if len(y) else 0.5
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(_coded)
-        for frame in batches:
-            for a in range(0, len(frame), 500):
-                part = frame.iloc[a : a + 500]
-                score = model.probabilities(pooled(part["text"].tolist(), vectors.value, memo).astype(np.float64)) if model else np.full(len(part), constant)
-                yield part[carried].assign(score=score, predicted=(score >= threshold).astype(np.int32))
-
-    carried = docs.columns if keep_columns else ["doc_id"]
-    given = docs if keep_columns else docs.select("doc_id", "text")
-    return given.mapInPandas(scored, docs.select(*carried).schema.add("score", "double").add("predicted", "integer"))
+    def scored(texts: pa.Array, memo: Memo) -> dict:
+        score = model.probabilities(pooled(texts, vectors.value, memo).astype(np.float64)) if model else np.full(len(texts), constant)
+        return {"score": score, "predicted": (score >= threshold).astype(np.int32)}
+
+    return map_texts(docs, scored, "score double, predicted int", docs.columns if keep_columns else ["doc_id"], start=lambda: Memo(_coded))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

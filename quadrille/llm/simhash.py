@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Forest, components, documents, encoded, map_groups, small_batches, split_large, stored
+from quadrille.llm.common import components, documents, map_groups, map_texts, merged, split_large, stored
 
 #: Generator of the perfect binary Golay code: 23 bits, 12 of them free, covering radius 3. A fixed value.
 GOLAY = 0b101011100011
@@ -47,12 +48,15 @@ def nearest_anchor(x: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarr
     return (x ^ leader[low[x & 0xFFF] ^ high[x >> 12]]) >> 11
 
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
 def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
     """SimHash of each text, from the XXH64 of its word shingles with repeats."""
     hashes, sizes = [], np.zeros(len(texts), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        parts = encoded(text, lower=True).split()
+        parts = (text or "").encode().translate(_LOWER).split()
         if not parts:
             continue
         joined = b" ".join(parts)
@@ -82,17 +86,13 @@ def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; texts without words have 0."""
+def fingerprints(docs: DataFrame, words: int = 5, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and fp: the fingerprint as a signed long; texts without words have 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for a in range(0, len(frame), 1000):
-                part = frame.iloc[a : a + 1000]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fingerprint_batch(part["text"].tolist(), words).view(np.int64)})
+    def found(texts: pa.Array) -> dict:
+        return {"fp": fingerprint_batch(texts.to_pylist(), words).view(np.int64)}
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs, found, "fp long", carried)
 
 
 def anchored(fps: DataFrame, distance: int, refine: int) -> DataFrame:
@@ -144,24 +144,23 @@ def _linked(distance: int):
             if not len(mine) or not len(seen):
                 continue
             every = np.unique(np.concatenate([mine, seen]))
-            forest, at = Forest(len(every)), np.searchsorted(every, seen)
+            label, at = np.arange(len(every)), np.searchsorted(every, seen)
             own = np.searchsorted(every, mine)
             step = max(1, 4_000_000 // len(seen))
             for lo in range(0, len(mine), step):
                 apart = np.bitwise_count(mine[lo : lo + step, None] ^ seen)
-                near = (apart <= distance) & (apart > 0)  # a home may sit in another chunk of visitors, so that itself never counts
-                for i in np.flatnonzero(near.any(axis=1)):
-                    forest.join(np.append(at[near[i]], own[lo + i]))
-            joined = np.flatnonzero(forest.label != np.arange(len(every)))
+                i, j = np.nonzero((apart <= distance) & (apart > 0))  # a home may sit in another chunk of visitors, so that itself never counts
+                label = merged(label, own[lo + i], at[j])
+            joined = np.flatnonzero(label != np.arange(len(every)))
             a.append(every[joined])
-            b.append(every[forest.label[joined]])
+            b.append(every[label[joined]])
         if a:
             yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
     return run
 
 
-def simhash_near_dedup(docs: DataFrame, *, words: int = 5, distance: int = 4, refine_above: int = 4_000_000, group_limit: int = 20_000) -> DataFrame:
+def simhash_near_dedup(docs: DataFrame, *, row: str | None = None, words: int = 5, distance: int = 4, refine_above: int = 4_000_000, group_limit: int = 20_000) -> DataFrame:
     """Groups documents whose SimHash fingerprints are linked, directly or through others.
 
     A fingerprint has 64 bits, from the XXH64 (seed 42) of the text's word
@@ -179,13 +178,17 @@ def simhash_near_dedup(docs: DataFrame, *, words: int = 5, distance: int = 4, re
     docs needs doc_id and text; other columns are ignored. Null, empty and
     wordless texts have fingerprint 0 and link like any other. Returns doc_id,
     fingerprint (16 lowercase hex digits), component_id (the smallest doc_id
-    reachable), one row per row of docs. A null doc_id is never chosen while
-    the group has another.
+    reachable) and kept (doc_id = component_id), one row per row of docs. A
+    null doc_id is never chosen while the group has another; where all are
+    null, component_id is null and all say kept. row names a column that
+    numbers the rows of docs: it comes back too, and then only the first of
+    the rows that have the chosen id says kept.
     """
     if not 0 <= distance <= 5:
         raise ValueError("distance must be from 0 to 5: one block may then differ in at most one bit")
-    fps = stored(fingerprints(docs, words), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    fps = stored(fingerprints(docs, words, ("doc_id",) if row is None else ("doc_id", row)), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.lit(0) if row is None else F.col(row)).alias("row"))
+    classes = fps.groupBy("fp").agg(F.min(place).alias("first"))
     refine = distance + 1 if classes.count() > refine_above else 1
     rows = split_large(anchored(classes, distance, refine), ["anchor", "home"], group_limit, F.col("fp"))
     sizes = rows.where("n_chunks > 1").groupBy("anchor").pivot("home", [True, False]).agg(F.max("n_chunks"))
@@ -200,10 +203,12 @@ def simhash_near_dedup(docs: DataFrame, *, words: int = 5, distance: int = 4, re
     edges = map_groups(rows.select("anchor", "unit", "home", "fp"), ["anchor", "unit"], _linked(distance), "a long, b long")
     found = components(edges).withColumnRenamed("id", "fp").withColumnRenamed("component_id", "root")
     rooted = stored(classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash_classes")
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(rooted.join(roots, "root").select("fp", "component_id"), "simhash_named")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = rooted.groupBy("root").agg(F.min("first").alias("chosen"))
+    named = stored(rooted.join(roots, "root").select("fp", "chosen"), "simhash_named")
+    kept = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) if row is None else F.col(row) == F.col("chosen.row")
+    own = [] if row is None else [row]
+    return fps.join(named, "fp").select(*own, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_near_dedup(documents(spark, sf_dir), words=4)
+    return simhash_near_dedup(documents(spark, sf_dir), words=4).select("doc_id", "fingerprint", "component_id")

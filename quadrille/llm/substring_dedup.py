@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Memo, documents, encoded, text_bytes, text_groups
+from quadrille.llm.common import Words, documents, numbers, released, text_bytes, text_groups, with_fields
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_LAST = np.iinfo(np.int64).min
 
 
 def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -42,23 +41,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class _Group:
     """The windows of a group of documents, the same whenever it is made from the same rows."""
 
-    def __init__(self, frame: pd.DataFrame, width: int) -> None:
+    def __init__(self, frame: pa.Table, width: int) -> None:
         self.width = width
-        frame = frame.sort_values(["doc_id", "text"], na_position="first")
-        self.ids = frame["doc_id"]
-        self.words = [encoded(t if isinstance(t, str) else None).split() for t in frame["text"]]
-        self.sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
-        self.ends = np.cumsum(self.sizes)
-        hashed = Memo(xxhash.xxh64_intdigest).__getitem__
-        self.hashes = np.fromiter((h for w in self.words for h in map(hashed, w)), dtype=np.uint64, count=self.ends[-1])
+        ids = numbers(frame.column("doc_id"))
+        texts = pc.fill_null(frame.column("text"), "")
+        order = np.lexsort((np.asarray(pc.rank(texts, tiebreaker="dense")), np.asarray(frame.column("doc_id").is_valid()), ids))
+        self.frame, self.ids = frame.take(pa.array(order)), ids[order]
+        self.words = Words(self.frame.column("text"))
+        self.sizes, self.ends = self.words.sizes, self.words.ends
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words.listed()), dtype=np.uint64, count=len(self.words.names))[self.words.of]
         if len(self.hashes) < width:
             self.starts = np.zeros(0, dtype=np.int64)
             window = np.zeros(0, dtype=np.uint64)
         else:
-            fits = np.zeros(len(self.hashes), dtype=bool)
-            for end, size in zip(self.ends, self.sizes):
-                fits[end - size : max(end - size, end - width + 1)] = True
-            self.starts = np.flatnonzero(fits)
+            last = np.zeros(len(self.hashes) + 1, dtype=np.int64)  # of every place, whether a window of its document begins there
+            some = self.sizes >= width
+            last[(self.ends - self.sizes)[some]] += 1
+            last[(self.ends - width + 1)[some]] -= 1
+            self.starts = np.flatnonzero(np.cumsum(last)[:-1])
             window = _mixed(rolling(self.hashes, width, _BASES[0])[self.starts])
         #: Distinct windows in order of their hash; the first start of each; the distinct window of each start.
         self.window, self.first, self.of = np.unique(window, return_index=True, return_inverse=True)
@@ -101,6 +101,7 @@ _RECORD = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("at", "<
 
 def _later(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the windows whose words start earlier in another group, by their index in their own group."""
+    frame = frame.sort_values("gid")
     parts = [np.frombuffer(x, dtype=_RECORD) for x in frame["records"]]
     every = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -127,12 +128,15 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, group_bytes: int = 4 <<
     hash and place, once a group however common they are, to find out which
     starts first: the smallest doc_id, then the earliest start. Overlapping
     windows merge into maximal intervals, and their words go. Windows are
-    judged on the input, not on what is left.
+    judged on the input, not on what is left. Documents are dealt by id and
+    text, and words are kept as Arrow arrays, so that neither an id that many
+    rows have nor a text of many MB makes a group that doesn't fit.
 
     docs needs doc_id and text; other columns are ignored. Null, empty and
     short texts have no windows and lose nothing. A null doc_id sorts first;
-    rows that repeat a doc_id are taken in the order of their texts, so one of
-    two equal rows loses its words. Returns doc_id, n_words, n_removed, kept
+    of rows that repeat a doc_id with other texts, the first to have a window
+    is the one whose group and text come first. Rows equal in doc_id and text
+    count as one document and all get its result. Returns doc_id, n_words, n_removed, kept
     (the remaining words joined by one space), removed (array of [start, end)
     word intervals), one row per row of docs.
     """
@@ -140,54 +144,64 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, group_bytes: int = 4 <<
     bits = max(8, (total // 5 // bucket_windows).bit_length())
     groups = text_groups(docs.select("doc_id", "text"), total, group_bytes)
 
-    def hashed(frame: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(frame, width)
-        cuts, short, gid = g.cuts(bits), g.short(bits), frame["gid"].iloc[0]
-        full = np.flatnonzero(cuts[1:] > cuts[:-1])
-        return pd.DataFrame({"bucket": full, "gid": gid, "windows": [_planes(short[cuts[b] : cuts[b + 1]]) for b in full]})
+    out_type = with_fields(docs.select("doc_id"), "n_words long, n_removed long, kept string, removed array<array<long>>, n long")
 
-    def placed(key: tuple, frame: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(seen):
-            return pd.DataFrame({"bucket": [], "gid": [], "records": []})
+    def hashed(frame: pa.Table) -> pa.Table:
         g = _Group(frame, width)
-        check = (_mixed(rolling(g.hashes, width, _BASES[1])[g.starts[g.first]]) >> np.uint64(32)).astype(np.uint32)
-        ids = np.array([_LAST if pd.isna(x) else int(x) for x in g.ids], dtype=np.int64)
-        record = np.empty(len(g.window), dtype=_RECORD)
-        record["hash"], record["check"], record["at"] = g.window, check, np.arange(len(g.window))
-        record["doc"] = ids[np.searchsorted(g.ends, g.starts[g.first], side="right")]
-        cuts = g.cuts(bits)
-        rows = [(b, record[cuts[b] + _unplaned(s)].tobytes()) for b, s in zip(seen["bucket"], seen["seen"])]
-        return pd.DataFrame({"bucket": [b for b, _ in rows], "gid": key[0], "records": [r for _, r in rows]})
-
-    def cleaned(key: tuple, frame: pd.DataFrame, late: pd.DataFrame) -> pd.DataFrame:
+        cuts, short, gid = g.cuts(bits), g.short(bits), frame.column("gid")[0].as_py()
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        return pa.table({"bucket": pa.array(full, pa.int32()), "gid": pa.array(np.full(len(full), gid), pa.int64()), "windows": pa.array([_planes(short[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())})
+
+    def placed(frame: pa.Table, seen: pa.Table) -> pa.Table:
+        rows: list[tuple[int, bytes]] = []
+        if frame.num_rows and seen.num_rows:
+            g = _Group(frame, width)
+            check = (_mixed(rolling(g.hashes, width, _BASES[1])[g.starts[g.first]]) >> np.uint64(32)).astype(np.uint32)
+            record = np.empty(len(g.window), dtype=_RECORD)
+            record["hash"], record["check"], record["at"] = g.window, check, np.arange(len(g.window))
+            record["doc"] = g.ids[np.searchsorted(g.ends, g.starts[g.first], side="right")]
+            cuts = g.cuts(bits)
+            rows = [(b, record[cuts[b] + _unplaned(s)].tobytes()) for b, s in zip(seen.column("bucket").to_pylist(), seen.column("seen").to_pylist())]
+        gid = frame.column("gid")[0].as_py() if frame.num_rows else 0
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "gid": pa.array([gid] * len(rows), pa.int64()), "records": pa.array([r for _, r in rows], pa.binary())})
+
+    def cleaned(frame: pa.Table, late: pa.Table) -> pa.Table:
         g = _Group(frame, width)
         gone = np.ones(len(g.starts), dtype=bool)
         gone[g.first] = False
         elsewhere = np.zeros(len(g.window), dtype=bool)
-        for raw in late["late"]:
+        for raw in late.column("late").to_pylist():
             elsewhere[_unplaned(raw)] = True
         gone |= elsewhere[g.of]
         edge = np.zeros(len(g.hashes) + width + 1, dtype=np.int64)
         np.add.at(edge, g.starts[gone], 1)
         np.add.at(edge, g.starts[gone] + width, -1)
         covered = np.cumsum(edge)[: len(g.hashes)] > 0
-        out = []
-        for doc_id, words, end, size in zip(g.ids, g.words, g.ends, g.sizes):
-            mask = covered[end - size : end]
-            if mask.any():
-                step = np.diff(np.concatenate([[0], mask, [0]]).astype(np.int8))
-                spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).tolist()
-                words = [words[i] for i in np.flatnonzero(~mask)]
-            else:
-                spans = []
-            out.append((doc_id, size, int(mask.sum()), b" ".join(words).decode("utf-8", "surrogatepass"), spans))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"]).astype({"doc_id": "Int64"})
-
-    windows = groups.groupBy("gid").applyInPandas(hashed, "bucket int, gid long, windows binary")
+        total = np.append(0, np.cumsum(covered))
+        n_removed = total[g.ends] - total[g.ends - g.sizes]
+        # what stays, word by word, joined by blanks for each document
+        stays = np.flatnonzero(~covered)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, g.ends) - total[np.append(0, g.ends)], pa.int64()), g.words.names.take(pa.array(g.words.of[stays])))
+        kept = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+        step = np.diff(np.concatenate([[0], covered, [0]]).astype(np.int8)) if len(covered) else np.zeros(0, dtype=np.int8)
+        begin = np.flatnonzero(step == 1)
+        edges = np.unique(np.concatenate([begin, (g.ends - g.sizes)[n_removed > 0]]))  # intervals end with their document
+        edges = edges[covered[edges]] if len(edges) else edges
+        doc = np.searchsorted(g.ends, edges, side="right")
+        stop = np.minimum(np.flatnonzero(step == -1)[np.searchsorted(begin, edges, side="right") - 1], g.ends[doc]) if len(edges) else edges
+        base = (g.ends - g.sizes)[doc]
+        spans = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(edges) + 1, 2), pa.int32()), pa.array(np.stack([edges - base, stop - base], axis=1).ravel().astype(np.int64)))
+        removed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=len(g.sizes)))), pa.int32()), spans)
+        out = [g.frame.column("doc_id").combine_chunks(), pa.array(g.sizes, pa.int64()), pa.array(n_removed, pa.int64()), kept, removed, g.frame.column("n").combine_chunks()]
+        released()
+        return pa.table(out, names=["doc_id", "n_words", "n_removed", "kept", "removed", "n"])
+
+    windows = groups.groupBy("gid").applyInArrow(hashed, "bucket int, gid long, windows binary")
     seen = windows.groupBy("bucket").applyInPandas(_counted, "gid long, bucket int, seen binary")
-    records = groups.groupBy("gid").cogroup(seen.groupBy("gid")).applyInPandas(placed, "bucket int, gid long, records binary")
+    records = groups.groupBy("gid").cogroup(seen.groupBy("gid")).applyInArrow(placed, "bucket int, gid long, records binary")
     late = records.groupBy("bucket").applyInPandas(_later, "gid long, late binary")
-    return groups.groupBy("gid").cogroup(late.groupBy("gid")).applyInPandas(cleaned, "doc_id long, n_words long, n_removed long, kept string, removed array<array<long>>")
+    out = groups.groupBy("gid").cogroup(late.groupBy("gid")).applyInArrow(cleaned, out_type)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n", "_copy")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_links_survive_chunks(spark, monkeypatch, group_limit):
     want = brute(fp, 4)
     assert (want != np.arange(len(fp))).sum() >= 100
     docs = spark.createDataFrame([(i, "", int(v)) for i, v in enumerate(fp.view(np.int64))], "doc_id long, text string, fp long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.select("doc_id", "fp"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", "fp"))
     cut = simhash.split_large(simhash.anchored(docs, 4, 1), ["anchor", "home"], group_limit, F.col("fp"))
     assert group_limit > 10**6 or {r.home for r in cut.where("n_chunks > 2").select("home").distinct().collect()} == {True, False}
     got = {r.doc_id: r.component_id for r in simhash.simhash_near_dedup(docs, group_limit=group_limit).collect()}
