@@ -3,8 +3,10 @@
 STAGES lists (name, function) pairs. A function takes (spark, docs, sf_dir)
 and returns a DataFrame; each stage's result is written as Parquet in the
 shared folder and read back as the docs of the next. All but the last return
-the columns of documents, whatever else docs has. An empty table of documents
-passes through all stages.
+the columns of documents, whatever else docs has. Decisions are about rows, not
+ids: the dedup and mixing stages number their rows first, so that rows
+with a null doc_id, or one that others have too, stand for themselves. An
+empty table of documents passes through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, shared_dir, stored
+from quadrille.llm.common import documents, numbered, shared_dir, without
 from quadrille.llm.exact_dedup import exact_dedup
 from quadrille.llm.mixing import mix_sources
 from quadrille.llm.quality import score_quality
@@ -20,40 +22,35 @@ from quadrille.llm.sentencepiece_codec import encode
 from quadrille.llm.simhash import simhash_near_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "row_in_stage"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, taught by all labels, rejects. Rows with a null doc_id are scored like others."""
-    docs = docs.select(*COLUMNS)
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
+    scored = score_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """Leaves out rows by doc_id. The ids are written and counted: up to broadcast_rows go to all executors, more are joined by a shuffle."""
-    gone = stored(gone.distinct(), "pipeline_gone")
-    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of documents with equal texts, A-Z lower-cased, the one with the largest doc_id."""
-    docs = docs.select(*COLUMNS)
-    return _without(docs, exact_dedup(docs).where("NOT kept").select("doc_id"))
+    """Keeps one row of those with equal texts, A-Z lower-cased: the one with the largest doc_id, of equal ids the last."""
+    docs = numbered(docs.select(*COLUMNS), ROW, "pipeline_exact")
+    return without(docs, exact_dedup(docs, row=ROW).where("NOT kept"), ROW).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group of near duplicates."""
-    docs = docs.select(*COLUMNS)
-    return _without(docs, simhash_near_dedup(docs, words=4).where("doc_id <> component_id").select("doc_id"))
+    """Keeps one row, that with the smallest doc_id (of equal ids the first), of each group of near duplicates.
+
+    The rule is that of the SimHash query: four words, four of 64 bits. It
+    catches texts whose shingles are nearly all the same (about 0.95 and more).
+    """
+    docs = numbered(docs.select(*COLUMNS), ROW, "pipeline_near")
+    return without(docs, simhash_near_dedup(docs, row=ROW, words=4).where("NOT kept"), ROW).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as the mix does: not at all, once, or up to three times, as rows."""
-    docs = docs.select(*COLUMNS)
-    mixed = mix_sources(docs, keep_columns=True)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    rows = mixed.select(*COLUMNS, times.alias("_times")).where("_times > 0")
+    mixed = mix_sources(docs.select(*COLUMNS), keep_columns=True)
+    rows = mixed.select(*COLUMNS, F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_times")).where("_times > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
