@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,7 +21,7 @@ from pyspark.sql.types import StructType
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of text that a Python worker works on at once.
-SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 2 << 20
 
 _LEAST = np.iinfo(np.int64).min
 
@@ -73,8 +75,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, row: str, name: str) -> DataFrame:
-    """The rows, stored, with a number of their own in the column row: what tells rows apart that are equal in all else."""
-    return stored(df.withColumn(row, F.monotonically_increasing_id()), name)
+    """The rows with what tells them apart, be they equal in all else, in the column row: their file and their place in it.
+
+    Rows that don't come straight from files are stored first, with numbers.
+    """
+    try:
+        return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return stored(df.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
 
 
 def without(docs: DataFrame, gone: DataFrame, row: str, broadcast_rows: int = 200_000) -> DataFrame:
@@ -84,6 +92,18 @@ def without(docs: DataFrame, gone: DataFrame, row: str, broadcast_rows: int = 20
     return docs.join(F.broadcast(gone) if few else gone, row, "left_anti")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While it lasts, jobs hand Python workers Arrow batches of at most this many bytes (Spark's own limit is 64 MB), and then the session is as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def with_fields(df: DataFrame, fields: str) -> StructType:
     """A table's schema with more fields behind."""
     return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])

@@ -48,12 +48,12 @@ def _keyed_state(rows: DataFrame, path: str, folder: str, bytes_per_batch: int,
     return state.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("keeper"), F.col("value.count").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, *, row: str | None = None, normalise: Callable[[Column], Column] = lower_ascii, digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 64 << 30, rows_per_state: int = 100_000, broadcast_rows: int = 20_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, row: str | None = None, normalise: Callable[[Column], Column] = lower_ascii, digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = 64 << 30, rows_per_state: int = 100_000, broadcast_rows: int = 200_000) -> DataFrame:
     """Groups documents with equal normalised texts; the row with the largest doc_id stays.
 
-    Rows are written once with their digest, in partitions by nothing else
-    than the input's own; a row's number in that table is its content locator.
-    Digests then go through a streaming aggregation whose state, on disk in
+    Rows are written once with their text and its digest; a row's number there
+    is its content locator (with row, the texts stay where they are, and row is
+    the locator). Digests then go through a streaming aggregation whose state, on disk in
     RocksDB and checkpointed in the shared folder, keeps for every digest the
     keeper's stable id (doc_id), its content locator and the group's size.
     State grows with the number of distinct texts and never expires. Every
@@ -72,27 +72,37 @@ def exact_dedup(docs: DataFrame, *, row: str | None = None, normalise: Callable[
 
     bytes_per_batch bounds a micro-batch; the state has a partition for every
     rows_per_state rows, and no more than spark.sql.shuffle.partitions. Up to
-    broadcast_rows digests of hits go to all executors; more are joined by a
-    shuffle.
+    broadcast_rows digests (or places) of hits go to all executors; more are
+    joined by a shuffle.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "exact_dedup")
     text = normalise(F.coalesce(F.col("text"), F.lit("")))
     locator = F.monotonically_increasing_id() if row is None else F.col(row)
-    content = docs.select("doc_id", locator.alias("locator"), text.alias("_text")).withColumn("digest", digest(F.col("_text")))
+    content = docs.select("doc_id", locator.alias("locator"), text.alias("_text"))
+    coded = content.withColumn("digest", digest(F.col("_text")))
     if digest is not sha256:
-        content = content.withColumn("text_digest", sha256(F.col("_text")))
-    content.write.parquet(f"{folder}/content")
-    content = spark.read.schema(content.schema).parquet(f"{folder}/content")
-    rows = content.drop("_text")
+        coded = coded.withColumn("text_digest", sha256(F.col("_text")))
+    if row is None:
+        coded.write.parquet(f"{folder}/content")
+        content = coded = spark.read.schema(coded.schema).parquet(f"{folder}/content")
+        rows = content.drop("_text")
+    else:
+        rows = stored(coded.drop("_text"), "exact_dedup_rows")
     plain = rows.select("digest", "doc_id", "locator")
     plain.write.parquet(f"{folder}/rows")
     state = _keyed_state(spark.read.schema(plain.schema).parquet(f"{folder}/rows"), f"{folder}/rows", folder, bytes_per_batch, rows_per_state)
 
     groups = stored(state.select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("keep_at"), "group_size"), "exact_dedup_groups")
     hits = groups.where("group_size > 1").select("digest", "keep_at")
-    few = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
-    seen = content.select("digest", "locator", "_text").join(F.broadcast(hits) if few else hits, "digest")
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
+    if row is None:
+        seen = content.select("digest", "locator", "_text").join(sent(hits), "digest")
+    else:
+        seen = content.select("locator", "_text").join(sent(stored(rows.join(hits, "digest").select("digest", "locator", "keep_at"), "exact_dedup_places")), "locator")
     seen = stored(seen, "exact_dedup_hits")
     keeper = seen.where("locator = keep_at").select("digest", F.col("_text").alias("_kept_text"))
     # nothing but a filter stands above the join, so that AQE can split a digest with many hits
@@ -103,7 +113,7 @@ def exact_dedup(docs: DataFrame, *, row: str | None = None, normalise: Callable[
         out = out.withColumn("text_digest", F.col("digest"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) if row is None else F.col("locator") == F.col("keep_at")
     if not differs.isEmpty():
-        clash = content.join(differs, "digest")
+        clash = coded.join(differs, "digest")
         by_text = clash.groupBy("digest", "_text").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("group_size"))
         by_text = by_text.select("digest", "_text", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("keep_at"), "group_size")
         apart = clash.join(by_text, ["digest", "_text"]).drop("_text")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, map_groups, stored, word_count
+from quadrille.llm.common import documents, map_groups, numbered, stored, word_count
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], max_repeats: int) -> dict[str | None, float]:
@@ -116,10 +116,10 @@ def _filled(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
             if gain[a] <= 0:
                 break
             chosen[own[a]], chosen[other[fits[a]]], left = False, True, left - gain[a]
-    yield frame[["row_id"]][chosen]
+    yield frame[["file", "at"]][chosen]
 
 
-def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 200, max_buckets: int = 1_000_000, broadcast_rows: int = 100_000, keep_columns: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 11, bucket_rows: int = 200, max_buckets: int = 1_000_000, broadcast_rows: int = 100_000, row: str | None = None, keep_columns: bool = False) -> DataFrame:
     """Mixes documents so that sources come near target weights.
 
     sources is an array of a document's sources (default: the column source
@@ -143,14 +143,15 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     as [null]. Rows that repeat a doc_id are documents of their own. The same
     rows give the same mix. Returns doc_id, sources, size, source_size, target
     (the sums over the document's sources) and taken (words, repeats counted);
-    with keep_columns also the other columns of docs (which then has none of
-    these names).
+    row names a column that tells the rows of docs apart, as numbered() has it
+    (one is made where there is none); with keep_columns also the other columns
+    of docs (which then has none of these names).
     """
     members = F.array("source") if sources is None else F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    carried = [c for c in docs.columns if c != "doc_id"] if keep_columns else []
-    base = docs.select("doc_id", *carried, members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    base = base.withColumn("row_id", F.monotonically_increasing_id())
-    base = stored(base, "mixing")
+    carried = [c for c in docs.columns if c not in ("doc_id", row)] if keep_columns else []
+    docs = docs if row else numbered(docs, "row_id", "mixing_rows")
+    base = docs.select("doc_id", *carried, F.col(row or "row_id").alias("row_id"), members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    whole, base = base, stored(base.select("row_id", "sources", "size", "draw"), "mixing")  # texts are read once more for the result, rather than written
     sums = base.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sums.sort(key=lambda r: [(s is None, s or "") for s in r["sources"]])
     names = sorted({s for r in sums for s in r["sources"]}, key=lambda s: (s is None, s or ""))
@@ -178,16 +179,27 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
 
     plan = sent(spark.createDataFrame(plan, "p_sources array<string>, passes long, rest long, n_buckets long, source_size long, target double"))
     same = F.col("sources").eqNullSafe(F.col("p_sources"))
-    rows = base.join(plan, same).drop("p_sources").withColumn("bucket", F.pmod("draw", "n_buckets"))
 
+    def planned(df: DataFrame) -> DataFrame:
+        return df.join(plan, same).drop("p_sources").withColumn("bucket", F.pmod("draw", "n_buckets"))
+
+    rows = planned(base)
     cut = rows.where("rest > 0").groupBy("sources", "rest", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = cut.selectExpr("sources", "rest", "bucket", "in_bucket", "sum(in_bucket) OVER (PARTITION BY sources ORDER BY bucket ROWS UNBOUNDED PRECEDING) - in_bucket AS before")
     before = stored(before.selectExpr("sources AS b_sources", "bucket AS b_bucket", "before + in_bucket <= rest AS whole", "CASE WHEN before < rest AND before + in_bucket > rest THEN rest - before END AS room"), "mixing_buckets")
-    rows = rows.join(sent(before), F.col("sources").eqNullSafe(F.col("b_sources")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_sources", "b_bucket")
-    edge = rows.where("room IS NOT NULL").select(F.to_json(F.struct("sources")).alias("pattern"), "draw", "row_id", "size", "room")
-    some = stored(map_groups(edge, ["pattern"], _filled, "row_id long", sort=("draw", "row_id")), "mixing_edge")
-    part = rows.where("room IS NOT NULL").join(sent(some).withColumn("part", F.lit(True)), "row_id", "left")
-    rows = rows.where("room IS NULL").withColumn("part", F.lit(None).cast("boolean")).unionByName(part)
+    before = sent(before)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(before, F.col("sources").eqNullSafe(F.col("b_sources")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_sources", "b_bucket")
+
+    edge = placed(rows).where("room IS NOT NULL").select(F.to_json(F.struct("sources")).alias("pattern"), "draw", "row_id.file", "row_id.at", "size", "room")
+    some = stored(map_groups(edge, ["pattern"], _filled, "file long, at long", sort=("draw", "file", "at")), "mixing_edge").select(F.struct("file", "at").alias("row_id"))
+    rows = placed(planned(whole))
+    some = sent(some.withColumn("part", F.lit(True)))
+    if some.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        rows = rows.join(some, "row_id", "left")
+    else:  # only rows at the edge are shuffled
+        rows = rows.where("room IS NULL").withColumn("part", F.lit(None).cast("boolean")).unionByName(rows.where("room IS NOT NULL").join(some, "row_id", "left"))
     taken = F.col("size") * (F.col("passes") + F.coalesce(F.col("whole"), F.lit(False)).cast("long") + F.coalesce(F.col("part"), F.lit(False)).cast("long"))
     return rows.select("doc_id", *carried, "sources", "size", "source_size", "target", taken.alias("taken"))
 

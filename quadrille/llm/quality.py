@@ -148,7 +148,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, threshold: float = 0.3, seed: int = 5, keep_columns: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, threshold: float = 0.3, seed: int = 5, row: str | None = None) -> DataFrame:
     """Scores every text of docs for quality, learning from labels.
 
     Words are counted in hashed buckets, once by their letters and once by
@@ -165,9 +165,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
     doc_id and text; other columns are ignored. Null and empty texts and those
     without words share one score. Without labels of both kinds all scores are
     0.5, or 1 or 0 if one kind is there. Returns doc_id, score (0 to 1),
-    predicted (1 if score >= threshold), one row per row of docs; with
-    keep_columns, the other columns of docs come between (docs then has none
-    called score or predicted).
+    predicted (1 if score >= threshold), one row per row of docs; row names a
+    column that numbers the rows of docs, which comes back too.
     """
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs, seed))
@@ -189,7 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_00
         score = model.probabilities(pooled(texts, vectors.value, memo).astype(np.float64)) if model else np.full(len(texts), constant)
         return {"score": score, "predicted": (score >= threshold).astype(np.int32)}
 
-    return map_texts(docs, scored, "score double, predicted int", docs.columns if keep_columns else ["doc_id"], start=lambda: Memo(_coded))
+    return map_texts(docs, scored, "score double, predicted int", ["doc_id"] if row is None else [row, "doc_id"], start=lambda: Memo(_coded))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ class Codec:
         """A table by hash of pairs of pieces and whether they stay; later pairs replace earlier ones."""
         return np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
 
-    def encode(self, texts: pa.Array, pairs: tuple[np.ndarray, np.ndarray] | None = None, block: int = 1 << 19) -> pa.ListArray:
+    def encode(self, texts: pa.Array, pairs: tuple[np.ndarray, np.ndarray] | None = None, block: int = 1 << 18) -> pa.ListArray:
         """Ids of each text, equal to those of the library. Null and empty texts have none.
 
         A unit is what no piece goes beyond: blanks and the letters after them,
@@ -314,7 +314,7 @@ def _codec(spark: SparkSession, model: str | None):
     return spark.sparkContext.broadcast(Codec(model or default_model()))
 
 
-def encode(docs: DataFrame, *, model: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, *, model: str | None = None, batch_bytes: int = 2 << 20) -> DataFrame:
     """SentencePiece ids of every text: doc_id, ids (array<int>), one row per row of docs.
 
     The model is BPE with byte fallback and no normalisation. A batch's text,
