@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
 from quadrille.operators import conflicts as C
-from quadrille.operators.matching import match_teachers, resolve_rooms, resolve_subjects
+from quadrille.operators.matching import learn_aliases, match_teachers, resolve_rooms, resolve_subjects
 from quadrille.sources.storage import cut
 
 OPEN = "por_revisar"
@@ -77,7 +77,8 @@ def new_ids(df: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
     Rows are numbered within ranges of that order, so that no task has all of them.
     """
     top = taken.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written before it is counted: the numbers of rows and partitions must be of one and the same evaluation
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
@@ -178,24 +179,52 @@ def apply_session_batch(s: DataFrame, changes: DataFrame) -> DataFrame:
     return out.where("id >= 0").unionByName(new_ids(new, s, ["_t"]).select("id", *cols).select(*s.columns))
 
 
+def confirm_mentions(state: dict[str, DataFrame], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mentions (id, programa_id, nombre, activo) with those that rows (programa_id, asignatura_id, mencion, orden) name anew, and the
+    links, of which those of the rows' programs and subjects point to the mention named last."""
+    named = rows.withColumn("_m", T.clean_mention(F.coalesce("mencion", F.lit("")))).where("_m <> ''")
+    wanted = C.keep_first(named.withColumn("_k", F.lower("_m")), ["programa_id", "_k"], ["orden"]).select("programa_id", F.col("_m").alias("nombre"), "_k")
+    known = state["menciones"].groupBy("programa_id", F.lower("nombre").alias("_k")).agg(F.min("id").alias("mencion_id"))
+    new = wanted.join(known, ["programa_id", "_k"], "left_anti").select("programa_id", "nombre", F.lit(True).alias("activo"))
+    mentions = cut(state["menciones"].unionByName(new_ids(new, state["menciones"], ["programa_id", "nombre"]), allowMissingColumns=True))
+    ids = mentions.groupBy("programa_id", F.lower("nombre").alias("_k")).agg(F.min("id").alias("_id"))
+    last = named.withColumn("_k", F.lower("_m")).join(ids, ["programa_id", "_k"]).groupBy("programa_id", "asignatura_id").agg(F.max_by("_id", "orden").alias("_id"))
+    links = state["enlaces"].join(last, ["programa_id", "asignatura_id"], "left").withColumn("mencion_id", F.coalesce("_id", "mencion_id"))
+    return mentions, links.select(*state["enlaces"].columns)
+
+
 def confirm_schedule(state: dict[str, DataFrame], draft: DataFrame, restrictions: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Publishes a draft (asignatura, grupo, tipo, curso, aula, dia_semana, ini, fin, orden): the new grupos, sesiones and conflictos, and the errors.
+    """Publishes a draft (plan, mencion, asignatura, texto, elegida, grupo, tipo, curso, aula, dia_semana, ini, fin, orden): the new state, and the errors.
 
-    Names are resolved first; with any error the state comes back as it was.
-    The subjects that the draft touches lose their groups, sessions and
+    Plans, subjects and rooms are resolved first; with any error the state
+    comes back as it was. Where a row's text (texto, else asignatura) isn't the
+    name of the subject chosen by hand (elegida), it becomes an alias. Mentions
+    that a plan lacks are made, and the plan's links of the subjects point to
+    them. The subjects that the draft touches lose their groups, sessions and
     conflicts, and get the draft's: one group a code, one session a group, day
-    and start. Conflicts are found once for all new sessions.
+    and start. Conflicts are found once for all new sessions, with each
+    subject's mention by its first link. state has programas, menciones,
+    enlaces, asignaturas, aliases, aulas, grupos, sesiones,
+    profesores_asignaturas and conflictos.
     """
     q = cut(draft.withColumn("qid", F.monotonically_increasing_id()))
-    subj = resolve_subjects(q.select("qid", F.col("asignatura").alias("texto")), state["asignaturas"], state["aliases"])
+    plans = state["programas"].groupBy(F.lower("nombre").alias("_plan")).agg(F.min("id").alias("programa_id"))
+    planned = q.withColumn("_plan", F.lower(F.trim(F.coalesce("plan", F.lit(""))))).join(plans, "_plan", "left")
+    learnt = q.where("elegida IS NOT NULL").select(F.trim(F.coalesce(F.nullif(F.trim("texto"), F.lit("")), "asignatura", F.lit(""))).alias("texto"), F.col("elegida").alias("asignatura_id"), "orden").where("texto <> ''")
+    learnt = learn_aliases(learnt.join(state["asignaturas"].select(F.col("id").alias("asignatura_id"), F.col("nombre").alias("nombre_oficial")), "asignatura_id"), state["aliases"])
+    aliases = cut(state["aliases"].unionByName(learnt, allowMissingColumns=True))
+    subj = resolve_subjects(q.select("qid", F.col("asignatura").alias("texto")), state["asignaturas"], aliases)
     places = q.select(F.col("aula").alias("qid"), F.col("aula").alias("texto")).distinct()
     room = cut(resolve_rooms(places, state["aulas"]))
     room = q.select("qid", "aula").join(room.select(F.col("qid").alias("aula"), "aula_id", "error"), "aula").drop("aula")
-    errors = subj.where("error IS NOT NULL").select("error").unionByName(room.where("error IS NOT NULL").select("error")).distinct()
+    unknown = planned.where("programa_id IS NULL").select(F.concat(F.lit("Plan no encontrado: "), F.coalesce("plan", F.lit(""))).alias("error"))
+    errors = cut(unknown.unionByName(subj.where("error IS NOT NULL").select("error")).unionByName(room.where("error IS NOT NULL").select("error")).distinct())
     if not errors.isEmpty():
         return state, errors
-    rows = q.join(subj.select("qid", "asignatura_id"), "qid").join(room.select("qid", "aula_id"), "qid")
+    rows = planned.select("qid", "programa_id", "mencion", "grupo", "tipo", "curso", "dia_semana", "ini", "fin", "orden").join(subj.select("qid", "asignatura_id"), "qid").join(room.select("qid", "aula_id"), "qid")
     rows = cut(rows.withColumn("codigo", F.when(F.upper(F.trim(F.coalesce("grupo", F.lit("")))) == "", "UNICO").otherwise(F.upper(F.trim("grupo")))))
+    mentions, links = confirm_mentions(state, rows)
+    links = cut(links)
     touched = rows.select("asignatura_id").distinct()
     group = C.keep_first(rows, ["asignatura_id", "codigo"], ["orden"]).select("asignatura_id", "codigo", "tipo", "curso")
     groups = cut(new_ids(group, state["grupos"], ["asignatura_id", "codigo"]))
@@ -208,10 +237,11 @@ def confirm_schedule(state: dict[str, DataFrame], draft: DataFrame, restrictions
     grupos = state["grupos"].join(touched, "asignatura_id", "left_anti").unionByName(groups, allowMissingColumns=True)
     sesiones = state["sesiones"].join(lost, "id", "left_anti").unionByName(new, allowMissingColumns=True)
     full = sesiones.select("id", "grupo_docente_id", "aula_id", "dia_semana", "ini", "fin").join(grupos.select(F.col("id").alias("grupo_docente_id"), "asignatura_id", F.col("codigo").alias("grupo_codigo"), F.col("tipo").alias("tipo_grupo"), "curso"), "grupo_docente_id").join(state["asignaturas"].select(F.col("id").alias("asignatura_id"), "periodo"), "asignatura_id")
-    full = C.effective_teachers(full, sesiones.sparkSession.createDataFrame([], "sesion_id long, profesor_id long"), state["profesores_asignaturas"]).withColumn("mencion_ids", F.array().cast("array<bigint>"))
+    full = C.effective_teachers(full, sesiones.sparkSession.createDataFrame([], "sesion_id long, profesor_id long"), state["profesores_asignaturas"])
+    full = full.join(C.first_context(links).select("asignatura_id", "mencion_id"), "asignatura_id", "left").withColumn("mencion_ids", F.array_compact(F.array(F.col("mencion_id").cast("bigint")))).drop("mencion_id")
     found = C.detect_for(cut(full), new.select("id"), restrictions)
     conflicts = sync_session_conflicts(state["conflictos"].join(C.touching(state["conflictos"], lost).select("hash"), "hash", "left_anti"), found, new.select("id"))
-    return state | {"grupos": grupos, "sesiones": sesiones, "conflictos": conflicts}, errors
+    return state | {"aliases": aliases, "menciones": mentions, "enlaces": links, "grupos": grupos, "sesiones": sesiones, "conflictos": conflicts}, errors
 
 
 def delete_schedule(s: DataFrame, links: DataFrame, programa_id: int, curso: int, periodo: str, mencion_id: int | None = None) -> tuple[DataFrame, int]:
@@ -298,3 +328,24 @@ def record_run(runs: DataFrame, run_id: str, results: DataFrame) -> DataFrame:
     new = new.select(F.lit(run_id).alias("run_id"), F.when(F.col("errores") > 0, "con_errores").otherwise("completado").alias("estado"), "bloques", F.coalesce("errores", F.lit(0)).cast("long").alias("errores"))
     return runs.unionByName(new)
 
+
+def record_blocks(lineage: dict[str, DataFrame], results: DataFrame) -> dict[str, DataFrame]:
+    """Lineage of documents, runs and extracted blocks after results (documento, tipo, ruta, run_id, bloque, contenido, estado).
+
+    documentos (id, nombre, tipo, ruta) gets the documents that it lacks, by
+    name; import_runs (id, documento_id, run_id, estado, bloques, errores) a row
+    for every document of a run, with its state; extracciones (id,
+    import_run_id, documento_id, tipo, bloque, contenido) a row for every block
+    that didn't fail. Rows are only added.
+    """
+    named = C.keep_first(results, ["documento"], ["ruta", "tipo"]).select(F.col("documento").alias("nombre"), "tipo", "ruta")
+    new = named.join(lineage["documentos"].select("nombre"), "nombre", "left_anti")
+    docs = cut(lineage["documentos"].unionByName(new_ids(new, lineage["documentos"], ["nombre"])))
+    of = docs.select(F.col("nombre").alias("documento"), F.col("id").alias("documento_id"))
+    failed = F.sum((F.col("estado") == "error").cast("int"))
+    runs = results.groupBy("documento", "run_id").agg(F.count("*").alias("bloques"), F.coalesce(failed, F.lit(0)).cast("long").alias("errores"))
+    runs = runs.withColumn("estado", F.when(F.col("errores") > 0, "con_errores").otherwise("completado")).join(of, "documento").drop("documento")
+    runs = cut(new_ids(runs, lineage["import_runs"], ["run_id", "documento_id"]))
+    blocks = results.where("estado <> 'error'").join(of, "documento").join(runs.select("run_id", "documento_id", F.col("id").alias("import_run_id")), ["run_id", "documento_id"]).select("import_run_id", "documento_id", "tipo", "bloque", "contenido")
+    blocks = lineage["extracciones"].unionByName(new_ids(blocks, lineage["extracciones"], ["import_run_id", "bloque"]))
+    return {"documentos": docs, "import_runs": lineage["import_runs"].unionByName(runs), "extracciones": blocks}

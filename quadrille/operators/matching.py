@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,32 +108,68 @@ def _grid(left: DataFrame, by: str, keys: DataFrame, rows: int, block: int) -> t
     return left.select("*", dealt(by, parts).alias("_t"), all_of(blocks).alias("_b")), keys.select("*", all_of(parts).alias("_t"), dealt("candidate", blocks).alias("_b"))
 
 
-def candidate_universe(queries: DataFrame, index: DataFrame, links: DataFrame, block: int = 20_000) -> DataFrame:
-    """(qid, key): keys that a query may be like, from its program and course; without any there, its program; else all.
-
-    The last level meets the keys in blocks of the given number of rows, and
-    the queries in parts, so that no task has all of them.
-    """
+def candidate_universe(queries: DataFrame, index: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (qid, key) of keys that a query may be like, from its program and course or without any there its program; and the queries
+    (qid) that have none there and may be like any key. These aren't written out as pairs: best_of_all meets them in blocks."""
     near, rest = _near_universe(queries.select("qid", "prog_id", "curso"), index, links)
-    mine, keys = _grid(rest.select("qid"), "qid", index.select(F.col("key").alias("candidate")).distinct(), 50, block)
-    return near.unionByName(mine.join(keys, ["_t", "_b"]).select("qid", "candidate"))
+    return near.select("qid", F.col("candidate").alias("key")), rest.select("qid")
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """How often each letter (by code point, folded to 64) comes in each text, and the texts' lengths last."""
+    out = np.zeros((len(texts), 65), dtype=np.int32)
+    for i, t in enumerate(texts):
+        for c, n in Counter(t).items():
+            out[i, ord(c) % 64] += n
+        out[i, 64] = len(t)
+    return out
+
+
+def at_most(text: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The ratio that a text can't exceed with any of others, all as letters() has them: no subsequence is longer than the letters that both have."""
+    both = np.minimum(text[:64], others[:, :64]).sum(axis=1)
+    total = text[64] + others[:, 64]
+    return np.where(total > 0, 200.0 * both / np.maximum(total, 1), 100.0)
 
 
-def best_of_all(texts: DataFrame, index: DataFrame, rows: int = 200, block: int = 2_000) -> DataFrame:
-    """(key, candidate, score): for each of the distinct texts (key) its most similar key of all, from CUTOFF; of equal ones the first."""
+def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float] = token_set_ratio, cutoff: float = CUTOFF, rows: int = 200, block: int = 2_000) -> DataFrame:
+    """(key, candidate, score): for each of the distinct texts (key) its most similar candidate of all, from cutoff; of equal ones the first.
+
+    Texts and candidates are dealt to the cells of a grid, so that a cell has
+    about rows texts and block candidates. Within it, letters that two have in
+    common bound their ratio, for whole blocks at once; only pairs whose bound
+    reaches the cutoff and the best score so far are compared. A set ratio of
+    texts that share a word isn't bounded by letters: those pairs are compared
+    whatever their letters. Each cell hands on one candidate a text.
+    """
 
     def best(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         found = []
         candidates = sorted(keys["candidate"])
+        sets = fn is token_set_ratio
+        compared = lambda t: " ".join(sorted(set(t.split()) if sets else t.split()))  # noqa: E731  what the ratio is taken of, where no word is shared
+        plain = letters([compared(c) for c in candidates])
+        with_word: dict[str, list[int]] = {}
+        for i, c in enumerate(candidates if sets else []):
+            for w in set(c.split()):
+                with_word.setdefault(w, []).append(i)
         for text in texts["key"]:
-            scores = [token_set_ratio(text, c) for c in candidates]
-            top = max(scores, default=0.0)
-            if top >= CUTOFF:
-                found.append((text, candidates[scores.index(top)], top))
+            bound = at_most(letters([compared(text)])[0], plain) + 1e-9
+            for w in set(text.split()):
+                bound[with_word.get(w, [])] = 101.0
+            top, chosen = -1.0, ""
+            for i in np.lexsort((np.arange(len(candidates)), -bound)):
+                if bound[i] < cutoff or bound[i] < top:
+                    break
+                score = fn(text, candidates[i])
+                if score > top or (score == top and candidates[i] < chosen):
+                    top, chosen = score, candidates[i]
+            if top >= cutoff:
+                found.append((text, chosen, top))
         return pd.DataFrame(found, columns=["key", "candidate", "score"])
 
-    mine, keys = _grid(texts, "key", index.select(F.col("key").alias("candidate")).distinct(), rows, block)
-    cells = mine.groupBy("_t", "_b").cogroup(keys.groupBy("_t", "_b")).applyInPandas(best, "key string, candidate string, score double")
+    mine, others = _grid(texts, "key", keys, rows, block)
+    cells = mine.groupBy("_t", "_b").cogroup(others.groupBy("_t", "_b")).applyInPandas(best, "key string, candidate string, score double")
     return best_candidate(cells.withColumn("qid", F.col("key"))).drop("qid")
 
 
@@ -157,7 +195,7 @@ def match_subjects(queries: DataFrame, subjects: DataFrame, aliases: DataFrame |
     scored = pairs.withColumn("score", scorer(token_set_ratio)("key", "candidate")).where(F.col("score") >= CUTOFF)
     best = best_candidate(scored).select("qid", F.col("candidate").alias("key"), "score")
     far = cut(rest.join(far.select("qid").distinct(), "qid", "left_semi").select("qid", "key"))
-    best = cut(best.unionByName(far.join(best_of_all(far.select("key").distinct(), index), "key").select("qid", F.col("candidate").alias("key"), "score")))
+    best = cut(best.unionByName(far.join(best_of_all(far.select("key").distinct(), index.select(F.col("key").alias("candidate")).distinct()), "key").select("qid", F.col("candidate").alias("key"), "score")))
     chosen = resolve_ambiguity(best.join(index, "key").join(rest.select("qid", "prog_id", "curso"), "qid"), links)
     auto = F.col("score") >= AUTO + (STRICT_MORE if strict else 0)
     fuzzy = chosen.select("qid", "asignatura_id", F.when(auto, "FUZZY_AUTO").otherwise("FUZZY_LOW_CONFIDENCE").alias("estado"), F.bround("score", 2).alias("score"))
@@ -171,11 +209,7 @@ def infer_program(queries: DataFrame, programs: DataFrame) -> DataFrame:
     q = queries.select("qid", subject_key(F.coalesce("texto", F.lit(""))).alias("key")).where("key <> ''")
     exact = q.join(keys, q["key"] == keys["candidate"]).select("qid", "programa_id", F.lit(100.0).alias("score"))
     rest = q.join(exact.select("qid"), "qid", "left_anti")
-    distinct = rest.select("key").distinct()
-    blocked = keys.withColumn("_b", F.pmod(F.xxhash64("candidate"), F.lit(8).cast("long")))
-    pairs = distinct.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).join(blocked, "_b")
-    scored = pairs.withColumn("score", scorer(token_set_ratio)("key", "candidate")).where(F.col("score") >= PROGRAM).withColumn("qid", F.col("key"))
-    best = best_candidate(scored).select("key", "programa_id", "score")
+    best = best_of_all(cut(rest.select("key").distinct()), keys.select("candidate"), cutoff=PROGRAM).join(keys, "candidate")
     found = exact.unionByName(rest.join(best, "key").select("qid", "programa_id", "score"))
     return queries.join(found, "qid", "left")
 
@@ -208,12 +242,7 @@ def match_rooms(queries: DataFrame, rooms: DataFrame, fuzzy: bool = True) -> Dat
     found = one.unionByName(two).unionByName(three)
     if fuzzy:
         rest = rest.join(three, "qid", "left_anti")
-        # similar keys have lengths alike: ratio >= c needs the shorter to have c / (200 - c) of the longer's letters
-        a, b = rest.select(F.col("key").alias("q")).distinct(), index.select(F.col("key").alias("candidate"))
-        near = F.explode(F.sequence(F.floor(F.length("q") * F.lit(ROOM / (200 - ROOM))), F.ceil(F.length("q") * F.lit((200 - ROOM) / ROOM))))
-        pairs = a.withColumn("_n", near).join(b.withColumn("_n", F.length("candidate").cast("long")), "_n")
-        scored = pairs.withColumn("score", scorer(token_sort_ratio)("q", "candidate")).where(F.col("score") >= ROOM).withColumn("qid", F.col("q"))
-        best = best_candidate(scored).select(F.col("q").alias("key"), F.col("candidate"))
+        best = best_of_all(cut(rest.select("key").distinct()), index.select(F.col("key").alias("candidate")), token_sort_ratio, ROOM).select("key", "candidate")
         four = rest.join(best, "key").join(index.select(F.col("key").alias("candidate"), "aula_id"), "candidate").select("qid", "aula_id", F.lit(4).alias("nivel"))
         found = found.unionByName(four)
     return queries.join(found, "qid", "left")
@@ -261,6 +290,24 @@ def key_variants(rooms: DataFrame) -> DataFrame:
     return room_index(rooms)
 
 
+def refine_matching(draft: DataFrame, subjects: DataFrame, aliases: DataFrame | None, links: DataFrame, programs: DataFrame) -> DataFrame:
+    """Draft sessions (id, plan, curso, asignatura) matched again under their plan: asignatura_id, asignatura_sugerida, estado and score anew.
+
+    Each plan's program is inferred once, and each text of a plan and course is
+    matched once. Rows without a text keep nothing; NO_MATCH leaves no subject.
+    """
+    plans = infer_program(draft.select(F.col("plan").alias("qid"), F.col("plan").alias("texto")).where("plan IS NOT NULL").distinct(), programs)
+    curso = F.expr("coalesce(try_cast(regexp_replace(cast(curso AS string), '[^0-9]', '') AS int), 0)")
+    rows = draft.drop("asignatura_id", "asignatura_sugerida", "estado", "score").withColumn("_curso", curso)
+    texts = rows.where(F.coalesce("asignatura", F.lit("")) != "").select("plan", "_curso", "asignatura").distinct()
+    texts = texts.join(plans.select(F.col("qid").alias("plan"), F.col("programa_id").alias("prog_id")), "plan", "left")
+    texts = cut(texts.select(F.monotonically_increasing_id().alias("qid"), F.col("plan").alias("_p"), F.col("_curso").alias("curso"), F.col("asignatura").alias("texto"), "prog_id"))
+    found = match_subjects(texts.select("qid", "texto", "prog_id", "curso"), subjects, aliases, links).select("qid", "asignatura_id", "estado", "score")
+    found = texts.join(found, "qid").join(subjects.select(F.col("id").alias("asignatura_id"), F.col("nombre").alias("asignatura_sugerida")), "asignatura_id", "left")
+    on = F.col("plan").eqNullSafe(F.col("_p")) & (F.col("_curso") == F.col("_c")) & (F.col("asignatura") == F.col("texto"))
+    return rows.join(found.withColumnRenamed("curso", "_c").drop("prog_id", "qid"), on, "left").drop("_p", "_c", "_curso", "texto")
+
+
 def learn_aliases(draft: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases to insert: original texts that differ from the chosen subject's name, the last choice of each, unless they are known."""
     new = draft.where(F.col("asignatura_id").isNotNull() & (F.lower(F.trim("texto")) != F.lower(F.trim("nombre_oficial"))))

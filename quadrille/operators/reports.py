@@ -25,9 +25,14 @@ def search_conflicts(df: DataFrame, *, sesion: int | None = None, **equal) -> Da
     return df if sesion is None else df.where((F.col("sesion_id") == sesion) | (F.col("sesion_2_id") == sesion))
 
 
-def search_sessions(s: DataFrame, links: DataFrame, *, programa_id: int | None = None, curso: int | None = None, mencion_id: int | None = None, profesor_id: int | None = None, **equal) -> DataFrame:
-    """Sessions by their own columns, a teacher, and the program, course and mention of a link of their subject."""
+def search_sessions(s: DataFrame, links: DataFrame, *, programa_id: int | None = None, curso: int | None = None, mencion_id: int | None = None, profesor_id: int | None = None, desde=None, hasta=None, **equal) -> DataFrame:
+    """Sessions by their own columns, a teacher, the program, course and mention of a link of their subject, and dates: dated sessions
+    (inicio, fin_ts) that begin no earlier than desde and end no later than hasta. A session comes once, however many links fit."""
     s = where_all(s, **equal)
+    if desde is not None:
+        s = s.where(F.col("inicio") >= F.lit(desde))
+    if hasta is not None:
+        s = s.where(F.col("fin_ts") <= F.lit(hasta))
     if profesor_id is not None:
         s = s.where(F.array_contains("profesor_ids", F.lit(profesor_id)))
     if programa_id is None and curso is None and mencion_id is None:
@@ -92,9 +97,12 @@ def review_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum((s == "error").cast("int")).alias("errors"), F.sum((s == "suggestion").cast("int")).alias("suggestions"))
 
 
-def review_order(df: DataFrame) -> DataFrame:
+def review_order(df: DataFrame, *within: str) -> DataFrame:
+    """Adds pos, the place of a row among those to review: errors first, then suggestions, then by day and time. within names columns that
+    have an order of their own for each of their values; without any, rows come sorted and without pos, as no task numbers all of them."""
     rank = F.when(status_of(df) == "error", 0).when(status_of(df) == "suggestion", 1).otherwise(2)
-    return df.orderBy(rank, "dia_semana", "ini", "id")
+    order = [rank, F.col("dia_semana"), F.col("ini"), F.col("id")]
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*within).orderBy(*order))) if within else df.orderBy(*order)
 
 
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators import conflicts as C
-from quadrille.operators.intervals import recurrence
+from quadrille.operators.intervals import interval_pairs, overlaps_weekly, recurrence
 from quadrille.plans.registry import Tables, query
 
 
@@ -101,11 +101,8 @@ def j7(t):
 
 @query("f1_weekly_overlap_counts", f"SELECT a.plan_id, count(*) AS n FROM sesiones a JOIN sesiones b ON a.plan_id = b.plan_id AND a.aula_id = b.aula_id AND {PAIR} GROUP BY 1", ("sesiones",))
 def f1(t):
-    from quadrille.operators.intervals import overlaps_weekly
-
-    a, b = t.sesiones.alias("a"), t.sesiones.alias("b")
-    on = (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.aula_id") == F.col("b.aula_id")) & (F.col("a.periodo") == F.col("b.periodo")) & (F.col("a.dia_semana") == F.col("b.dia_semana")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).where(overlaps_weekly("a", "b")).groupBy(F.col("a.plan_id").alias("plan_id")).agg(F.count("*").alias("n"))
+    pairs = interval_pairs(t.sesiones.select("id", "plan_id", "aula_id", "periodo", "dia_semana", "ini", "fin"), ["plan_id", "aula_id", "periodo", "dia_semana"], "ini", "fin", C.BIN)
+    return pairs.where(overlaps_weekly("a", "b")).groupBy(F.col("a.plan_id").alias("plan_id")).agg(F.count("*").alias("n"))
 
 
 @query("f3_recurrence", "SELECT CASE WHEN id % 7 = 0 THEN 'FECHADA' ELSE 'SEMANAL' END AS tipo_recurrencia, count(*) AS n FROM sesiones GROUP BY 1", ("sesiones",))

@@ -168,11 +168,16 @@ def x10(t):
     return X.draft_to_normalizer(draft).select("id", "periodo")
 
 
-LINES = "SELECT p_partkey // 8 AS doc, CAST(1 AS INT) AS page, p_partkey % 8 AS linea, CASE p_size % 6 WHEN 0 THEN 'TERCER CURSO' WHEN 1 THEN 'segundo' WHEN 2 THEN concat('Mención en ', p_name) WHEN 3 THEN '4' ELSE p_name END AS text FROM part"
+LINES = "SELECT p_partkey // 8 AS doc, CAST(1 AS INT) AS page, p_partkey % 8 AS linea, CASE p_size % 11 WHEN 0 THEN 'TERCER CURSO' WHEN 1 THEN 'segundo' WHEN 2 THEN concat('Mención en ', p_name) WHEN 3 THEN '4' WHEN 4 THEN ' IV curso ' WHEN 5 THEN concat('ESPECIALIDAD DE ', p_name, '    y más') WHEN 6 THEN 'AULA tercer curso' WHEN 7 THEN 'séptimo curso' WHEN 8 THEN '1er' WHEN 9 THEN concat('itinerario ', p_name) ELSE p_name END AS text FROM part"
 
 
-@query("g9_page_metadata", f"""WITH l AS ({LINES}), s AS (SELECT *, CASE WHEN text = 'TERCER CURSO' THEN 100 WHEN text = 'segundo' THEN 50 WHEN text = '4' THEN 20 END AS sc, CASE WHEN starts_with(text, 'Mención') THEN text END AS m FROM l)
-  SELECT doc, page, (SELECT upper(text) FROM s x WHERE x.doc = s.doc AND sc IS NOT NULL ORDER BY sc DESC, linea LIMIT 1) AS curso, (SELECT m FROM s x WHERE x.doc = s.doc AND m IS NOT NULL ORDER BY length(m) DESC, linea LIMIT 1) AS mencion FROM s GROUP BY doc, page""")
+_TABLE = "LUNES|MARTES|MI[ÉE]RCOLES|JUEVES|VIERNES|AULA|LAB|SEMANAS|P[ÁA]GINA|PAGE|HOJA"
+
+
+@query("g9_page_metadata", f"""WITH l AS ({LINES}), s AS (SELECT *, CASE trim(text) WHEN 'TERCER CURSO' THEN '3º' WHEN 'IV curso' THEN '4º' WHEN 'segundo' THEN '2º' WHEN '1er' THEN '1º' END AS c, CASE WHEN text ILIKE '% curso%' THEN 100 ELSE 50 END AS sc,
+   CASE WHEN starts_with(text, 'Mención en ') OR starts_with(text, 'ESPECIALIDAD DE ') OR starts_with(text, 'itinerario ') THEN trim(regexp_extract(regexp_replace(text, '^(Mención en|ESPECIALIDAD DE|itinerario) ', ''), '^[A-Za-zÁÉÍÓÚÑáéíóúñ. ]+')) END AS m0 FROM l WHERE NOT regexp_matches(upper(text), '{_TABLE}')),
+  r AS (SELECT *, trim(string_split(m0, '    ')[1]) AS m FROM s)
+  SELECT doc, page, coalesce((SELECT c FROM r x WHERE x.doc = l.doc AND c IS NOT NULL ORDER BY sc DESC, linea LIMIT 1), 'N.A.') AS curso, (SELECT m FROM r x WHERE x.doc = l.doc AND m IS NOT NULL ORDER BY length(m) DESC, linea LIMIT 1) AS mencion FROM l GROUP BY doc, page""")
 def g9(t):
     return X.page_metadata(t.spark.sql(LINES.replace("FROM part", "FROM {part}").replace("//", "div"), part=t.part))
 

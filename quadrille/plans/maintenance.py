@@ -16,29 +16,35 @@ from quadrille.sources.tables import load_sessions
 OLD = "old AS (SELECT tipo, sesion_id, sesion_2_id, CASE WHEN sesion_id % 10 = 3 THEN sha256(hash) ELSE hash END AS hash, CASE WHEN sesion_id % 4 = 0 THEN 'solucionado' ELSE 'por_revisar' END AS estado FROM found WHERE sesion_id % 10 <> 7)"
 
 
-def stored(t):
-    old = detected(t).where("sesion_id % 10 <> 7").select("tipo", "sesion_id", "sesion_2_id", "hash", F.when(F.col("sesion_id") % 4 == 0, "solucionado").otherwise("por_revisar").alias("estado"))
+def old_of(found):
+    old = found.where("sesion_id % 10 <> 7").select("tipo", "sesion_id", "sesion_2_id", "hash", F.when(F.col("sesion_id") % 4 == 0, "solucionado").otherwise("por_revisar").alias("estado"))
     return old.withColumn("hash", F.when(F.col("sesion_id") % 10 == 3, F.sha2("hash", 256)).otherwise(F.col("hash")))
 
 
-def fresh(t):
-    return detected(t).select("tipo", "sesion_id", "sesion_2_id", "hash")
+def stored(t):
+    return old_of(detected(t))
+
+
+def both(t):
+    """What is stored and what is found: detected once and written, as a stored table would be."""
+    found = cut(detected(t).select("tipo", "sesion_id", "sesion_2_id", "hash"))
+    return old_of(found), found
 
 
 @query("u1_conflict_diff", f"{ALL}, {OLD} SELECT 'borrar' AS accion, hash FROM old WHERE hash NOT IN (SELECT hash FROM found) UNION ALL SELECT 'insertar', hash FROM found WHERE hash NOT IN (SELECT hash FROM old)", NEEDS)
 def u1(t):
-    gone, new = M.conflict_diff(stored(t), fresh(t))
+    gone, new = M.conflict_diff(*both(t))
     return gone.select(F.lit("borrar").alias("accion"), "hash").unionByName(new.select(F.lit("insertar").alias("accion"), "hash"))
 
 
 @query("m1_sync_conflicts", f"{ALL}, {OLD} SELECT f.tipo, f.sesion_id, f.sesion_2_id, f.hash, coalesce(old.estado, 'por_revisar') AS estado FROM found f LEFT JOIN old ON old.hash = f.hash", NEEDS)
 def m1(t):
-    return M.sync_conflicts(stored(t), fresh(t))[0]
+    return M.sync_conflicts(*both(t))[0]
 
 
 @query("m1_sync_counts", f"{ALL}, {OLD} SELECT (SELECT count(*) FROM old WHERE hash NOT IN (SELECT hash FROM found)) AS eliminados, (SELECT count(*) FROM found WHERE hash NOT IN (SELECT hash FROM old)) AS insertados, (SELECT count(*) FROM found) AS total", NEEDS)
 def m1c(t):
-    return M.sync_conflicts(stored(t), fresh(t))[1]
+    return M.sync_conflicts(*both(t))[1]
 
 
 @query("m2_sync_session_conflicts", f"{ALL}, {OLD} SELECT tipo, sesion_id, sesion_2_id, hash, estado FROM old WHERE NOT (sesion_id % 25 = 3 OR coalesce(sesion_2_id % 25 = 3, false)) UNION ALL SELECT tipo, sesion_id, sesion_2_id, hash, 'por_revisar' FROM found WHERE sesion_id % 25 = 3 OR sesion_2_id % 25 = 3", NEEDS)
@@ -185,23 +191,72 @@ def src1(t):
     return s.select("id", "aula_id", "asignatura_id", "periodo", "tipo_grupo", "grupo_codigo", F.array_join("profesor_ids", ",").alias("profesores"), "tipo_recurrencia")
 
 
+@query("m16_record_blocks", "SELECT event_id AS evento, 'doc' || CAST(event_id // 100 AS VARCHAR) AS documento, CASE WHEN bool_or(event_id % 9 = 0) OVER (PARTITION BY event_id // 100) THEN 'con_errores' ELSE 'completado' END AS estado, CAST(count(*) OVER (PARTITION BY event_id // 100) AS BIGINT) AS bloques FROM events QUALIFY event_id % 9 <> 0")
+def m16b(t):
+    """A run over documents of a hundred blocks each, of which one in nine fails; some documents are known before."""
+    results = t.events.select(F.concat(F.lit("doc"), F.expr("event_id div 100").cast("string")).alias("documento"), F.lit("horario").alias("tipo"), F.lit("/in").alias("ruta"), F.lit("r1").alias("run_id"), F.col("event_id").cast("string").alias("bloque"), F.lit("x").alias("contenido"), F.when(F.col("event_id") % 9 == 0, "error").otherwise("ok").alias("estado"))
+    known = results.where("documento LIKE '%5'").select(F.col("documento").alias("nombre"), "tipo", "ruta").distinct().withColumn("id", F.substring("nombre", 4, 12).cast("long"))
+    empty = t.spark.createDataFrame
+    out = M.record_blocks({"documentos": known.select("id", "nombre", "tipo", "ruta"), "import_runs": empty([], "id long, documento_id long, run_id string, estado string, bloques long, errores long"), "extracciones": empty([], "id long, import_run_id long, documento_id long, tipo string, bloque string, contenido string")}, results)
+    runs = out["import_runs"].select(F.col("id").alias("import_run_id"), "documento_id", "estado", "bloques")
+    return out["extracciones"].join(runs, ["import_run_id", "documento_id"]).join(out["documentos"].select(F.col("id").alias("documento_id"), F.col("nombre").alias("documento")), "documento_id").select(F.col("bloque").cast("long").alias("evento"), "documento", "estado", "bloques")
+
+
+def confirmed(t):
+    """A draft of all sessions of every second plan, confirmed: subjects by name or by a text that was chosen by hand, rooms by name."""
+    own_tables = tables(t)
+    programs = own(t, "SELECT DISTINCT id // 32 AS id, concat('Grado en Plan ', CAST(id // 32 AS VARCHAR)) AS nombre FROM asignaturas")
+    mentions = own(t, "SELECT DISTINCT CAST(1000000 + id // 32 AS BIGINT) AS id, id // 32 AS programa_id, 'Uno' AS nombre, true AS activo FROM asignaturas")
+    state = own_tables | {"programas": programs, "menciones": mentions, "aulas": t.aulas, "aliases": t.spark.createDataFrame([], "asignatura_id long, alias string"), "conflictos": cut(stored(t))}
+    names = t.asignaturas.select(F.col("id").alias("asignatura_id"), "nombre")
+    draft = t.sesiones.where("plan_id % 2 = 0").join(names, "asignatura_id").join(t.aulas.select(F.col("id").alias("aula_id"), F.col("nombre").alias("aula")), "aula_id")
+    by_hand = F.col("asignatura_id") % 5 == 0
+    draft = draft.select(
+        F.concat(F.lit("grado en plan "), F.floor(F.col("asignatura_id") / 32).cast("string")).alias("plan"), F.when(F.col("mencion_id") == 1, "Mención en uno").when(F.col("mencion_id") == 2, "Dos").alias("mencion"),
+        F.when(by_hand, F.concat(F.lit("Texto "), F.col("asignatura_id").cast("string"))).otherwise(F.col("nombre")).alias("asignatura"), F.lit(None).cast("string").alias("texto"), F.when(by_hand, F.col("asignatura_id")).alias("elegida"),
+        F.col("grupo_codigo").alias("grupo"), F.col("tipo_grupo").alias("tipo"), "curso", "aula", "dia_semana", "ini", "fin", F.col("id").alias("orden"),
+    )
+    return M.confirm_schedule(state, draft, t.restricciones)
+
+
+TOUCHED = "d AS (SELECT s.* FROM sesiones s WHERE plan_id % 2 = 0)"
+
+
+@query("m4_confirm_sessions", f"""WITH {TOUCHED}, g AS (SELECT asignatura_id, grupo_codigo, arg_min(tipo_grupo, id) AS tipo FROM d GROUP BY 1, 2), n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY asignatura_id, grupo_codigo, dia_semana, ini ORDER BY id) = 1)
+  SELECT n.asignatura_id, n.grupo_codigo AS codigo, g.tipo, n.aula_id, n.dia_semana, n.ini, n.fin FROM n JOIN g ON g.asignatura_id = n.asignatura_id AND g.grupo_codigo = n.grupo_codigo
+  UNION ALL SELECT asignatura_id, grupo_codigo, tipo_grupo, aula_id, dia_semana, ini, fin FROM sesiones WHERE asignatura_id NOT IN (SELECT asignatura_id FROM d)""", ("sesiones",))
+def m4s(t):
+    """All sessions after the draft, with their groups."""
+    out, errors = confirmed(t)
+    groups = out["grupos"].select(F.col("id").alias("grupo_docente_id"), "asignatura_id", "codigo", "tipo")
+    return out["sesiones"].join(groups, "grupo_docente_id").select("asignatura_id", "codigo", "tipo", "aula_id", "dia_semana", "ini", "fin")
+
+
+@query("m4_confirm_links", f"""WITH {TOUCHED}, m AS (SELECT asignatura_id, arg_max(mencion_id, id) AS m FROM d WHERE mencion_id IS NOT NULL GROUP BY 1)
+  SELECT 'enlace' AS que, e.asignatura_id, e.programa_id, CASE WHEN m.m IS NULL THEN CAST(e.mencion_id AS VARCHAR) WHEN m.m = 1 THEN 'Uno' ELSE 'Dos' END AS valor FROM enlaces e LEFT JOIN m ON m.asignatura_id = e.asignatura_id AND e.programa_id = e.asignatura_id // 32
+  UNION ALL SELECT DISTINCT 'alias', asignatura_id, CAST(NULL AS BIGINT), concat('Texto ', CAST(asignatura_id AS VARCHAR)) FROM d WHERE asignatura_id % 5 = 0""", ("sesiones", "enlaces"))
+def m4l(t):
+    """Links with the names of the mentions that the draft gave them (else the number they had), and the aliases learnt."""
+    out, _ = confirmed(t)
+    before = t.enlaces.select(F.col("id").alias("_id"), F.col("mencion_id").alias("_antes"))
+    named = out["menciones"].select(F.col("id").alias("mencion_id"), F.col("nombre").alias("_nombre"))
+    links = out["enlaces"].join(before, F.col("id") == F.col("_id")).join(named, "mencion_id", "left")
+    value = F.when(F.col("mencion_id").eqNullSafe(F.col("_antes")), F.col("mencion_id").cast("string")).otherwise(F.col("_nombre"))
+    return links.select(F.lit("enlace").alias("que"), "asignatura_id", "programa_id", value.alias("valor")).unionByName(out["aliases"].select(F.lit("alias").alias("que"), "asignatura_id", F.lit(None).cast("long").alias("programa_id"), F.col("alias").alias("valor")))
+
+
 @query("m4_confirm_schedule")
 def m4(t):
-    """Ids are given anew and conflicts found again: tests hold the parts against golden rows."""
-    state = tables(t) | {"aulas": t.aulas, "aliases": t.spark.createDataFrame([], "asignatura_id long, alias string"), "conflictos": cut(stored(t))}
-    draft = t.sesiones.where("id % 40 = 0").join(t.asignaturas.select(F.col("id").alias("asignatura_id"), F.col("nombre").alias("asignatura")), "asignatura_id").join(t.aulas.select(F.col("id").alias("aula_id"), F.col("nombre").alias("aula")), "aula_id")
-    draft = draft.select("asignatura", F.col("grupo_codigo").alias("grupo"), F.col("tipo_grupo").alias("tipo"), "curso", "aula", "dia_semana", "ini", "fin", F.col("id").alias("orden"))
-    out, _ = M.confirm_schedule(state, draft, t.restricciones)
-    return out["conflictos"].select("hash", "tipo", "estado")
+    """The conflicts after the draft. Sessions' ids are given anew: a test holds them against detecting over the new state."""
+    return confirmed(t)[0]["conflictos"].select("hash", "tipo", "estado")
 
 
 @query("m15_refine_matching")
 def m15(t):
-    """A draft's subjects matched again under another plan."""
-    from quadrille.operators.matching import infer_program, match_subjects
+    """A draft's subjects matched again under another plan; a test holds it against the matcher text by text."""
+    from quadrille.operators.matching import refine_matching
     from quadrille.plans.matching import ALIASES, NAMES
 
     programs = own(t, "SELECT DISTINCT id // 32 AS id, concat('Grado en Plan ', CAST(id // 32 AS VARCHAR)) AS nombre, true AS activo FROM asignaturas")
-    draft = own(t, NAMES)
-    plan = infer_program(draft.select("qid", F.concat(F.lit("Plan "), F.floor(F.col("qid") / 32).cast("string")).alias("texto")), programs).select("qid", F.col("programa_id").alias("prog_id"))
-    return match_subjects(draft.drop("prog_id").join(plan, "qid"), t.asignaturas, own(t, ALIASES), t.enlaces)
+    draft = own(t, NAMES).select(F.col("qid").alias("id"), F.concat(F.lit("Plan "), F.floor(F.col("qid") / 32).cast("string")).alias("plan"), F.concat("curso", F.lit("º")).alias("curso"), F.col("texto").alias("asignatura"))
+    return refine_matching(draft, t.asignaturas, own(t, ALIASES), t.enlaces, programs)

@@ -27,6 +27,42 @@ def f6(t):
     return R.search_sessions(sessions(t), t.enlaces, curso=2, periodo="primer_cuatrimestre", profesor_id=7).select("id")
 
 
+@query("f6_search_dates", "SELECT id, aula_id FROM fechadas WHERE dia BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' AND aula_id % 50 = 7", ("fechadas",))
+def f6b(t):
+    s = own(t, "SELECT id, aula_id, aula_id % 50 AS puesto, timestampadd(MINUTE, ini, CAST(dia AS TIMESTAMP)) AS inicio, timestampadd(MINUTE, fin, CAST(dia AS TIMESTAMP)) AS fin_ts FROM fechadas")
+    return R.search_sessions(s, t.enlaces, desde="1995-01-01 00:00:00", hasta="1996-07-01 00:00:00", puesto=7).select("id", "aula_id")
+
+
+PROGRAMS = "SELECT DISTINCT programa_id AS id, concat('Grado en Plan ', CAST(programa_id AS VARCHAR)) AS nombre, CASE WHEN programa_id >= 100000 THEN 'master' ELSE 'grado' END AS tipo, programa_id % 7 <> 0 AS activo FROM enlaces"
+MENTIONS = "SELECT DISTINCT programa_id * 10 + mencion_id AS id, programa_id, concat('Mención ', CAST(mencion_id AS VARCHAR)) AS nombre, programa_id % 3 <> 0 AS activo FROM enlaces WHERE mencion_id IS NOT NULL"
+GROUPS = "SELECT DISTINCT asignatura_id, grupo_codigo AS codigo, tipo_grupo AS tipo, curso FROM sesiones"
+
+
+@query("f9_list_programs", f"SELECT id, nombre FROM ({PROGRAMS}) WHERE activo AND tipo = 'grado'", ("enlaces",))
+def f9b(t):
+    return R.listing(own(t, PROGRAMS), "nombre", "id", activo=True, tipo="grado").select("id", "nombre")
+
+
+@query("f9_list_mentions", f"SELECT id, nombre FROM ({MENTIONS}) WHERE activo AND programa_id = 1", ("enlaces",))
+def f9c(t):
+    return R.listing(own(t, MENTIONS), "nombre", "id", activo=True, programa_id=1).select("id", "nombre")
+
+
+@query("f9_list_groups", f"SELECT asignatura_id, codigo, curso FROM ({GROUPS}) WHERE tipo = 'TEORIA' AND codigo = 'G1'", ("sesiones",))
+def f9d(t):
+    return R.listing(own(t, GROUPS), "asignatura_id", "codigo", tipo="TEORIA", codigo="G1").select("asignatura_id", "codigo", "curso")
+
+
+@query("j20_subject_programs", f"SELECT DISTINCT e.asignatura_id, e.programa_id, p.nombre FROM enlaces e JOIN ({PROGRAMS}) p ON p.id = e.programa_id", ("asignaturas", "enlaces"))
+def j20b(t):
+    return R.bridge(t.asignaturas, t.enlaces, own(t, PROGRAMS), "asignatura_id", "programa_id")
+
+
+@query("j20_program_subjects", "SELECT DISTINCT e.programa_id, e.asignatura_id, a.nombre FROM enlaces e JOIN asignaturas a ON a.id = e.asignatura_id", ("asignaturas", "enlaces"))
+def j20c(t):
+    return R.bridge(own(t, PROGRAMS), t.enlaces, t.asignaturas, "programa_id", "asignatura_id")
+
+
 @query("f7_search_subjects", "SELECT id, codigo_plan FROM asignaturas WHERE activo AND modalidad = 'online' AND idioma = 'español'", ("asignaturas",))
 def f7(t):
     return R.search_subjects(t.asignaturas, activo=True, modalidad="online", idioma="español").select("id", "codigo_plan")
@@ -74,10 +110,7 @@ def g8(t):
 @query("o3_review_order", f"SELECT id, row_number() OVER (PARTITION BY plan_id ORDER BY CASE {STATUS} WHEN 'error' THEN 0 WHEN 'suggestion' THEN 1 ELSE 2 END, dia_semana, ini, id) AS pos FROM ({DRAFT})", ("sesiones",))
 def o3(t):
     """The order of each plan's rows, as numbers."""
-    from pyspark.sql import Window
-
-    rank = F.when(R.status_of(None) == "error", 0).when(R.status_of(None) == "suggestion", 1).otherwise(2)
-    return own(t, DRAFT).select("id", F.row_number().over(Window.partitionBy("plan_id").orderBy(rank, "dia_semana", "ini", "id")).alias("pos"))
+    return R.review_order(own(t, DRAFT), "plan_id").select("id", "pos")
 
 
 @query("f4_validate_session", "SELECT id, CASE id % 5 WHEN 0 THEN 'faltan_fechas,sobra_horario' WHEN 1 THEN 'falta_horario' WHEN 2 THEN 'orden_horas' ELSE '' END AS errores FROM sesiones", ("sesiones",))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quadrille.operators import conflicts as C
@@ -12,19 +9,15 @@ from quadrille.operators import maintenance as M
 from quadrille.plans.detection import sessions
 from quadrille.plans.maintenance import changes, flat
 from quadrille.plans.registry import query
+from quadrille.sources.storage import scratch
 from quadrille.sources.tables import read_stage, write_stage
 from quadrille.streaming import jobs
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quadrille-')).rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 @query("t1_stream_session_changes")
 def t1(t):
     """The state after all batches: equal to detecting over the edited sessions (see the tests)."""
-    base, s = scratch(t.spark), flat(t)
+    base, s = scratch(t.spark, "streams"), flat(t)
     M.publish(s, f"{base}/sesiones", 0)
     M.publish(C.detect_conflicts(s, t.restricciones).withColumn("estado", F.lit(M.OPEN)), f"{base}/conflictos", 0)
     feed = changes(t, s)
@@ -35,7 +28,7 @@ def t1(t):
 
 @query("t2_stream_sheet_intake", r"SELECT concat('G', CAST(k AS VARCHAR)) AS codigo_plan FROM (SELECT DISTINCT p_partkey % 9000 + 100 AS k FROM part)")
 def t2(t):
-    base, spark = scratch(t.spark), t.spark
+    base, spark = scratch(t.spark, "streams"), t.spark
     schemas = {"asignaturas": "id long, codigo_plan string, nombre string, periodo string, ects int, modalidad string, idioma string, english_friendly boolean", "programas": "id long, nombre string, tipo string, activo boolean", "profesores": "id long, nombre string, apellidos string, activo boolean", "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long"}
     for k, schema in schemas.items():
         M.publish(spark.createDataFrame([], schema), f"{base}/{k}", 0)
@@ -46,7 +39,7 @@ def t2(t):
 
 @query("src5_write_stage", "SELECT id, profesor_id, aula_id FROM sesiones", ("sesiones",))
 def src5(t):
-    base = scratch(t.spark)
+    base = scratch(t.spark, "streams")
     out = sessions(t).select("id", "profesor_id", "aula_id")
     write_stage(out, base, "parsing")
     return read_stage(t.spark, base, "parsing", out.schema)

@@ -1,15 +1,32 @@
-"""Cutting long plans."""
+"""Cutting long plans, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, in the folder that spark.checkpoint.dir names or, where it is unset (tests), a local one."""
-    context = df.sparkSession.sparkContext
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where all is one machine, as in tests, may it be unset."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quadrille-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint()

@@ -73,7 +73,7 @@ def test_match_subjects_reaches_all_keys(spark, small, world):
 
 def test_best_of_all_over_several_cells(spark):
     texts, keys = [f"MTERIA {i} X" for i in range(9)] + ["QQQQ"], [f"MATERIA {i}" for i in range(12)] + ["MATERIA 3 X", "Z"]
-    index = spark.createDataFrame([(k, n) for n, k in enumerate(keys)] + [("Z", 99)], "key string, asignatura_id long")
+    candidates = spark.createDataFrame([(k,) for k in keys], "candidate string")
     want = {t: min((-M.token_set_ratio(t, k), k) for k in keys) for t in texts}
-    got = {r.key: (-r.score, r.candidate) for r in M.best_of_all(spark.createDataFrame([(t,) for t in texts], "key string"), index, rows=3, block=4).collect()}
+    got = {r.key: (-r.score, r.candidate) for r in M.best_of_all(spark.createDataFrame([(t,) for t in texts], "key string"), candidates, rows=3, block=4).collect()}
     assert got == {t: w for t, w in want.items() if -w[0] >= M.CUTOFF}
