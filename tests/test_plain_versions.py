@@ -21,8 +21,8 @@ from quadrille.streaming import jobs
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("small"))
-    spark.range(3000).selectExpr("id AS event_id").write.parquet(f"{folder}/events.parquet")
-    spark.range(240).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "concat('lace y 3 e sky', id) AS p_name").write.parquet(f"{folder}/part.parquet")
+    spark.range(1300).selectExpr("id AS event_id").write.parquet(f"{folder}/events.parquet")
+    spark.range(180).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "concat('lace y 3 e sky', id) AS p_name").write.parquet(f"{folder}/part.parquet")
     return folder
 
 
