@@ -19,6 +19,8 @@ MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_line_dedup": "line_dedup",
     "op10_exact_dedup": "exact_dedup",
+    "op11_embedding_whitening": "whitening",
+    "op12_toxicity": "toxicity",
 }
 
 
