@@ -21,6 +21,7 @@ MODULES = {
     "op10_exact_dedup": "exact_dedup",
     "op11_embedding_whitening": "whitening",
     "op12_toxicity": "toxicity",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 
