@@ -2,16 +2,20 @@
 
 A session has id, aula_id, profesor_ids (array), asignatura_id, curso, periodo,
 tipo_grupo, grupo_codigo, mencion_ids (array), dia_semana (0 is Monday), ini and
-fin (minutes from midnight); other columns may be there. In a pair the first
-session is the one with the lower id.
+fin (minutes from midnight); other columns may be there. Where inicio and fin_ts
+are among them, a session without a weekly slot is held once, between them. In
+a pair the first session is the one with the lower id. mixed and dates of the
+three overlap rules are those of session_pairs.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.operators.intervals import interval_pairs, overlaps
+from quadrille.operators.intervals import TIMES, held_between, interval_pairs, overlaps, session_pairs
 
 ROOM, TEACHER, COHORT, RESTRICTION = "solapamiento_aula", "solapamiento_profesor", "solapamiento_grupo", "incumplimiento_restriccion"
 CRITICAL, MILD = "critico", "no_bloqueante"
@@ -38,21 +42,25 @@ def _same_time_of_year(period_aware: bool) -> Column:
     return (F.col("a.periodo") == F.col("b.periodo")) | (F.col("a.periodo") == "anual") | (F.col("b.periodo") == "anual")
 
 
-def room_overlaps(s: DataFrame, *, period_aware: bool = False, width: int = BIN) -> DataFrame:
+def _times(s: DataFrame) -> list[str]:
+    return [c for c in TIMES if c in s.columns]
+
+
+def room_overlaps(s: DataFrame, *, period_aware: bool = False, width: int = BIN, mixed: bool = False, dates: tuple[datetime, datetime] | None = None) -> DataFrame:
     """(s1, s2, aula_id): sessions at the same time in the same room and period; sessions without a room are left out."""
-    s = _weekly(s).where("aula_id IS NOT NULL").select("id", "aula_id", "periodo", "dia_semana", "ini", "fin")
-    pairs = interval_pairs(s, ["aula_id", "dia_semana", *_period(period_aware)], "ini", "fin", width)
+    s = s.where("aula_id IS NOT NULL").select("id", "aula_id", "periodo", *_times(s))
+    pairs = session_pairs(s, ["aula_id", *_period(period_aware)], width, mixed=mixed, dates=dates)
     return pairs.where(_same_time_of_year(period_aware)).select(F.col("a.id").alias("s1"), F.col("b.id").alias("s2"), F.col("a.aula_id").alias("aula_id"))
 
 
-def teacher_overlaps(s: DataFrame, *, period_aware: bool = False, width: int = BIN) -> DataFrame:
+def teacher_overlaps(s: DataFrame, *, period_aware: bool = False, width: int = BIN, mixed: bool = False, dates: tuple[datetime, datetime] | None = None) -> DataFrame:
     """(s1, s2, profesor_id, alone): sessions at the same time with a teacher in common; alone if both have no other teacher."""
-    s = _weekly(s).select("id", "periodo", "dia_semana", "ini", "fin", (F.size("profesor_ids") == 1).alias("alone"), F.explode("profesor_ids").alias("profesor_id"))
-    pairs = interval_pairs(s, ["profesor_id", "dia_semana", *_period(period_aware)], "ini", "fin", width)
+    s = s.select("id", "periodo", *_times(s), (F.size("profesor_ids") == 1).alias("alone"), F.explode("profesor_ids").alias("profesor_id"))
+    pairs = session_pairs(s, ["profesor_id", *_period(period_aware)], width, mixed=mixed, dates=dates)
     return pairs.where(_same_time_of_year(period_aware)).select(F.col("a.id").alias("s1"), F.col("b.id").alias("s2"), F.col("a.profesor_id").alias("profesor_id"), (F.col("a.alone") & F.col("b.alone")).alias("alone"))
 
 
-def cohort_overlaps(s: DataFrame, *, extra_keys: tuple[str, ...] = (), period_aware: bool = False, width: int = BIN) -> DataFrame:
+def cohort_overlaps(s: DataFrame, *, extra_keys: tuple[str, ...] = (), period_aware: bool = False, width: int = BIN, mixed: bool = False, dates: tuple[datetime, datetime] | None = None) -> DataFrame:
     """(s1, s2, asignatura_comun, motivo, asignatura_id): sessions that the students of one course would have at the same time.
 
     Mentions that are known on both sides must have one in common. Sessions of
@@ -60,8 +68,8 @@ def cohort_overlaps(s: DataFrame, *, extra_keys: tuple[str, ...] = (), period_aw
     those of different subjects always do. asignatura_comun is 0 for the
     latter, and asignatura_id is the first session's.
     """
-    s = _weekly(s).select("id", F.coalesce("curso", F.lit(0)).alias("curso"), F.coalesce("periodo", F.lit("")).alias("periodo"), "dia_semana", "ini", "fin", "asignatura_id", F.upper("tipo_grupo").contains("TEORIA").alias("theory"), "grupo_codigo", F.coalesce("mencion_ids", F.array().cast("array<bigint>")).alias("mencion_ids"), *extra_keys)
-    pairs = interval_pairs(s, ["curso", "dia_semana", *extra_keys, *_period(period_aware)], "ini", "fin", width).where(_same_time_of_year(period_aware))
+    s = s.select("id", F.coalesce("curso", F.lit(0)).alias("curso"), F.coalesce("periodo", F.lit("")).alias("periodo"), *_times(s), "asignatura_id", F.upper("tipo_grupo").contains("TEORIA").alias("theory"), "grupo_codigo", F.coalesce("mencion_ids", F.array().cast("array<bigint>")).alias("mencion_ids"), *extra_keys)
+    pairs = session_pairs(s, ["curso", *extra_keys, *_period(period_aware)], width, mixed=mixed, dates=dates).where(_same_time_of_year(period_aware))
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     apart = (F.size(a("mencion_ids")) > 0) & (F.size(b("mencion_ids")) > 0) & ~F.arrays_overlap(a("mencion_ids"), b("mencion_ids"))
     same = a("asignatura_id") == b("asignatura_id")
@@ -72,11 +80,13 @@ def cohort_overlaps(s: DataFrame, *, extra_keys: tuple[str, ...] = (), period_aw
     return pairs.where("motivo IS NOT NULL")
 
 
-def restriction_violations(s: DataFrame, r: DataFrame) -> DataFrame:
-    """(s1, restriccion_id, profesor_id, r_ini, r_fin): weekly sessions while one of their teachers isn't available."""
+def restriction_violations(s: DataFrame, r: DataFrame, *, dates: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """(s1, restriccion_id, profesor_id, r_ini, r_fin): weekly sessions while one of their teachers isn't available, on some date of the range if there is one."""
     s = _weekly(s).select(F.col("id").alias("s1"), "dia_semana", "ini", "fin", F.explode("profesor_ids").alias("profesor_id"))
     r = r.select(F.col("id").alias("restriccion_id"), "profesor_id", "dia_semana", F.col("ini").alias("r_ini"), F.col("fin").alias("r_fin"))
     met = s.join(r, ["profesor_id", "dia_semana"]).where(overlaps(F.col("ini"), F.col("fin"), F.col("r_ini"), F.col("r_fin")))
+    if dates is not None:
+        met = met.where(held_between(dates, F.col("dia_semana"), F.greatest("ini", "r_ini"), F.least("fin", "r_fin")))
     return met.select("s1", "restriccion_id", "profesor_id", "r_ini", "r_fin")
 
 
@@ -103,6 +113,12 @@ def first_context(links: DataFrame) -> DataFrame:
     return first.select("asignatura_id", "l.*")
 
 
+def subject_context(links: DataFrame, programs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(asignatura_id, grado, mencion): names of the program and the mention of each subject's first link, null where there is none."""
+    named = first_context(links).join(programs.select(F.col("id").alias("programa_id"), F.col("nombre").alias("grado")), "programa_id", "left")
+    return named.join(mentions.select(F.col("id").alias("mencion_id"), F.col("nombre").alias("mencion")), "mencion_id", "left").select("asignatura_id", "grado", "mencion")
+
+
 def conflict_hash(kind: Column, s1: Column, s2: Column, resource: Column, description: Column) -> Column:
     """The key of a finding, the same whichever session comes first; without a resource, from its description."""
     low, high = F.least(s1, F.coalesce(s2, F.lit(0))), F.greatest(s1, F.coalesce(s2, F.lit(0)))
@@ -127,10 +143,13 @@ def detect_conflicts(s: DataFrame, r: DataFrame | None = None, *, rooms: bool =
     """All findings: tipo, severidad, sesion_id, sesion_2_id, aula_id, profesor_id, asignatura_id, restriccion_id, descripcion, hash.
 
     Rooms and cohorts are critical, teachers only if both sessions have no
-    other, restrictions never. The names (id, nombre) and the context (id,
-    grado, periodo_nombre, mencion) fill descriptions and may be missing. Of
-    equal keys the first stays, in the order of the rules.
+    other, restrictions never. The names (id, nombre, and apellidos for
+    teachers) and the subjects' context (asignatura_id, grado, mencion) fill
+    descriptions and may be missing. Of equal keys the first stays, in the order of the rules. Options
+    are those of the rules: period_aware, width, mixed, dates, and extra_keys
+    for cohorts.
     """
+    plain = {k: v for k, v in options.items() if k != "extra_keys"}
     null = lambda t: F.lit(None).cast(t)
     parts = []
 
@@ -138,7 +157,8 @@ def detect_conflicts(s: DataFrame, r: DataFrame | None = None, *, rooms: bool =
         other = F.concat(F.lit(f"{word} "), F.col(key).cast("string"))
         if names is None:
             return df, other
-        names = names.select(F.col("id").alias(key), F.col("nombre").alias("_name"))
+        full = F.concat_ws(" ", "nombre", "apellidos") if "apellidos" in names.columns else F.col("nombre")
+        names = names.select(F.col("id").alias(key), full.alias("_name"))
         return df.join(names, key, "left"), F.coalesce("_name", other)
 
     def finding(df: DataFrame, rank: int, kind: str, severity: Column, text: Column, **have: str) -> None:
@@ -146,10 +166,10 @@ def detect_conflicts(s: DataFrame, r: DataFrame | None = None, *, rooms: bool =
         parts.append(df.select(F.lit(kind).alias("tipo"), severity.alias("severidad"), F.col("s1").alias("sesion_id"), *[c.alias(k) for k, c in cols.items()], text.alias("descripcion"), F.lit(rank).alias("_rank")))
 
     if rooms:
-        df, name = named(room_overlaps(s, **{k: v for k, v in options.items() if k != "extra_keys"}), room_names, "aula_id", "Aula")
+        df, name = named(room_overlaps(s, **plain), room_names, "aula_id", "Aula")
         finding(df, 1, ROOM, F.lit(CRITICAL), F.concat(F.lit("El aula '"), name, F.lit("' está ocupada simultáneamente.")), sesion_2_id="s2", aula_id="aula_id")
     if teachers:
-        df, name = named(teacher_overlaps(s, **{k: v for k, v in options.items() if k != "extra_keys"}), teacher_names, "profesor_id", "Docente")
+        df, name = named(teacher_overlaps(s, **plain), teacher_names, "profesor_id", "Docente")
         text = F.concat(name, F.when(F.col("alone"), " tiene dos clases a la vez (único docente).").otherwise(" tiene solapamiento (con apoyo)."))
         finding(df, 2, TEACHER, F.when(F.col("alone"), CRITICAL).otherwise(MILD), text, sesion_2_id="s2", profesor_id="profesor_id")
     if cohorts:
@@ -159,16 +179,16 @@ def detect_conflicts(s: DataFrame, r: DataFrame | None = None, *, rooms: bool =
         else:
             df = df.withColumn("_name", null("string"))
         about = s.select(F.col("id").alias("s1"), F.coalesce("curso", F.lit(0)).alias("_curso"), F.initcap(F.translate(F.coalesce("periodo", F.lit("")), "_", " ")).alias("_periodo"))
+        df = df.join(about, "s1")
         if context is not None:
-            about = about.join(context.select(F.col("id").alias("s1"), F.col("grado").alias("_grado"), F.col("mencion").alias("_mencion")), "s1", "left")
+            df = df.join(context.select("asignatura_id", F.col("grado").alias("_grado"), F.col("mencion").alias("_mencion")), "asignatura_id", "left")
         else:
-            about = about.withColumns({"_grado": null("string"), "_mencion": null("string")})
-        df = df.join(about, "s1")
+            df = df.withColumns({"_grado": null("string"), "_mencion": null("string")})
         level = F.concat(F.lit("Solape en "), F.coalesce("_grado", F.lit("Grado")), F.lit(": Curso "), F.col("_curso").cast("string"), F.lit("º, "), "_periodo", F.coalesce(F.concat(F.lit(" ("), "_mencion", F.lit(")")), F.lit("")))
         inner = F.concat(F.lit("Asignatura '"), F.coalesce("_name", F.lit("None")), F.lit("': "), "motivo")
         finding(df, 3, COHORT, F.lit(CRITICAL), F.when(F.col("asignatura_comun") != 0, inner).otherwise(level), sesion_2_id="s2", asignatura_id="asignatura_id")
     if restrictions and r is not None:
-        df, name = named(restriction_violations(s, r), teacher_names, "profesor_id", "Docente")
+        df, name = named(restriction_violations(s, r, dates=options.get("dates")), teacher_names, "profesor_id", "Docente")
         text = F.concat(F.lit("Restricción de "), name, F.lit(": No disponible de "), hhmm(F.col("r_ini")), F.lit(" a "), hhmm(F.col("r_fin")), F.lit("."))
         finding(df, 4, RESTRICTION, F.lit(MILD), text, profesor_id="profesor_id", restriccion_id="restriccion_id")
     if not parts:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +32,33 @@ def hm(c: str) -> str:
     return f"concat(lpad(CAST({c} // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST({c} % 60 AS VARCHAR), 2, '0'))"
 
 
-ALL = f"""WITH {TEACHERS}, j1 AS ({J1}), j2 AS ({J2}), j3 AS ({J3}), j4 AS ({J4}),
+CONTEXT = "cx AS (SELECT e.asignatura_id, p.nombre AS grado, m.nombre AS mencion FROM (SELECT * FROM enlaces QUALIFY row_number() OVER (PARTITION BY asignatura_id ORDER BY id) = 1) e LEFT JOIN programas p ON p.id = e.programa_id LEFT JOIN menciones m ON m.id = e.mencion_id)"
+ALL = f"""WITH {TEACHERS}, {CONTEXT}, j1 AS ({J1}), j2 AS ({J2}), j3 AS ({J3}), j4 AS ({J4}),
 u AS (
  SELECT '{C.ROOM}' AS tipo, '{C.CRITICAL}' AS severidad, s1 AS sesion_id, s2 AS sesion_2_id, aula_id, CAST(NULL AS BIGINT) AS profesor_id, CAST(NULL AS BIGINT) AS asignatura_id, CAST(NULL AS BIGINT) AS restriccion_id,
   concat('El aula ''', coalesce(n.nombre, concat('Aula ', CAST(aula_id AS VARCHAR))), ''' está ocupada simultáneamente.') AS descripcion, aula_id AS res FROM j1 LEFT JOIN aulas n ON n.id = aula_id
  UNION ALL SELECT '{C.TEACHER}', CASE WHEN alone THEN '{C.CRITICAL}' ELSE '{C.MILD}' END, s1, s2, NULL, profesor_id, NULL, NULL,
-  concat(coalesce(n.nombre, concat('Docente ', CAST(profesor_id AS VARCHAR))), CASE WHEN alone THEN ' tiene dos clases a la vez (único docente).' ELSE ' tiene solapamiento (con apoyo).' END), profesor_id FROM j2 LEFT JOIN profesores n ON n.id = profesor_id
+  concat(coalesce(n.nombre || ' ' || n.apellidos, concat('Docente ', CAST(profesor_id AS VARCHAR))), CASE WHEN alone THEN ' tiene dos clases a la vez (único docente).' ELSE ' tiene solapamiento (con apoyo).' END), profesor_id FROM j2 LEFT JOIN profesores n ON n.id = profesor_id
  UNION ALL SELECT '{C.COHORT}', '{C.CRITICAL}', s1, s2, NULL, NULL, j3.asignatura_id, NULL,
   CASE WHEN asignatura_comun <> 0 THEN concat('Asignatura ''', n.nombre, ''': ', motivo)
-   ELSE concat('Solape en Grado: Curso ', CAST(s.curso AS VARCHAR), 'º, ', CASE s.periodo WHEN 'primer_cuatrimestre' THEN 'Primer Cuatrimestre' ELSE 'Segundo Cuatrimestre' END) END, j3.asignatura_id
-  FROM j3 JOIN sesiones s ON s.id = s1 LEFT JOIN asignaturas n ON n.id = asignatura_comun
+   ELSE concat('Solape en ', coalesce(cx.grado, 'Grado'), ': Curso ', CAST(s.curso AS VARCHAR), 'º, ', CASE s.periodo WHEN 'primer_cuatrimestre' THEN 'Primer Cuatrimestre' ELSE 'Segundo Cuatrimestre' END, coalesce(' (' || cx.mencion || ')', '')) END, j3.asignatura_id
+  FROM j3 JOIN sesiones s ON s.id = s1 LEFT JOIN asignaturas n ON n.id = asignatura_comun LEFT JOIN cx ON cx.asignatura_id = j3.asignatura_id
  UNION ALL SELECT '{C.RESTRICTION}', '{C.MILD}', s1, NULL, NULL, profesor_id, NULL, restriccion_id,
-  concat('Restricción de ', coalesce(n.nombre, concat('Docente ', CAST(profesor_id AS VARCHAR))), ': No disponible de ', {hm("r_ini")}, ' a ', {hm("r_fin")}, '.'), restriccion_id FROM j4 LEFT JOIN profesores n ON n.id = profesor_id),
+  concat('Restricción de ', coalesce(n.nombre || ' ' || n.apellidos, concat('Docente ', CAST(profesor_id AS VARCHAR))), ': No disponible de ', {hm("r_ini")}, ' a ', {hm("r_fin")}, '.'), restriccion_id FROM j4 LEFT JOIN profesores n ON n.id = profesor_id),
 h AS (SELECT *, sha256(CASE WHEN tipo = '{C.RESTRICTION}' THEN concat(tipo, ':', CAST(sesion_id AS VARCHAR), ':', CAST(res AS VARCHAR))
   ELSE concat(tipo, ':', CAST(sesion_id AS VARCHAR), '-', CAST(sesion_2_id AS VARCHAR), ':', CAST(res AS VARCHAR)) END) AS hash FROM u),
 found AS (SELECT tipo, severidad, sesion_id, sesion_2_id, aula_id, profesor_id, asignatura_id, restriccion_id, descripcion, hash FROM h
  QUALIFY row_number() OVER (PARTITION BY hash ORDER BY sesion_id, sesion_2_id NULLS FIRST, profesor_id NULLS FIRST) = 1)"""
-NEEDS = ("sesiones", "restricciones", "aulas", "profesores", "asignaturas")
+NEEDS = ("sesiones", "restricciones", "aulas", "profesores", "asignaturas", "enlaces", "programas", "menciones")
+
+
+def names(t: Tables) -> dict[str, DataFrame]:
+    """What the descriptions take their names from."""
+    return {"room_names": t.aulas, "teacher_names": t.profesores, "subject_names": t.asignaturas, "context": C.subject_context(t.enlaces, t.programas, t.menciones)}
 
 
 def detected(t: Tables, **options) -> DataFrame:
-    return C.detect_conflicts(sessions(t), t.restricciones, room_names=t.aulas, teacher_names=t.profesores, subject_names=t.asignaturas, **options)
+    return C.detect_conflicts(sessions(t), t.restricciones, **names(t), **options)
 
 
 @query("j1_room_overlaps", J1, ("sesiones",))
@@ -124,7 +132,7 @@ def g2_min(t):
 @query("g3_detect_for", f"{ALL} SELECT * FROM found WHERE sesion_id % 50 = 7 OR sesion_2_id % 50 = 7", NEEDS)
 def g3(t):
     s = sessions(t)
-    return C.detect_for(s, s.where("id % 50 = 7"), t.restricciones, room_names=t.aulas, teacher_names=t.profesores, subject_names=t.asignaturas)
+    return C.detect_for(s, s.where("id % 50 = 7"), t.restricciones, **names(t))
 
 
 @query("g4_unique_conflicts", f"{ALL} SELECT tipo, count(DISTINCT hash) AS n FROM found WHERE sesion_id % 3 <> 0 GROUP BY 1", NEEDS)
@@ -132,3 +140,42 @@ def g4(t):
     both = detected(t)
     both = both.unionByName(both).withColumn("estado", F.when(F.col("sesion_id") % 3 != 0, "por_revisar").otherwise("solucionado"))
     return C.unique_conflicts(both).groupBy("tipo").agg(F.count("*").alias("n"))
+
+
+def calendar(t: Tables) -> DataFrame:
+    """The weekly sessions and exams, which have a date instead of a weekday."""
+    exams = t.examenes.selectExpr(
+        "id", "aula_id", "array(profesor_id) AS profesor_ids", "asignatura_id", "curso", "periodo", "tipo_grupo", "grupo_codigo", "CAST(array() AS ARRAY<BIGINT>) AS mencion_ids", "CAST(NULL AS INT) AS dia_semana", "CAST(NULL AS INT) AS ini", "CAST(NULL AS INT) AS fin",
+        "CAST(dia AS TIMESTAMP) + make_dt_interval(0, 0, ini) AS inicio", "CAST(dia AS TIMESTAMP) + make_dt_interval(0, 0, fin) AS fin_ts",
+    )
+    weekly = sessions(t).withColumns({"inicio": F.lit(None).cast("timestamp"), "fin_ts": F.lit(None).cast("timestamp")})
+    return weekly.select(exams.columns).unionByName(exams)
+
+
+def dated_sql(met: str) -> str:
+    """Findings over sessions and exams: met says whether a and b are held at the same time."""
+    return f"""WITH x AS (SELECT id, aula_id, profesor_id, profesor_2_id, asignatura_id, curso, periodo, tipo_grupo, grupo_codigo, mencion_id, dia_semana, ini, fin, CAST(NULL AS TIMESTAMP) AS i, CAST(NULL AS TIMESTAMP) AS e FROM sesiones
+  UNION ALL SELECT id, aula_id, profesor_id, NULL, asignatura_id, curso, periodo, tipo_grupo, grupo_codigo, NULL, NULL, NULL, NULL, CAST(dia AS TIMESTAMP) + to_minutes(CAST(ini AS BIGINT)), CAST(dia AS TIMESTAMP) + to_minutes(CAST(fin AS BIGINT)) FROM examenes),
+xp AS (SELECT *, profesor_id AS pid, profesor_2_id IS NULL AS one FROM x UNION ALL SELECT *, profesor_2_id, false FROM x WHERE profesor_2_id IS NOT NULL),
+u AS (SELECT '{C.ROOM}' AS tipo, '{C.CRITICAL}' AS severidad, a.id AS s1, b.id AS s2, a.aula_id AS res FROM x a JOIN x b ON a.aula_id = b.aula_id AND a.periodo = b.periodo AND a.id < b.id WHERE {met}
+  UNION ALL SELECT '{C.TEACHER}', CASE WHEN a.one AND b.one THEN '{C.CRITICAL}' ELSE '{C.MILD}' END, a.id, b.id, a.pid FROM xp a JOIN xp b ON a.pid = b.pid AND a.periodo = b.periodo AND a.id < b.id WHERE {met}
+  UNION ALL SELECT '{C.COHORT}', '{C.CRITICAL}', a.id, b.id, a.asignatura_id FROM x a JOIN x b ON a.curso = b.curso AND a.periodo = b.periodo AND a.id < b.id WHERE {met}
+    AND NOT coalesce(a.mencion_id <> b.mencion_id, false) AND (a.asignatura_id <> b.asignatura_id OR a.tipo_grupo = 'TEORIA' OR b.tipo_grupo = 'TEORIA' OR a.grupo_codigo = b.grupo_codigo))
+SELECT tipo, severidad, s1 AS sesion_id, s2 AS sesion_2_id, sha256(concat(tipo, ':', CAST(s1 AS VARCHAR), '-', CAST(s2 AS VARCHAR), ':', CAST(res AS VARCHAR))) AS hash FROM u"""
+
+
+ON_WEEK = "(a.dia_semana = b.dia_semana AND a.ini < b.fin AND b.ini < a.fin)"
+MIXED = " OR ".join(f"({w}.dia_semana = isodow({d}.i) - 1 AND {w}.ini < date_diff('minute', date_trunc('day', {d}.i), least({d}.e, TIMESTAMP '1996-03-01 12:00:00')) AND date_diff('minute', date_trunc('day', {d}.i), greatest({d}.i, TIMESTAMP '1995-02-01 09:30:00')) < {w}.fin AND {d}.i < TIMESTAMP '1996-03-01 12:00:00' AND {d}.e > TIMESTAMP '1995-02-01 09:30:00')" for w, d in (("a", "b"), ("b", "a")))
+
+
+@query("g2_dated_conflicts", dated_sql(f"({ON_WEEK} OR (a.i < b.e AND b.i < a.e))"), ("sesiones", "examenes"))
+def g2_dated(t):
+    """Weekly and dated sessions, each kind against its own."""
+    return C.detect_conflicts(calendar(t)).select("tipo", "severidad", "sesion_id", "sesion_2_id", "hash")
+
+
+@query("g2_f2_mixed_conflicts", dated_sql(f"({ON_WEEK} OR (least(a.e, b.e, TIMESTAMP '1996-03-01 12:00:00') > greatest(a.i, b.i, TIMESTAMP '1995-02-01 09:30:00') AND a.i IS NOT NULL AND b.i IS NOT NULL) OR {MIXED})"), ("sesiones", "examenes"))
+def g2_mixed(t):
+    """Dated sessions of a range of dates against all, weekly ones too."""
+    dates = (datetime(1995, 2, 1, 9, 30), datetime(1996, 3, 1, 12))
+    return C.detect_conflicts(calendar(t), mixed=True, dates=dates).select("tipo", "severidad", "sesion_id", "sesion_2_id", "hash")

@@ -52,10 +52,18 @@ TABLES = {
     "enlaces": """
       SELECT id * 2 + 1 AS id, id AS asignatura_id, id // 32 AS programa_id, CAST(id % 4 + 1 AS INT) AS curso, CAST(CASE WHEN (id // 8) % 4 = 3 THEN id % 2 + 1 END AS BIGINT) AS mencion_id FROM {asignaturas}
       UNION ALL SELECT id * 2 + 2, id, id // 32 + 100000, CAST(id % 3 + 1 AS INT), CAST(NULL AS BIGINT) FROM {asignaturas} WHERE id % 7 = 0""",
+    "programas": """
+      SELECT DISTINCT programa_id AS id, concat('Grado en Plan ', CAST(programa_id AS VARCHAR)) AS nombre FROM {enlaces}""",
+    "menciones": """
+      SELECT DISTINCT mencion_id AS id, CASE mencion_id WHEN 1 THEN 'Cómputo' ELSE 'Sistemas' END AS nombre FROM {enlaces} WHERE mencion_id IS NOT NULL""",
     "profesores_asignaturas": """
       SELECT DISTINCT profesor_id, asignatura_id FROM {sesiones} WHERE id % 3 = 0""",
     "fechadas": """
       SELECT o_orderkey AS id, o_custkey % 50 + 50 * (o_orderkey // 4000) AS aula_id, CAST(o_orderdate AS DATE) AS dia, CAST(480 + (o_orderkey * 37) % 600 AS INT) AS ini, CAST(540 + (o_orderkey * 37) % 600 AS INT) AS fin FROM {orders}""",
+    "examenes": """
+      WITH k AS (SELECT o_orderkey AS id, o_orderkey // 4000 AS plan_id, o_custkey AS c, CAST(o_orderdate AS DATE) AS dia, CAST(480 + (o_orderkey * 37) % 600 AS INT) AS ini, CAST(30 * (1 + o_custkey % 5) AS INT) AS dur FROM {orders})
+      SELECT CAST(1000000000 + id AS BIGINT) AS id, CAST(plan_id * 40 + c % 12 AS BIGINT) AS aula_id, CAST(plan_id * 60 + c % 17 AS BIGINT) AS profesor_id, CAST(plan_id * 32 + c % 32 AS BIGINT) AS asignatura_id,
+        CAST(plan_id * 10 + c % 4 + 1 AS BIGINT) AS curso, CASE WHEN (c % 32) // 4 % 2 = 0 THEN 'primer_cuatrimestre' ELSE 'segundo_cuatrimestre' END AS periodo, 'EXAMEN' AS tipo_grupo, concat('E', CAST(id % 3 AS VARCHAR)) AS grupo_codigo, dia, ini, ini + dur AS fin FROM k""",
     "celdas": """
       SELECT p_partkey // 60 AS doc, CAST(1 AS INT) AS page, CAST((p_partkey % 60) // 5 AS INT) AS fila, CAST(p_partkey % 5 AS INT) AS col,
         CASE WHEN (p_partkey % 60) // 5 % 4 = 2 AND p_partkey // 60 % 3 = 1 THEN NULL ELSE concat(lpad(CAST(8 + (p_partkey % 60) // 5 AS VARCHAR), 2, '0'), ':30') END AS hora,
