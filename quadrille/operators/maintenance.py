@@ -1,38 +1,24 @@
 """Merging detected, imported and edited rows into stored snapshots.
 
-Every operator returns the new frames; publish() writes a snapshot under a new
-number and then points to it, so that nothing is overwritten while it is read.
+Every operator returns the new frames; sources.snapshots keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import text as T
 from quadrille.operators import conflicts as C
+from quadrille.operators.intervals import TIMES
 from quadrille.operators.matching import learn_aliases, match_teachers, resolve_rooms, resolve_subjects
 from quadrille.sources.storage import cut
 
 OPEN = "por_revisar"
 
 
-def publish(df: DataFrame, path: str, run: int) -> str:
-    """Writes the snapshot of a run and then, as one small file, which run is current. Returns the snapshot's path."""
-    where = f"{path}/run={run}"
-    df.write.mode("overwrite").parquet(where)
-    df.sparkSession.createDataFrame([(run, where)], "run long, path string").coalesce(1).write.mode("append").json(f"{path}/_current")
-    return where
-
-
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot of the last run that was published whole."""
-    where = spark.read.schema("run long, path string").json(f"{path}/_current").orderBy(F.desc("run")).first()["path"]
-    return spark.read.parquet(where)
-
-
 def conflict_diff(stored: DataFrame, detected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored conflicts that are no longer detected, and detected ones that aren't stored."""
     return stored.join(detected.select("hash"), "hash", "left_anti"), detected.join(stored.select("hash"), "hash", "left_anti")
@@ -86,8 +72,8 @@ def new_ids(df: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumn("id", (F.lit(top) + F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("long")).drop("_part", "_row", "_before")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: Mapping[str, Column] | list[str]) -> DataFrame:
-    """Rows merged by a natural key: given fields replace, null ones keep what was; new rows get ids.
+def upsert(stored: DataFrame, incoming: DataFrame, keys: Mapping[str, Column] | list[str], taken: DataFrame | None = None) -> DataFrame:
+    """Rows merged by a natural key: given fields replace, null ones keep what was; new rows get ids above those taken (by default those of stored).
 
     Of incoming rows with one key the one with the largest other fields counts.
     """
@@ -100,27 +86,35 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Mapping[str, Column] |
     inc = inc.select(*names, *[(F.col(c) if c in incoming.columns else F.lit(None).cast(dict(stored.dtypes)[c])).alias(f"_{c}") for c in cols], F.lit(True).alias("_in"))
     both = keyed(stored).join(inc, names, "full_outer")
     both = both.select("id", *[F.coalesce(f"_{c}", c).alias(c) for c in cols])
-    return both.where("id IS NOT NULL").unionByName(new_ids(both.where("id IS NULL").drop("id"), stored, [next(iter(expr)) if next(iter(expr)) in cols else cols[0]]).select("id", *cols))
+    return both.where("id IS NOT NULL").unionByName(new_ids(both.where("id IS NULL").drop("id"), stored if taken is None else taken, [next(iter(expr)) if next(iter(expr)) in cols else cols[0]]).select("id", *cols))
 
 
-def upsert_sheets(state: dict[str, DataFrame], subject: DataFrame, degrees: DataFrame, teachers: DataFrame) -> dict[str, DataFrame]:
+def upsert_sheets(state: dict[str, DataFrame], subject: DataFrame, degrees: DataFrame, teachers: DataFrame, part: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Subjects by code, programs by name and type, teachers by name (re-activated), and both kinds of links, from normalised sheets.
 
     state has asignaturas, programas, profesores (all with id), enlaces and
     profesores_asignaturas. A subject's teachers who aren't on its sheet lose
-    their link.
+    their link. part, given a table's name and keys (a subject's code; a
+    program's lower-case name and its type; a teacher's lower-case names; the
+    links' subjects), may return just the rows of the table that can have them:
+    then only these come back, merged.
     """
-    asig = upsert(state["asignaturas"], subject.drop("doc_id"), ["codigo_plan"])
+    part = part or (lambda table, keys: state[table])
+    low = lambda df, *names: df.select(*[F.lower(n).alias(n) for n in names])
+    asig = cut(upsert(part("asignaturas", subject.select("codigo_plan")), subject.drop("doc_id"), ["codigo_plan"], state["asignaturas"]))
     code = subject.select("doc_id", "codigo_plan").join(asig.select("codigo_plan", F.col("id").alias("asignatura_id")), "codigo_plan").drop("codigo_plan")
     deg = degrees.withColumn("tipo", T.program_type(F.col("programa_nombre")))
-    prog = upsert(state["programas"], deg.select(F.col("programa_nombre").alias("nombre"), "tipo").distinct().withColumn("activo", F.lit(True)), {"nombre": F.lower("nombre"), "tipo": F.col("tipo")})
-    prof = upsert(state["profesores"], teachers.select("nombre", "apellidos").distinct().withColumn("activo", F.lit(True)), {"nombre": F.lower("nombre"), "apellidos": F.lower("apellidos")})
+    names = deg.select(F.col("programa_nombre").alias("nombre"), "tipo").distinct()
+    prog = cut(upsert(part("programas", names.select(F.lower("nombre").alias("nombre"), "tipo")), names.withColumn("activo", F.lit(True)), {"nombre": F.lower("nombre"), "tipo": F.col("tipo")}, state["programas"]))
+    names = teachers.select("nombre", "apellidos").distinct()
+    prof = cut(upsert(part("profesores", low(names, "nombre", "apellidos")), names.withColumn("activo", F.lit(True)), {"nombre": F.lower("nombre"), "apellidos": F.lower("apellidos")}, state["profesores"]))
     named = deg.withColumn("_k", F.lower("programa_nombre")).join(prog.select(F.lower("nombre").alias("_k"), "tipo", F.col("id").alias("programa_id")), ["_k", "tipo"])
     link = named.join(code, "doc_id").groupBy("programa_id", "asignatura_id").agg(F.max("curso").alias("curso"), F.max("tipo_asignatura").alias("tipo_asignatura"))
-    links = upsert(state["enlaces"], link, ["programa_id", "asignatura_id"])
+    links = upsert(part("enlaces", code.select("asignatura_id")), link, ["programa_id", "asignatura_id"], state["enlaces"])
     who = teachers.join(prof.select(F.lower("nombre").alias("_n"), F.lower("apellidos").alias("_a"), F.col("id").alias("profesor_id")), (F.lower(teachers["nombre"]) == F.col("_n")) & (F.lower(teachers["apellidos"]) == F.col("_a"))).join(code, "doc_id").select("profesor_id", "asignatura_id").distinct()
-    add, remove = sync_links(state["profesores_asignaturas"], who, "asignatura_id", ["profesor_id", "asignatura_id"])
-    pa = state["profesores_asignaturas"].join(remove, ["profesor_id", "asignatura_id"], "left_anti").unionByName(add)
+    stored = part("profesores_asignaturas", code.select("asignatura_id"))
+    add, remove = sync_links(stored, who, "asignatura_id", ["profesor_id", "asignatura_id"])
+    pa = stored.join(remove, ["profesor_id", "asignatura_id"], "left_anti").unionByName(add)
     return {"asignaturas": asig, "programas": prog, "profesores": prof, "enlaces": links, "profesores_asignaturas": pa}
 
 
@@ -171,12 +165,23 @@ def simulate_changes(s: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def last_edits(changes: DataFrame) -> DataFrame:
+    """Edits with one of each session: a delete, else the last update (by orden, where that is a column). Creates all stay."""
+    order = [(F.col("op") != "delete"), *([F.desc("orden")] if "orden" in changes.columns else [])]
+    old = C.keep_first(changes.where("op <> 'create'"), ["id"], [*order, *[c for c, t in changes.dtypes if t in ("int", "bigint", "string") and c != "id"]])
+    return old.unionByName(changes.where("op = 'create'"))
+
+
+def created_sessions(s: DataFrame, changes: DataFrame) -> DataFrame:
+    """The sessions that changes create, with ids above all of s in the order of their temp_id."""
+    cols = [c for c in s.columns if c != "id"]
+    new = changes.where("op = 'create'").select(F.abs("temp_id").alias("_t"), *[(F.col(c) if c in changes.columns else F.lit(None).cast(dict(s.dtypes)[c])).alias(c) for c in cols])
+    return new_ids(new, s.select("id"), ["_t"]).select(*s.columns)
+
+
 def apply_session_batch(s: DataFrame, changes: DataFrame) -> DataFrame:
     """As simulate_changes, with lasting ids for what is created."""
-    out = simulate_changes(s, changes)
-    cols = [c for c in s.columns if c != "id"]
-    new = out.where("id < 0").withColumn("_t", -F.col("id")).drop("id")
-    return out.where("id >= 0").unionByName(new_ids(new, s, ["_t"]).select("id", *cols).select(*s.columns))
+    return simulate_changes(s, changes.where("op <> 'create'")).unionByName(created_sessions(s, changes))
 
 
 def confirm_mentions(state: dict[str, DataFrame], rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,9 +208,10 @@ def confirm_schedule(state: dict[str, DataFrame], draft: DataFrame, restrictions
     them. The subjects that the draft touches lose their groups, sessions and
     conflicts, and get the draft's: one group a code, one session a group, day
     and start. Conflicts are found once for all new sessions, with each
-    subject's mention by its first link. state has programas, menciones,
-    enlaces, asignaturas, aliases, aulas, grupos, sesiones,
-    profesores_asignaturas and conflictos.
+    subject's mention by its first link; sessions that stay keep the teachers
+    that they have of their own. state has programas, menciones, enlaces,
+    asignaturas, aliases, aulas, grupos, sesiones, profesores_sesiones (may be
+    missing), profesores_asignaturas and conflictos.
     """
     q = cut(draft.withColumn("qid", F.monotonically_increasing_id()))
     plans = state["programas"].groupBy(F.lower("nombre").alias("_plan")).agg(F.min("id").alias("programa_id"))
@@ -236,12 +242,19 @@ def confirm_schedule(state: dict[str, DataFrame], draft: DataFrame, restrictions
     new = cut(new)
     grupos = state["grupos"].join(touched, "asignatura_id", "left_anti").unionByName(groups, allowMissingColumns=True)
     sesiones = state["sesiones"].join(lost, "id", "left_anti").unionByName(new, allowMissingColumns=True)
-    full = sesiones.select("id", "grupo_docente_id", "aula_id", "dia_semana", "ini", "fin").join(grupos.select(F.col("id").alias("grupo_docente_id"), "asignatura_id", F.col("codigo").alias("grupo_codigo"), F.col("tipo").alias("tipo_grupo"), "curso"), "grupo_docente_id").join(state["asignaturas"].select(F.col("id").alias("asignatura_id"), "periodo"), "asignatura_id")
-    full = C.effective_teachers(full, sesiones.sparkSession.createDataFrame([], "sesion_id long, profesor_id long"), state["profesores_asignaturas"])
+    own = state.get("profesores_sesiones")
+    own = sesiones.sparkSession.createDataFrame([], "sesion_id long, profesor_id long") if own is None else own.join(lost.withColumnRenamed("id", "sesion_id"), "sesion_id", "left_anti")
+    full = sesiones.select("id", "grupo_docente_id", "aula_id", *[c for c in TIMES if c in sesiones.columns]).join(grupos.select(F.col("id").alias("grupo_docente_id"), "asignatura_id", F.col("codigo").alias("grupo_codigo"), F.col("tipo").alias("tipo_grupo"), "curso"), "grupo_docente_id").join(state["asignaturas"].select(F.col("id").alias("asignatura_id"), "periodo"), "asignatura_id")
+    full = C.effective_teachers(full, own, state["profesores_asignaturas"])
     full = full.join(C.first_context(links).select("asignatura_id", "mencion_id"), "asignatura_id", "left").withColumn("mencion_ids", F.array_compact(F.array(F.col("mencion_id").cast("bigint")))).drop("mencion_id")
     found = C.detect_for(cut(full), new.select("id"), restrictions)
     conflicts = sync_session_conflicts(state["conflictos"].join(C.touching(state["conflictos"], lost).select("hash"), "hash", "left_anti"), found, new.select("id"))
-    return state | {"aliases": aliases, "menciones": mentions, "enlaces": links, "grupos": grupos, "sesiones": sesiones, "conflictos": conflicts}, errors
+    kept = {"profesores_sesiones": own} if "profesores_sesiones" in state else {}
+    return state | {"aliases": aliases, "menciones": mentions, "enlaces": links, "grupos": grupos, "sesiones": sesiones, "conflictos": conflicts} | kept, errors
+
+
+def no_errors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "error string")
 
 
 def delete_schedule(s: DataFrame, links: DataFrame, programa_id: int, curso: int, periodo: str, mencion_id: int | None = None) -> tuple[DataFrame, int]:
@@ -256,34 +269,66 @@ def soft_delete(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("id").distinct().withColumn("_d", F.lit(True)), "id", "left").withColumn("activo", F.when(F.col("_d"), False).otherwise(F.col("activo"))).drop("_d")
 
 
+def _reached(tables: dict[str, DataFrame], start: dict[str, DataFrame], steps: list[tuple[str, str, str, bool]]) -> dict[str, DataFrame]:
+    """Ids by table that start leads to: a step (parent, child, key, down) goes from parents to the children that refer to them, or up from children."""
+    found = {t: cut(df.select("id").distinct()) for t, df in start.items()}
+    edge = dict(found)
+    while edge:
+        new: dict[str, DataFrame] = {}
+        for parent, child, key, down in steps:
+            if (parent if down else child) not in edge:
+                continue
+            if down:
+                to, ids = child, tables[child].join(edge[parent].select(F.col("id").alias(key)), key, "left_semi").select("id")
+            else:
+                to, ids = parent, tables[child].join(edge[child], "id", "left_semi").select(F.col(key).alias("id")).where("id IS NOT NULL")
+            new[to] = new[to].unionByName(ids) if to in new else ids
+        edge = {}
+        for t, ids in new.items():
+            ids = ids.distinct()
+            ids = cut(ids.join(found[t], "id", "left_anti") if t in found else ids)
+            if not ids.isEmpty():
+                edge[t] = ids
+                found[t] = found[t].unionByName(ids) if t in found else ids
+    return found
+
+
 def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame, rules: list[tuple[str, str, str, str]]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Deletes rows and what hangs on them by rules (parent, child, key, cascade | restrict | set_null); the new tables, and ids that a restrict rule holds back."""
-    held = None
+    """Deletes rows and what hangs on them by rules (parent, child, key, cascade | restrict | set_null); the new tables, and those of ids that are held back.
+
+    First all that would go is found, down every cascade. A row of it that
+    another refers to by a restrict rule is held, and so is every row whose
+    deletion would take it along, up to ids. What the others lead to is then
+    deleted, whole, and references to it by a set_null rule become null. Rules
+    may meet again (a diamond) or come back to a table (a cycle, or a table that
+    refers to itself).
+    """
+    cascades = [(p, c, k) for p, c, k, how in rules if how == "cascade"]
+    seeds = ids.select("id").join(tables[table], "id", "left_semi").distinct()
+    doomed = _reached(tables, {table: seeds}, [(*r, True) for r in cascades])
+    held: dict[str, DataFrame] = {}
     for parent, child, key, how in rules:
-        if parent == table and how == "restrict":
-            used = ids.join(tables[child].select(F.col(key).alias("id")), "id", "left_semi").select("id")
-            held = used if held is None else held.unionByName(used)
-    held = ids.select("id").limit(0) if held is None else held.distinct()
-    gone = ids.select("id").join(held, "id", "left_anti")
-    out = dict(tables) | {table: tables[table].join(gone, "id", "left_anti")}
+        if how == "restrict" and parent in doomed:
+            used = doomed[parent].join(tables[child].select(F.col(key).alias("id")), "id", "left_semi")
+            held[parent] = held[parent].unionByName(used) if parent in held else used
+    up = _reached({t: df.join(doomed[t], "id", "left_semi") if t in doomed else df.limit(0) for t, df in tables.items()}, held, [(*r, False) for r in cascades]) if held else {}
+    back = cut(seeds.join(up[table], "id", "left_semi")) if table in up else cut(seeds.limit(0))
+    gone = _reached(tables, {table: seeds.join(back, "id", "left_anti")}, [(*r, True) for r in cascades])
+    out = {t: df.join(gone[t], "id", "left_anti") if t in gone else df for t, df in tables.items()}
     for parent, child, key, how in rules:
-        if parent != table or how == "restrict":
-            continue
-        refs = gone.select(F.col("id").alias(key))
-        if how == "cascade":
-            below = out[child].join(refs, key, "left_semi").select("id")
-            out, _ = cascade_delete(out, child, below, [r for r in rules if r[0] == child])
-        else:
-            out[child] = out[child].join(refs.withColumn("_d", F.lit(True)), key, "left").withColumn(key, F.when(F.col("_d").isNull(), F.col(key))).drop("_d").select(*tables[child].columns)
-    return out, held
+        if how == "set_null" and parent in gone:
+            refs = gone[parent].select(F.col("id").alias(key), F.lit(True).alias("_d"))
+            out[child] = out[child].join(refs, key, "left").withColumn(key, F.when(F.col("_d").isNull(), F.col(key))).drop("_d").select(*tables[child].columns)
+    return out, back
 
 
 def check_constraints(df: DataFrame, *, unique: list[str] | None = None, ignore_case: bool = True, refs: dict[str, DataFrame] | None = None, checks: dict[str, Column] | None = None) -> DataFrame:
-    """(regla, clave, n): keys that repeat, references that lead nowhere, and checks that fail."""
+    """(regla, clave, n): keys that repeat, references that lead nowhere, and checks that fail. A key with a null in it repeats none, and a null check doesn't fail."""
     parts = []
     if unique:
-        key = [F.lower(F.col(c).cast("string")) if ignore_case else F.col(c).cast("string") for c in unique]
-        parts.append(df.groupBy(F.concat_ws("|", *key).alias("clave")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("unico").alias("regla"), "clave", "n"))
+        key = {f"_k{i}": F.lower(F.col(c).cast("string")) if ignore_case else F.col(c).cast("string") for i, c in enumerate(unique)}
+        again = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in unique)).groupBy(*[k.alias(n) for n, k in key.items()]).agg(F.count("*").alias("n")).where("n > 1")
+        parts.append(again.select(F.lit("unico").alias("regla"), F.concat_ws("|", *key).alias("clave"), "n"))
     for c, dim in (refs or {}).items():
         lost = df.where(F.col(c).isNotNull()).join(dim.select(F.col("id").alias(c)), c, "left_anti")
         parts.append(lost.groupBy(F.col(c).cast("string").alias("clave")).agg(F.count("*").alias("n")).select(F.lit(f"referencia:{c}").alias("regla"), "clave", "n"))

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
-from quadrille.plans.detection import sessions
+from quadrille.plans.detection import J1, J2, J3, J4, TEACHERS, sessions
 from quadrille.plans.maintenance import changes, flat
 from quadrille.plans.registry import query
+from quadrille.sources.snapshots import Snapshots
 from quadrille.sources.storage import scratch
 from quadrille.sources.tables import read_stage, write_stage
 from quadrille.streaming import jobs
 
 
-@query("t1_stream_session_changes")
+FEED = "SELECT id, aula_id, [profesor_id, profesor_2_id] AS p, asignatura_id, curso, periodo, tipo_grupo, grupo_codigo, mencion_id, dia_semana, CASE WHEN id % 10 = 1 THEN ini + 30 ELSE ini END AS ini, CASE WHEN id % 10 = 1 THEN fin + 30 ELSE fin END AS fin FROM sesiones WHERE id % 10 <> 2"
+MADE = "SELECT (SELECT max(id) FROM sesiones) + row_number() OVER (ORDER BY id), aula_id, [profesor_id, profesor_2_id], asignatura_id, curso, periodo, tipo_grupo, grupo_codigo, mencion_id, dia_semana, ini + 30, fin + 30 FROM sesiones WHERE id % 10 = 0"
+
+
+#: Detection over the edited sessions.
+EDITED = re.sub(r"\bsesiones\b", "ed", f"{TEACHERS}, j1 AS ({J1}), j2 AS ({J2}), j3 AS ({J3}), j4 AS ({J4})")
+AFTER = f"""WITH ed AS (SELECT * EXCLUDE (p), p[1] AS profesor_id, p[2] AS profesor_2_id FROM ({FEED} UNION ALL {MADE})), {EDITED},
+u AS (SELECT '{C.ROOM}' AS tipo, s1 AS sesion_id, s2 AS sesion_2_id, aula_id AS res FROM j1 UNION ALL SELECT '{C.TEACHER}', s1, s2, profesor_id FROM j2
+  UNION ALL SELECT '{C.COHORT}', s1, s2, asignatura_id FROM j3 UNION ALL SELECT '{C.RESTRICTION}', s1, NULL, restriccion_id FROM j4)
+SELECT DISTINCT tipo, sesion_id, sesion_2_id, sha256(concat(tipo, ':', CAST(sesion_id AS VARCHAR), CASE WHEN tipo = '{C.RESTRICTION}' THEN '' ELSE concat('-', CAST(sesion_2_id AS VARCHAR)) END, ':', CAST(res AS VARCHAR))) AS hash, 'por_revisar' AS estado FROM u"""
+
+
+@query("t1_stream_session_changes", AFTER, ("sesiones", "restricciones"))
 def t1(t):
-    """The state after all batches: equal to detecting over the edited sessions (see the tests)."""
+    """The conflicts after all batches of a feed: those of the edited sessions, whichever batch an edit came in. All creates are in one batch, as their ids depend on that."""
     base, s = scratch(t.spark, "streams"), flat(t)
-    M.publish(s, f"{base}/sesiones", 0)
-    M.publish(C.detect_conflicts(s, t.restricciones).withColumn("estado", F.lit(M.OPEN)), f"{base}/conflictos", 0)
+    state = Snapshots(t.spark, f"{base}/estado", jobs.SCHEDULE)
+    state.commit({"sesiones": s, "conflictos": C.detect_conflicts(s, t.restricciones).withColumn("estado", F.lit(M.OPEN))})
     feed = changes(t, s)
-    feed.repartition(2, "id").write.parquet(f"{base}/cambios")
-    jobs.stream_session_changes(jobs.feed(t.spark, f"{base}/cambios", feed.schema), f"{base}/sesiones", f"{base}/conflictos", f"{base}/check", t.restricciones).awaitTermination()
-    return M.current(t.spark, f"{base}/conflictos").select("tipo", "sesion_id", "sesion_2_id", "hash", "estado")
+    feed.where("op = 'create'").coalesce(1).write.parquet(f"{base}/cambios")
+    feed.where("op <> 'create'").repartition(1, "id").write.mode("append").parquet(f"{base}/cambios")
+    jobs.stream_session_changes(jobs.feed(t.spark, f"{base}/cambios", feed.schema), state, f"{base}/check", restrictions=t.restricciones).awaitTermination()
+    return state.read("conflictos").select("tipo", "sesion_id", "sesion_2_id", "hash", "estado")
 
 
 @query("t2_stream_sheet_intake", r"SELECT concat('G', CAST(k AS VARCHAR)) AS codigo_plan FROM (SELECT DISTINCT p_partkey % 9000 + 100 AS k FROM part)")
 def t2(t):
     base, spark = scratch(t.spark, "streams"), t.spark
-    schemas = {"asignaturas": "id long, codigo_plan string, nombre string, periodo string, ects int, modalidad string, idioma string, english_friendly boolean", "programas": "id long, nombre string, tipo string, activo boolean", "profesores": "id long, nombre string, apellidos string, activo boolean", "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long"}
-    for k, schema in schemas.items():
-        M.publish(spark.createDataFrame([], schema), f"{base}/{k}", 0)
+    schemas = {
+        "asignaturas": "id long, codigo_plan string, nombre string, periodo string, ects int, modalidad string, idioma string, english_friendly boolean", "programas": "id long, nombre string, tipo string, activo boolean", "profesores": "id long, nombre string, apellidos string, activo boolean",
+        "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long", "rechazos": "doc_id long, errores array<string>",
+    }
+    state = Snapshots(spark, f"{base}/estado", jobs.CATALOGUE)
+    state.commit({k: spark.createDataFrame([], schema) for k, schema in schemas.items()})
     t.fichas.repartition(2, "doc_id").write.parquet(f"{base}/entrada")
-    jobs.stream_sheet_intake(jobs.feed(spark, f"{base}/entrada", "doc_id long, text string"), {k: f"{base}/{k}" for k in schemas}, f"{base}/check", f"{base}/rechazos").awaitTermination()
-    return M.current(spark, f"{base}/asignaturas").select("codigo_plan")
+    jobs.stream_sheet_intake(jobs.feed(spark, f"{base}/entrada", "doc_id long, text string"), state, f"{base}/check").awaitTermination()
+    return state.read("asignaturas").select("codigo_plan")
 
 
 @query("src5_write_stage", "SELECT id, profesor_id, aula_id FROM sesiones", ("sesiones",))
