@@ -149,6 +149,19 @@ def m12b(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("m12_delete_graph", """WITH held AS (SELECT DISTINCT asignatura_id AS id FROM enlaces WHERE id % 4 = 0 AND asignatura_id % 5 = 2), gone AS (SELECT id FROM asignaturas WHERE id % 5 = 2 AND id NOT IN (SELECT id FROM held))
+  SELECT 'asignatura' AS tabla, id, CAST(NULL AS BIGINT) AS asignatura_id FROM asignaturas WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'enlace', id, asignatura_id FROM enlaces WHERE asignatura_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'sesion', id, CASE WHEN asignatura_id IN (SELECT id FROM gone) THEN NULL ELSE asignatura_id END FROM sesiones UNION ALL SELECT 'retenida', id, NULL FROM held""", ("asignaturas", "enlaces", "sesiones"))
+def m12c(t):
+    """Subjects go with their links, sessions lose their subject, and notes on links hold both back."""
+    notes = t.enlaces.where("id % 4 = 0").select((F.col("id") + 1).alias("id"), F.col("id").alias("enlace_id"))
+    rules = [("asignaturas", "enlaces", "asignatura_id", "cascade"), ("asignaturas", "sesiones", "asignatura_id", "set_null"), ("enlaces", "notas", "enlace_id", "restrict")]
+    out, held = M.cascade_delete({"asignaturas": t.asignaturas, "enlaces": t.enlaces, "sesiones": t.sesiones, "notas": notes}, "asignaturas", t.asignaturas.where("id % 5 = 2"), rules)
+    none = F.lit(None).cast("long").alias("asignatura_id")
+    parts = [out["asignaturas"].select(F.lit("asignatura").alias("tabla"), "id", none), out["enlaces"].select(F.lit("enlace"), "id", "asignatura_id"), out["sesiones"].select(F.lit("sesion"), "id", "asignatura_id"), held.select(F.lit("retenida"), "id", none)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query("m13_check_constraints", "SELECT 'unico' AS regla, concat(CAST(aula_id AS VARCHAR), '|', CAST(dia_semana AS VARCHAR), '|', CAST(ini AS VARCHAR)) AS clave, count(*) AS n FROM sesiones GROUP BY aula_id, dia_semana, ini HAVING count(*) > 1 UNION ALL SELECT 'referencia:aula_id', CAST(aula_id AS VARCHAR), count(*) FROM sesiones WHERE aula_id NOT IN (SELECT id FROM aulas WHERE activo) GROUP BY aula_id UNION ALL SELECT 'control:tarde', '', count(*) FROM sesiones WHERE fin > 1200 HAVING count(*) > 0", ("sesiones", "aulas"))
 def m13(t):
     return M.check_constraints(t.sesiones, unique=["aula_id", "dia_semana", "ini"], refs={"aula_id": t.aulas.where("activo")}, checks={"tarde": F.col("fin") <= 1200})

@@ -77,9 +77,3 @@ def test_new_ids_are_dense_and_in_order(spark):
     df = spark.createDataFrame([(f"k{i:02d}",) for i in range(25)], "k string")
     got = M.new_ids(df.repartition(5), spark.createDataFrame([(7,)], "id long"), ["k"]).orderBy("k").collect()
     assert [r.id for r in got] == list(range(8, 33))
-
-
-def test_snapshots(spark, tmp_path):
-    M.publish(spark.range(3), f"{tmp_path}/s", 0)
-    M.publish(M.current(spark, f"{tmp_path}/s").where(F.col("id") > 0), f"{tmp_path}/s", 1)
-    assert M.current(spark, f"{tmp_path}/s").count() == 2

@@ -15,6 +15,7 @@ from quadrille.plans import maintenance as PM
 from quadrille.plans.detection import sessions
 from quadrille.plans.matching import ALIASES, NAMES, ROOMS, own
 from quadrille.plans.registry import Tables
+from quadrille.sources.snapshots import Snapshots
 from quadrille.streaming import jobs
 
 
@@ -152,6 +153,16 @@ def test_confirmed_draft_has_the_conflicts_of_its_sessions(spark, small, t):
     fresh = {r.id for r in full} - before
     got = {(r.sesion_id, r.sesion_2_id) for r in out["conflictos"].where(f"tipo = '{C.ROOM}'").collect()}
     assert fresh and {p for p in got if set(p) & fresh} == {p for p in pairs if set(p) & fresh}
+    own = {}
+    for r in out["profesores_sesiones"].collect():
+        own.setdefault(r.sesion_id, set()).add(r.profesor_id)
+    taught = {}
+    for r in t.profesores_asignaturas.collect():
+        taught.setdefault(r.asignatura_id, set()).add(r.profesor_id)
+    who = {r.id: own.get(r.id) or taught.get(r.asignatura_id, set()) for r in full}
+    assert not set(own) & fresh and set(own) <= {r.id for r in full} and own
+    teachers = {(a.id, b.id, p) for a in full for b in full if a.id < b.id and {a.id, b.id} & fresh and a.periodo == b.periodo and a.dia_semana == b.dia_semana and a.ini < b.fin and b.ini < a.fin for p in who[a.id] & who[b.id]}
+    assert {(r.sesion_id, r.sesion_2_id, r.profesor_id) for r in out["conflictos"].where(f"tipo = '{C.TEACHER}'").collect() if {r.sesion_id, r.sesion_2_id} & fresh} == teachers and teachers
     cohort = {(r.sesion_id, r.sesion_2_id) for r in out["conflictos"].where(f"tipo = '{C.COHORT}'").collect()}
     of = {r.id: r for r in full}
     for p in cohort:
@@ -168,13 +179,13 @@ def test_confirmed_draft_has_the_conflicts_of_its_sessions(spark, small, t):
 def test_stream_of_changes_ends_where_detection_would(spark, t, tmp_path):
     base = str(tmp_path)
     s = PM.flat(t)
-    M.publish(s, f"{base}/sesiones", 0)
-    M.publish(C.detect_conflicts(s, t.restricciones).withColumn("estado", F.lit(M.OPEN)), f"{base}/conflictos", 0)
+    state = Snapshots(spark, f"{base}/estado", jobs.SCHEDULE)
+    state.commit({"sesiones": s, "conflictos": C.detect_conflicts(s, t.restricciones).withColumn("estado", F.lit(M.OPEN))})
     feed = PM.changes(t, s)
     feed.repartition(2, "id").write.parquet(f"{base}/cambios")
     for _ in range(2):  # a second run has nothing new to do
-        jobs.stream_session_changes(jobs.feed(spark, f"{base}/cambios", feed.schema), f"{base}/sesiones", f"{base}/conflictos", f"{base}/check", t.restricciones).awaitTermination()
-    after = M.current(spark, f"{base}/sesiones")
+        jobs.stream_session_changes(jobs.feed(spark, f"{base}/cambios", feed.schema), state, f"{base}/check", restrictions=t.restricciones).awaitTermination()
+    after = state.read("sesiones")
     assert after.count() == s.count() - s.where("id % 10 = 2").count() + s.where("id % 10 = 0").count()
     want = {r.hash for r in C.detect_conflicts(after, t.restricciones).collect()}
-    assert {r.hash for r in M.current(spark, f"{base}/conflictos").collect()} == want and want != {r.hash for r in C.detect_conflicts(sessions(t), t.restricciones).collect()}
+    assert {r.hash for r in state.read("conflictos").collect()} == want and want != {r.hash for r in C.detect_conflicts(sessions(t), t.restricciones).collect()}
