@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import documents, map_groups, numbered, stored, word_count
+from quadrille.llm.common import documents, map_groups, merged, numbered, stored, word_count
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], max_repeats: int) -> dict[str | None, float]:
@@ -76,18 +76,17 @@ def route(capacity: list[int], members: list[list[int]], quota: list[float], max
 
 
 def routed(capacity: list[int], members: list[list[int]], quota: list[float], max_repeats: int) -> np.ndarray:
-    """Words that each pattern gives, over all its sources. Only sources that share a pattern with another need a flow; the others take what they need of their own."""
-    shared = {s for own in members if len(own) > 1 for s in own}
-    given = np.zeros(len(capacity))
-    tied = [p for p, own in enumerate(members) if shared.intersection(own)]
+    """Words that each pattern gives, over all its sources: a flow for each part of the sources that no pattern joins to the rest, as nothing can flow between parts."""
+    label = np.arange(len(quota))
+    label = merged(label, np.array([own[0] for own in members for _ in own], dtype=np.int64), np.array([s for own in members for s in own], dtype=np.int64)) if members else label
+    parts: dict[int, list[int]] = {}
     for p, own in enumerate(members):
-        if own[0] not in shared:
-            given[p] = min(quota[own[0]], max_repeats * capacity[p])
-    if tied:
-        names = sorted(shared)
+        parts.setdefault(int(label[own[0]]), []).append(p)
+    given = np.zeros(len(capacity))
+    for patterns in parts.values():
+        names = sorted({s for p in patterns for s in members[p]})
         at = {s: k for k, s in enumerate(names)}
-        flow = route([capacity[p] for p in tied], [[at[s] for s in members[p]] for p in tied], [quota[s] for s in names], max_repeats)
-        given[tied] = flow.sum(axis=1)
+        given[patterns] = route([capacity[p] for p in patterns], [[at[s] for s in members[p]] for p in patterns], [quota[s] for s in names], max_repeats).sum(axis=1)
     return given
 
 
@@ -134,8 +133,8 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     max_buckets), so that only sums of buckets are ordered as a whole, and only
     the one bucket where words run out is walked through document by document.
 
-    Patterns, not documents, come to the driver; only those that share a
-    source with another go through the flow. What is joined to the documents,
+    Patterns, not documents, come to the driver, and all go through the flow,
+    sources that no pattern joins apart from each other. What is joined to the documents,
     one row a pattern, a bucket or a document at the edge, goes to all
     executors up to broadcast_rows rows and by a shuffle beyond. docs needs doc_id, text and source (or what the given columns use);
     other columns are ignored. Documents without words (null or empty texts)
@@ -145,10 +144,11 @@ def mix_sources(docs: DataFrame, *, sources: Column | None = None, size: Column
     (the sums over the document's sources) and taken (words, repeats counted);
     row names a column that tells the rows of docs apart, as numbered() has it
     (one is made where there is none); with keep_columns also the other columns
-    of docs (which then has none of these names).
+    of docs, but for those of these names, which the result's own replace.
     """
     members = F.array("source") if sources is None else F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    carried = [c for c in docs.columns if c not in ("doc_id", row)] if keep_columns else []
+    own = {"doc_id", row, "row_id", "sources", "size", "draw", "source_size", "target", "taken", "passes", "rest", "n_buckets", "bucket", "whole", "room", "part"}
+    carried = [c for c in docs.columns if c not in own] if keep_columns else []
     docs = docs if row else numbered(docs, "row_id", "mixing_rows")
     base = docs.select("doc_id", *carried, F.col(row or "row_id").alias("row_id"), members.alias("sources"), (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
     whole, base = base, stored(base.select("row_id", "sources", "size", "draw"), "mixing")  # texts are read once more for the result, rather than written

@@ -346,7 +346,8 @@ def encode(docs: DataFrame, *, model: str | None = None, batch_bytes: int = 2 <<
 
 
 def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
-    """Adds the column text to a table with ids; null ids give a null text, no ids an empty one."""
+    """Adds the column text, in place of one that is there, to a table with ids; null ids give a null text, no ids an empty one."""
+    encoded = encoded.drop("text")
     sent = _codec(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,10 +119,24 @@ def taken_of(rows, sources):
     return sum(r.taken for r in rows if list(r.sources) == sources)
 
 
-def test_many_patterns_need_no_flow(spark):
-    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("source"))
+def test_every_pattern_goes_through_the_flow(spark, monkeypatch):
+    """Sources that share nothing are parts of their own, each with a flow."""
+    calls, route = [], mixing.route
+    monkeypatch.setattr(mixing, "route", lambda capacity, *a: calls.append(len(capacity)) or route(capacity, *a))
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("source"))
     out = mixing.mix_sources(docs).agg(F.count("*").alias("n"), F.sum("taken").alias("t")).first()
-    assert out.n == 12_000 and out.t <= 24_000
+    assert out.n == 3_000 and out.t <= 6_000 and calls == [1] * 3_000
+    calls.clear()
+    joined = mixing.routed([10, 20, 30, 40, 50], [[0], [0, 1], [2], [2, 3], [4]], [10.0, 20.0, 40.0, 30.0, 60.0], 3)
+    assert sorted(calls) == [1, 2, 2] and np.allclose(joined, [10, 20, 30, 40, 60]) and mixing.routed([], [], [], 3).size == 0
+
+
+def test_columns_with_the_names_of_a_result(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 9, "x") for i in range(6)], "doc_id long, text string, source string, size long, taken string")
+    out = mixing.mix_sources(docs, keep_columns=True)
+    assert sorted(out.columns) == ["doc_id", "size", "source", "source_size", "sources", "taken", "target", "text"] and {r.size for r in out.collect()} == {3}
+    encoded = sentencepiece_codec.encode(docs).withColumn("text", F.lit(7))
+    assert sentencepiece_codec.decode(encoded).columns == ["doc_id", "ids", "text"] and {r.text for r in sentencepiece_codec.decode(encoded).collect()} == {"a b c"}
 
 
 def test_an_id_that_all_rows_share_is_dealt_out(spark):
