@@ -155,11 +155,25 @@ def w5(t):
     return X.merge_cells(X.parse_cells(X.cell_times(t.celdas, ["doc", "page", "col"])))
 
 
+CATALOGUE = """SELECT p * 4 + j AS id, CASE WHEN p % 2 = 0 THEN element_at(array('Cálculo I', 'Estructuras de datos', 'Física', 'Álgebra lineal'), j + 1) ELSE element_at(array('Cálculo integral', 'Estructura de los datos', 'Seminarios de introducción', 'Álgebra lineal y geometría'), j + 1) END AS nombre, true AS activo
+  FROM (SELECT CAST(id AS BIGINT) AS p FROM range(5)) CROSS JOIN (SELECT CAST(id AS INT) AS j FROM range(4))"""
+
+
+def draft_inputs(t):
+    """Pages, what is known of their documents and tables, and a catalogue whose programs call their subjects differently."""
+    docs = t.rejilla.select("doc", "page").distinct()
+    documents = docs.select("doc", F.when(F.col("doc") % 3 < 2, F.concat(F.lit("Grado en Plan "), (F.col("doc") % 5).cast("string"))).alias("plan"), F.when(F.col("doc") % 3 == 2, F.concat(F.lit("GRADO EN PLAN "), (F.col("doc") % 7).cast("string"))).alias("titulo")).distinct()
+    tables = docs.select("doc", "page", F.when(F.col("doc") % 3 == 0, "1º").when(F.col("doc") % 3 == 1, "N.A.").otherwise("2º CURSO").alias("curso"))
+    subjects = t.spark.sql(CATALOGUE)
+    links = subjects.select(F.col("id").alias("asignatura_id"), F.floor(F.col("id") / 4).alias("programa_id"), (F.col("id") % 2 + 1).cast("int").alias("curso"))
+    programs = t.spark.sql("SELECT CAST(id AS BIGINT) AS id, concat('Grado en Plan ', id) AS nombre, true AS activo FROM range(5)")
+    return documents, tables, subjects, links, programs
+
+
 @query("x9_build_draft")
 def x9(t):
-    subjects = own(t, "SELECT DISTINCT CAST(id % 4 AS BIGINT) AS id, CASE id % 4 WHEN 0 THEN 'Cálculo I' WHEN 1 THEN 'Estructuras de datos' WHEN 2 THEN 'Física' ELSE 'Álgebra lineal' END AS nombre, true AS activo FROM asignaturas")
-    links = own(t, "SELECT DISTINCT CAST(id % 4 AS BIGINT) AS asignatura_id, CAST(1 AS BIGINT) AS programa_id, CAST(1 AS INT) AS curso FROM asignaturas")
-    return X.build_draft(t.celdas, subjects, None, links, t.aulas)
+    documents, tables, subjects, links, programs = draft_inputs(t)
+    return X.build_draft(X.day_matrix(t.rejilla), documents, tables, subjects, None, links, programs, t.aulas)
 
 
 @query("x10_draft_to_normalizer", "SELECT id, CASE WHEN id % 3 = 0 THEN periodo ELSE 'documento' END AS periodo FROM sesiones", ("sesiones",))
@@ -182,12 +196,21 @@ def g9(t):
     return X.page_metadata(t.spark.sql(LINES.replace("FROM part", "FROM {part}").replace("//", "div"), part=t.part))
 
 
-HEAD = "SELECT p_partkey // 6 AS doc, CAST(1 AS INT) AS page, CAST(p_partkey % 3 AS INT) AS fila, CAST(p_partkey % 6 AS INT) AS col, CASE WHEN p_partkey % 3 = 0 THEN CASE p_partkey % 6 WHEN 0 THEN 'Martes' ELSE 'Viernes' END ELSE p_name END AS text FROM part"
+#: The days of the pages of rejilla, said by how they are made: all named (one twice), one named, none but hours, neither.
+DAYS = """r AS (SELECT DISTINCT doc, page, col, (col - doc % 3) // 10 AS p, doc // 4 % 2 AS s FROM rejilla),
+ dm AS (SELECT doc, page, col, CASE WHEN doc % 8 = 0 AND p = 6 THEN 1 WHEN doc % 8 = 0 AND p = 1 THEN 0 WHEN doc % 4 = 0 THEN p WHEN doc % 4 < 3 THEN p - s END AS n FROM r),
+ dc AS (SELECT doc, page, col, ['LUNES', 'MARTES', 'MIÉRCOLES', 'JUEVES', 'VIERNES'][n] AS dia FROM dm WHERE n BETWEEN 1 AND 5)"""
 
 
-@query("g10_day_columns", f"WITH h AS ({HEAD}), d AS (SELECT DISTINCT doc, page, min(col) AS c0, arg_min(upper(text), col) AS d0, bool_or(col = 3) AS v FROM h WHERE text IN ('Martes', 'Viernes') GROUP BY 1, 2), k AS (SELECT unnest(['LUNES', 'MARTES', 'MIERCOLES', 'JUEVES', 'VIERNES']) AS dia, unnest(range(5)) AS p) SELECT doc, page, CAST(CASE WHEN dia = 'VIERNES' AND v THEN 3 WHEN dia = 'MARTES' AND d0 = 'MARTES' THEN 0 ELSE c0 + p - CASE d0 WHEN 'MARTES' THEN 1 ELSE 4 END END AS INT) AS col, dia FROM d, k")
+@query("g10_day_columns", f"WITH {DAYS} SELECT * FROM dc", ("rejilla",))
 def g10(t):
-    return X.day_columns(t.spark.sql(HEAD.replace("FROM part", "FROM {part}").replace("//", "div"), part=t.part))
+    return X.day_columns(t.rejilla)
+
+
+@query("src4_w2_day_matrix", f"""WITH {DAYS} SELECT g.doc, g.page, g.fila, g.col, dc.dia, CASE g.fila WHEN 0 THEN NULL WHEN 1 THEN '08:30' WHEN 2 THEN '09:30' WHEN 3 THEN '09:30' WHEN 6 THEN '12:30' WHEN 7 THEN '13:30' ELSE '10:30' END AS hora, g.text
+  FROM rejilla g JOIN dc ON dc.doc = g.doc AND dc.col = g.col WHERE NOT (g.fila = 0 AND g.doc % 4 = 2) AND NOT (g.fila = 3 AND g.doc % 2 = 0)""", ("rejilla",))
+def src4_w2(t):
+    return X.day_matrix(t.rejilla)
 
 
 GRID = "SELECT DISTINCT doc, page, axis, pos FROM (SELECT l_orderkey AS doc, CAST(1 AS INT) AS page, 'v' AS axis, CAST(60 * (l_linenumber % 4) AS DOUBLE) AS pos FROM lineitem UNION ALL SELECT l_orderkey, CAST(1 AS INT), 'h', CAST(30 * (l_linenumber // 3) + 9 * (l_linenumber % 2) AS DOUBLE) FROM lineitem)"

@@ -71,6 +71,15 @@ TABLES = {
           WHEN 2 THEN CASE WHEN p_partkey // 5 % 2 = 0 THEN 'Estructuras de' ELSE 'Datos LSC 2' END WHEN 3 THEN CASE WHEN p_partkey // 5 % 2 = 0 THEN 'Física' ELSE 'LATC Grupo 1' END
           WHEN 4 THEN '(*) aviso' ELSE concat('Álgebra lineal Grupo ', CAST(p_partkey % 5 AS VARCHAR)) END AS text
       FROM {part}""",
+    "rejilla": """
+      WITH b AS (SELECT p_partkey // 56 AS doc, CAST(p_partkey % 56 // 7 AS INT) AS fila, CAST(p_partkey % 7 AS INT) AS p, count(*) OVER (PARTITION BY p_partkey // 56) AS n FROM {part}),
+      c AS (SELECT *, doc // 4 % 2 AS s FROM b WHERE n = 56)
+      SELECT doc, CAST(1 AS INT) AS page, fila, CAST(10 * p + doc % 3 AS INT) AS col, CASE
+        WHEN fila = 0 AND doc % 4 = 0 THEN CASE p WHEN 0 THEN 'Hora' WHEN 1 THEN 'L U N E S' WHEN 2 THEN 'Martes 1' WHEN 3 THEN 'miercoles' WHEN 4 THEN 'JUEVES' WHEN 5 THEN 'Horario de viernes' ELSE CASE WHEN doc % 8 = 0 THEN 'lunes' ELSE 'Notas' END END
+        WHEN fila = 0 THEN CASE WHEN doc % 4 = 1 AND p = 2 + s THEN 'MARTES' END
+        WHEN p = CASE WHEN doc % 4 = 2 THEN s ELSE 0 END AND doc % 4 < 3 THEN CASE fila WHEN 1 THEN '8:30' WHEN 2 THEN '09.30' WHEN 4 THEN 'de 10:30 a' WHEN 5 THEN '1130' WHEN 6 THEN '12:30' WHEN 7 THEN '13:30' END
+        WHEN fila = 3 AND doc % 2 = 0 THEN NULL WHEN p = 6 AND doc % 8 = 0 THEN 'Seminario de introducción a la investigación'
+        ELSE CASE (fila + p) % 5 WHEN 0 THEN '' WHEN 1 THEN 'Cálculo I AULA 3 PL1 y PL2' WHEN 2 THEN 'Estructuras de' WHEN 3 THEN 'Datos LSC 2' ELSE concat('Álgebra lineal Grupo ', CAST(p AS VARCHAR)) END END AS text FROM c""",
     "paginas": """
       SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS page, CASE WHEN l_partkey % 3 = 0 THEN '  corto ' ELSE concat('Texto de la página con más de cincuenta caracteres útiles, número ', CAST(l_partkey AS VARCHAR)) END AS text FROM {lineitem}""",
     "atomos": """

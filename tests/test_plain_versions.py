@@ -11,6 +11,7 @@ from quadrille.operators import conflicts as C
 from quadrille.operators import extraction as X
 from quadrille.operators import maintenance as M
 from quadrille.operators import matching as MM
+from quadrille.plans import extraction as PX
 from quadrille.plans import maintenance as PM
 from quadrille.plans.detection import sessions
 from quadrille.plans.matching import ALIASES, NAMES, ROOMS, own
@@ -118,18 +119,34 @@ def test_bound_by_letters_never_loses_the_best(spark):
         assert got == {x: w for x, w in want.items() if -w[0] >= cutoff}
 
 
-def test_draft_is_matched_like_its_parts(spark, small, t):
+def test_draft_is_matched_in_its_context(spark, small, t):
+    documents, tables, subjects, links, programs = (df.collect() for df in PX.draft_inputs(t))
     rows = plans.queries()["x9_build_draft"](spark, small).collect()
-    merged = X.merge_cells(X.parse_cells(X.cell_times(X.fill_times(t.celdas, ["doc", "page", "col"]), ["doc", "page", "col"]))).collect()
+    merged = X.merge_cells(X.parse_cells(X.cell_times(X.day_matrix(t.rejilla), ["doc", "page", "col"]))).collect()
     groups = lambda g: [p.strip() for p in re.split(r"\s*[,/&+]\s*|\s+(?:y|e)\s+", (g or "").strip(), flags=re.I) if p.strip()] or [None]
     assert len(rows) == sum(len(groups(m.grupo)) for m in merged) and rows
-    names = {"Cálculo I": 0, "Estructuras de datos": 1, "Física": 2, "Álgebra lineal": 3}
-    keys = {n.upper().translate(str.maketrans("ÁÉÍÓÚ", "AEIOU")): i for n, i in names.items() if any(r.asignatura_id == i for r in rows) or True}
+    bare = lambda x: x.upper().translate(str.maketrans("ÁÉÍÓÚ", "AEIOU"))
+    plan = {d.doc: next((p.id for p in programs if bare(p.nombre) == bare(d.plan or d.titulo)), None) for d in documents}
+    course = {r.doc: int("".join(c for c in r.curso if c.isdigit()) or 0) for r in tables}
+    names = {s.id: bare(s.nombre) for s in subjects}
+    days = {(r.doc, r.col): r.dia for r in X.day_columns(t.rejilla).collect()}
+    states = set()
     for r in rows:
-        k = r.asignatura.upper().translate(str.maketrans("ÁÉÍÓÚ", "AEIOU"))
-        score, best = min((-MM.token_set_ratio(k, c), c) for c in keys)
-        want = (keys[best], "EXACT" if best == k else "FUZZY_AUTO" if -score >= MM.AUTO else "FUZZY_LOW_CONFIDENCE") if -score >= MM.CUTOFF else (None, "NO_MATCH")
-        assert (r.asignatura_id, r.estado) == want
+        assert r.dia == days[r.doc, r.col] and r.programa_id == plan[r.doc] and r.curso == course[r.doc] and r.ini <= r.fin
+        mine = [x.asignatura_id for x in links if x.programa_id == plan[r.doc]]
+        here = [x.asignatura_id for x in links if x.programa_id == plan[r.doc] and x.curso == course[r.doc]] or mine or list(names)
+        k = bare(r.texto_original)
+        equal = [i for i in names if names[i] == k]
+        if equal:
+            want = (min(equal, key=lambda i: (i not in mine, i not in here, i)), "EXACT")
+        else:
+            score, best = min((-MM.token_set_ratio(k, names[i]), names[i]) for i in here)
+            same = [i for i in names if names[i] == best]
+            want = (min(same, key=lambda i: (i not in mine, not (course[r.doc] and i in here), i)), "FUZZY_AUTO" if -score >= MM.AUTO else "FUZZY_LOW_CONFIDENCE") if -score >= MM.CUTOFF else (None, "NO_MATCH")
+        states.add(want[1])
+        assert (r.asignatura_id, r.estado) == want and r.asignatura_sugerida == next((s.nombre for s in subjects if s.id == want[0]), None)
+        assert r.tipo == {"laboratorio": "PRÁCTICAS DE LABORATORIO", "practica": "PRÁCTICAS DE AULA"}.get(r.tipo_grupo, "TEORÍA")
+    assert states >= {"EXACT", "FUZZY_AUTO", "FUZZY_LOW_CONFIDENCE"} and {r.tipo_grupo for r in rows} >= {"laboratorio", "teoria"}
 
 
 def test_matching_is_refined_text_by_text(spark, small, t):
