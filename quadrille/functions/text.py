@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -260,8 +262,24 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Letters with marks of the Latin, Greek and Cyrillic blocks and what canonical decomposition leaves of them; then the marks, which stand for nothing."""
+    pairs = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        bare = "".join(x for x in parts if not unicodedata.combining(x))
+        if len(parts) > 1 and len(bare) == 1:
+            pairs[chr(code)] = bare
+    marks = "".join(chr(code) for code in range(0x300, 0x370))
+    return "".join(pairs) + marks, "".join(pairs.values())
+
+
+_MARKED, _BARE = _bare_letters()
+
+
 def fold_key(c: Column) -> Column:
-    return F.translate(F.lower(c), _PLAIN_FROM, _PLAIN_TO)
+    """Small letters without marks, whether a mark is part of its letter or follows it."""
+    return F.translate(F.lower(c), _MARKED, _BARE)
 
 
 def period_matches(a: Column, b: Column) -> Column:

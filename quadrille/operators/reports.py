@@ -152,15 +152,25 @@ def teacher_counts(teachers: DataFrame, restrictions: DataFrame) -> DataFrame:
 
 
 def facets(df: DataFrame, cols: list[str], chosen: dict[str, str] | None = None) -> DataFrame:
-    """(faceta, valor, n): counts of each column's values among rows that fit the choices in the other columns."""
-    parts = []
-    for c in cols:
-        rows = where_all(df, **{k: v for k, v in (chosen or {}).items() if k != c})
-        parts.append(rows.groupBy(F.lit(c).alias("faceta"), F.col(c).cast("string").alias("valor")).agg(F.count("*").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(faceta, valor, n): counts of each column's values among rows that fit the choices in the other columns.
+
+    One scan: a grouping set a column, and a count a column of the rows that
+    fit all choices but its own, of which a set takes its column's.
+    """
+    fits = {k: F.coalesce(F.col(k) == v, F.lit(False)) for k, v in (chosen or {}).items()}
+
+    def others(c: str) -> Column:
+        out = F.lit(True)
+        for k, fit in fits.items():
+            out = out & fit if k != c else out
+        return out
+
+    masked = df.select(*cols, *[others(c).alias(f"_fits_{i}") for i, c in enumerate(cols)])
+    counts = [F.count_if(f"_fits_{i}").alias(f"_n_{i}") for i in range(len(cols))]
+    sets = masked.groupingSets([[c] for c in cols], *cols).agg(*counts, *[F.grouping(c).alias(f"_g_{i}") for i, c in enumerate(cols)])
+    mine = [F.col(f"_g_{i}") == 0 for i in range(len(cols))]
+    value = F.coalesce(*[F.when(m, F.struct(F.lit(c).alias("faceta"), F.col(c).cast("string").alias("valor"), F.col(f"_n_{i}").alias("n"))) for i, (c, m) in enumerate(zip(cols, mine))])
+    return sets.select(value.alias("f")).select("f.*").where("n > 0")
 
 
 def import_stats(actions: DataFrame) -> DataFrame:

@@ -154,6 +154,13 @@ def g6(t):
     return R.facets(t.aulas, ["tipo", "activo"], {"tipo": "seminario"})
 
 
+@query("g6_facets_of_sessions", """SELECT 'tipo_grupo' AS faceta, tipo_grupo AS valor, count(*) AS n FROM sesiones WHERE periodo = 'primer_cuatrimestre' AND mencion_id = 1 GROUP BY 2 UNION ALL SELECT 'periodo', periodo, count(*) FROM sesiones WHERE tipo_grupo = 'TEORIA' AND mencion_id = 1 GROUP BY 2
+  UNION ALL SELECT 'mencion_id', CAST(mencion_id AS VARCHAR), count(*) FROM sesiones WHERE tipo_grupo = 'TEORIA' AND periodo = 'primer_cuatrimestre' GROUP BY 2 UNION ALL SELECT 'dia_semana', CAST(dia_semana AS VARCHAR), count(*) FROM sesiones WHERE tipo_grupo = 'TEORIA' AND periodo = 'primer_cuatrimestre' AND mencion_id = 1 GROUP BY 2""", ("sesiones",))
+def g6b(t):
+    """Four facets, three of them chosen: one scan."""
+    return R.facets(t.sesiones, ["tipo_grupo", "periodo", "mencion_id", "dia_semana"], {"tipo_grupo": "TEORIA", "periodo": "primer_cuatrimestre", "mencion_id": 1})
+
+
 @query("g7_import_stats", "SELECT event_id // 1000 AS run_id, count(*) FILTER (WHERE event_id % 5 = 0) AS created, count(*) FILTER (WHERE event_id % 5 = 1) AS updated, count(*) FILTER (WHERE event_id % 5 = 2) AS removed, count(*) FILTER (WHERE event_id % 5 = 3) AS error, count(*) FILTER (WHERE event_id % 5 = 4) AS warning FROM events GROUP BY 1")
 def g7(t):
     return R.import_stats(t.events.selectExpr("event_id div 1000 AS run_id", "element_at(array('created','updated','removed','error','warning'), CAST(event_id % 5 + 1 AS INT)) AS action"))
