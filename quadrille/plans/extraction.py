@@ -36,12 +36,19 @@ def x1(t):
     return X.extract_code_name(t.fichas).drop("text")
 
 
-KIND = case([("doc_id % 3 = 0", "'Obligatoria'"), ("doc_id % 3 = 1", "'Optativa'")], "'Básica'")
+#: What fichas_varias says, sheet by sheet: degrees, teachers, and the code.
+DEGREES = """SELECT doc_id, concat('Grado en Plan ', CAST(doc_id % 20 AS VARCHAR)) AS programa_nombre, CASE doc_id % 4 WHEN 0 THEN 'Obligatoria' ELSE 'Optativa' END AS tipo_asignatura, CASE doc_id % 4 WHEN 0 THEN '2' ELSE '3' END AS curso FROM fichas_varias WHERE doc_id % 4 < 2
+  UNION ALL SELECT doc_id, concat('Grado en Otra Cosa ', CAST(doc_id % 7 AS VARCHAR)), 'Básica', '1' FROM fichas_varias WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 'Grado en Artes', 'Troncal', '4' FROM fichas_varias WHERE doc_id % 4 = 3"""
+WHO = """SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'Jose Luis' WHEN 2 THEN 'Maria Isabel' WHEN 3 THEN 'Eva' WHEN 5 THEN 'Óscar' ELSE 'Ana' END AS nombre, CASE doc_id % 8 WHEN 1 THEN 'Perez Ruiz' WHEN 2 THEN 'Martin Diaz' WHEN 3 THEN 'Sanz Gil' WHEN 5 THEN 'Nuñez' ELSE 'Garcia Lopez' END AS apellidos FROM fichas_varias WHERE doc_id % 8 < 6
+  UNION ALL SELECT doc_id, CAST(4500 + doc_id % 11 AS VARCHAR), 'Profesor Externo' FROM fichas_varias WHERE doc_id % 8 = 1"""
+CODE = "concat(substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(doc_id // 10000 % 26 + 1 AS INT), 1), lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0'))"
+#: Valid sheets, and of those the ones whose period is known.
+VALID, TIMED = "doc_id % 6 <> 5", "doc_id % 6 <> 5 AND doc_id % 7 NOT IN (1, 2)"
 
 
-@query("x2_extract_degrees", f"SELECT doc_id, concat('Grado en Plan ', CAST(doc_id % 20 AS VARCHAR)) AS programa_nombre, {KIND} AS tipo_asignatura, CAST(doc_id % 4 + 1 AS VARCHAR) AS curso FROM fichas", ("fichas",))
+@query("x2_extract_degrees", DEGREES, ("fichas_varias",))
 def x2(t):
-    return X.extract_degrees(t.fichas)
+    return X.extract_degrees(t.fichas_varias)
 
 
 @query("x3_extract_credits", r"SELECT doc_id, CAST(floor(CAST(replace(regexp_extract(text, '(?i)ECTS\s*:\s*([0-9]{1,2}(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE)) AS INT) AS ects FROM fichas", ("fichas",))
@@ -49,14 +56,16 @@ def x3(t):
     return t.fichas.select("doc_id", X.extract_credits(F.col("text")).alias("ects"))
 
 
-@query("x4_extract_sheet_fields", f"SELECT doc_id, 'CUATRIMESTRAL' AS periodo, CAST(doc_id % 2 + 1 AS INT) AS num_periodo, {case([('doc_id % 3 = 0', chr(39) + 'OBLIGATORIA' + chr(39)), ('doc_id % 3 = 1', chr(39) + 'OPTATIVA' + chr(39))], chr(39) + 'BASICA' + chr(39))} AS modalidad, 'ESPAÑOL' AS idioma, false AS english_friendly, CAST(NULL AS VARCHAR) AS centro, CAST(NULL AS VARCHAR) AS departamento FROM fichas", ("fichas",))
+@query("x4_extract_sheet_fields", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ANUAL' WHEN 1 THEN 'N.A.' WHEN 2 THEN 'TRIMESTRAL' ELSE 'CUATRIMESTRAL' END AS periodo, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 3 ELSE CAST(doc_id % 2 + 1 AS INT) END AS num_periodo,
+  CASE doc_id % 4 WHEN 0 THEN 'OBLIGATORIA' WHEN 1 THEN 'OPTATIVA' WHEN 2 THEN 'N.A.' ELSE 'TRONCAL' END AS modalidad, CASE doc_id % 5 WHEN 0 THEN 'INGLES' WHEN 1 THEN 'FRENCH' ELSE 'ESPAÑOL' END AS idioma, doc_id % 3 = 0 AS english_friendly,
+  CASE WHEN doc_id % 2 = 0 THEN 'Facultad de Ciencias' END AS centro, CASE WHEN doc_id % 2 = 0 THEN concat('Física ', CAST(doc_id % 4 AS VARCHAR)) END AS departamento FROM fichas_varias""", ("fichas_varias",))
 def x4(t):
-    return X.extract_sheet_fields(t.fichas).drop("text")
+    return X.extract_sheet_fields(t.fichas_varias).drop("text")
 
 
-@query("x5_extract_teachers", "SELECT doc_id, 'Ana' AS nombre, 'Garcia Lopez' AS apellidos FROM fichas", ("fichas",))
+@query("x5_extract_teachers", WHO, ("fichas_varias",))
 def x5(t):
-    return X.extract_teachers(t.fichas).drop("n")
+    return X.extract_teachers(t.fichas_varias).drop("n")
 
 
 @query("x6_parse_sheets", f"SELECT doc_id, {NAME.replace('#', '1')} AS codigo_plan, CAST(floor(CAST(replace(regexp_extract(text, 'ECTS: ([0-9,]+)', 1), ',', '.') AS DOUBLE)) AS INT) AS ects, CAST(0 AS INT) AS n_avisos FROM fichas WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, NULL, NULL, CAST(-1 AS INT) FROM fichas WHERE doc_id % 10 = 3", ("fichas",))
@@ -66,10 +75,18 @@ def x6(t):
     return good.select("doc_id", "codigo_plan", "ects", F.size("avisos").alias("n_avisos")).unionByName(bad.select("doc_id", F.lit(None).cast("string").alias("codigo_plan"), F.lit(None).cast("int").alias("ects"), F.lit(-1).alias("n_avisos")))
 
 
-@query("x7_normalize_sheets", f"SELECT doc_id, {NAME.replace('#', '1')} AS codigo_plan, CASE WHEN doc_id % 2 = 0 THEN 'primer_cuatrimestre' ELSE 'segundo_cuatrimestre' END AS periodo, concat('Grado En Plan ', CAST(doc_id % 20 AS VARCHAR)) AS programa_nombre, {KIND.lower().replace('á', 'a')} AS tipo_asignatura, CAST(doc_id % 4 + 1 AS INT) AS curso, 'Ana' AS profesor FROM fichas", ("fichas",))
+@query("x6_rejected_sheets", f"SELECT doc_id, 'Faltan los ECTS' AS error FROM fichas_varias WHERE NOT ({VALID})", ("fichas_varias",))
+def x6b(t):
+    return X.parse_sheets(t.fichas_varias)[1].select("doc_id", F.explode("errores").alias("error"))
+
+
+@query("x7_normalize_sheets", f"""SELECT doc_id, 'asignatura' AS que, {CODE} AS nombre, CASE WHEN doc_id % 7 = 0 THEN 'anual' WHEN doc_id % 2 = 0 THEN 'primer_cuatrimestre' ELSE 'segundo_cuatrimestre' END AS dato, CASE doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN (SELECT p_size % 9 + 1 FROM part WHERE p_partkey = doc_id) ELSE 4 END AS n FROM fichas_varias WHERE {TIMED}
+  UNION ALL SELECT doc_id, 'titulacion', replace(programa_nombre, ' en ', ' En '), replace(lower(tipo_asignatura), 'á', 'a'), CAST(curso AS INT) FROM ({DEGREES}) WHERE {VALID} AND tipo_asignatura <> 'Troncal' UNION ALL SELECT doc_id, 'profesor', nombre, apellidos, 0 FROM ({WHO}) WHERE {VALID}""", ("fichas_varias",))
 def x7(t):
-    subject, degrees, teachers = X.normalize_sheets(X.parse_sheets(t.fichas)[0])
-    return subject.select("doc_id", "codigo_plan", "periodo").join(degrees, "doc_id").join(teachers.select("doc_id", F.col("nombre").alias("profesor")), "doc_id")
+    subject, degrees, teachers = X.normalize_sheets(X.parse_sheets(t.fichas_varias)[0])
+    rows = subject.select("doc_id", F.lit("asignatura").alias("que"), F.col("codigo_plan").alias("nombre"), F.col("periodo").alias("dato"), F.col("ects").alias("n"))
+    rows = rows.union(degrees.select("doc_id", F.lit("titulacion"), "programa_nombre", "tipo_asignatura", "curso"))
+    return rows.union(teachers.select("doc_id", F.lit("profesor"), "nombre", "apellidos", F.lit(0)))
 
 
 W = r"[\p{L}\p{N}_]"

@@ -14,7 +14,7 @@ ROOMS = "SELECT id AS qid, CASE id % 5 WHEN 0 THEN lower(nombre) WHEN 1 THEN rep
 
 
 def own(t, sql: str, **frames):
-    for name in ("asignaturas", "aulas", "profesores", "sesiones", "enlaces", "fechadas"):
+    for name in ("asignaturas", "aulas", "profesores", "sesiones", "enlaces", "fechadas", "fichas_varias"):
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
         if "{" + name + "}" in sql:
             frames[name] = getattr(t, name)

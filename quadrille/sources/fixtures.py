@@ -38,6 +38,20 @@ TABLES = {
         chr(10), 'CU GARCIA LOPEZ, ANA Universidad N',
         chr(10), 'TOTAL 1') AS text
       FROM {part}""",
+    "fichas_varias": """
+      WITH b AS (SELECT p_partkey AS k, p_name, p_size FROM {part})
+      SELECT k AS doc_id, concat('DATOS DEL TITULO',
+        CASE k % 4 WHEN 0 THEN concat(chr(10), 'Grado en Plan ', CAST(k % 20 AS VARCHAR), ' OBLIGATORIA 2') WHEN 1 THEN concat(chr(10), 'Grado en Plan ', CAST(k % 20 AS VARCHAR), ' OPTATIVA 3', chr(10), 'Grado en Otra Cosa ', CAST(k % 7 AS VARCHAR), ' BÁSICA 1') WHEN 2 THEN '' ELSE concat(chr(10), 'Doble Grado en Artes TRONCAL 4') END,
+        chr(10), 'CODIGO Y DENOMINACION : ', substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(k // 10000 % 26 + 1 AS INT), 1), lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), ' ', upper(p_name),
+        CASE k % 6 WHEN 0 THEN concat(chr(10), 'Nº CRÉDITOS ECTS: 7,50') WHEN 1 THEN concat(chr(10), 'CRÉDITO ECTS : ', CAST(p_size % 9 + 1 AS VARCHAR)) WHEN 5 THEN '' ELSE concat(chr(10), 'ECTS: 4.5') END,
+        CASE k % 7 WHEN 0 THEN concat(chr(10), 'PERIODO: Anual') WHEN 1 THEN '' WHEN 2 THEN concat(chr(10), 'SECUENCIA: Trimestral Nº: 3') ELSE concat(chr(10), 'SECUENCIA: Cuatrimestral Nº: ', CAST(k % 2 + 1 AS VARCHAR)) END,
+        CASE k % 5 WHEN 0 THEN concat(chr(10), 'Idioma: Inglés') WHEN 1 THEN concat(chr(10), 'Language: French') WHEN 2 THEN concat(chr(10), 'Idioma : Castellano') ELSE '' END,
+        CASE k % 3 WHEN 0 THEN concat(chr(10), 'Docencia en inglés: sí') WHEN 1 THEN concat(chr(10), 'English friendly: no') ELSE '' END,
+        CASE WHEN k % 2 = 0 THEN concat(chr(10), 'CENTRO RESPONSABLE : 12 Facultad de Ciencias', chr(10), 'DEPARTAMENTO RESPONSABLE: Física ', CAST(k % 4 AS VARCHAR)) ELSE '' END,
+        CASE k % 8 WHEN 7 THEN '' ELSE concat(chr(10), 'DATOS DEL PROFESORADO') END,
+        CASE k % 8 WHEN 0 THEN concat(chr(10), 'CU GARCIA LOPEZ, ANA Universidad N') WHEN 1 THEN concat(chr(10), 'TUPEREZ RUIZ, JOSE LUIS Dpto 3', chr(10), 'EXT PROFESOR EXTERNO ID ', CAST(4500 + k % 11 AS VARCHAR))
+          WHEN 2 THEN concat(chr(10), 'CD MARTIN DIAZ, MARIA', chr(10), 'ISABEL Universidad N') WHEN 3 THEN concat(chr(10), 'Apellidos y nombre del PROFESOR', chr(10), 'TIPO', chr(10), 'AS SANZ GIL, EVA 12,5 30') WHEN 4 THEN concat(chr(10), 'línea sin nombre', chr(10), 'GARCIA LOPEZ, ANA') WHEN 5 THEN concat(chr(10), 'PP NUÑEZ, ÓSCARHospital S') ELSE '' END,
+        chr(10), 'DESGLOSE', chr(10), 'OTRA, PERSONA') AS text FROM b""",
     "aulas": """
       SELECT DISTINCT aula_id AS id, concat('Aula ', CAST(aula_id AS VARCHAR)) AS nombre, concat('ED-', lpad(CAST(aula_id AS VARCHAR), 5, '0')) AS codigo,
         CASE aula_id % 4 WHEN 0 THEN 'teorica' WHEN 1 THEN 'laboratorio' WHEN 2 THEN 'informatica' ELSE 'seminario' END AS tipo,
