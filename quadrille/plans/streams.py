@@ -10,6 +10,7 @@ from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
 from quadrille.plans.detection import J1, J2, J3, J4, TEACHERS, sessions
 from quadrille.plans.maintenance import changes, flat
+from quadrille.plans.extraction import VALID
 from quadrille.plans.registry import query
 from quadrille.sources.snapshots import Snapshots
 from quadrille.sources.storage import scratch
@@ -23,13 +24,13 @@ MADE = "SELECT (SELECT max(id) FROM sesiones) + row_number() OVER (ORDER BY id),
 
 #: Detection over the edited sessions.
 EDITED = re.sub(r"\bsesiones\b", "ed", f"{TEACHERS}, j1 AS ({J1}), j2 AS ({J2}), j3 AS ({J3}), j4 AS ({J4})")
-AFTER = f"""WITH ed AS (SELECT * EXCLUDE (p), p[1] AS profesor_id, p[2] AS profesor_2_id FROM ({FEED} UNION ALL {MADE})), {EDITED},
+AFTER = """WITH ed AS (SELECT * EXCLUDE (p), p[1] AS profesor_id, p[2] AS profesor_2_id FROM (FEED UNION ALL MADE)), """ + f"""{EDITED},
 u AS (SELECT '{C.ROOM}' AS tipo, s1 AS sesion_id, s2 AS sesion_2_id, aula_id AS res FROM j1 UNION ALL SELECT '{C.TEACHER}', s1, s2, profesor_id FROM j2
   UNION ALL SELECT '{C.COHORT}', s1, s2, asignatura_id FROM j3 UNION ALL SELECT '{C.RESTRICTION}', s1, NULL, restriccion_id FROM j4)
 SELECT DISTINCT tipo, sesion_id, sesion_2_id, sha256(concat(tipo, ':', CAST(sesion_id AS VARCHAR), CASE WHEN tipo = '{C.RESTRICTION}' THEN '' ELSE concat('-', CAST(sesion_2_id AS VARCHAR)) END, ':', CAST(res AS VARCHAR))) AS hash, 'por_revisar' AS estado FROM u"""
 
 
-@query("t1_stream_session_changes", AFTER, ("sesiones", "restricciones"))
+@query("t1_stream_session_changes", AFTER.replace("FEED", FEED).replace("MADE", MADE), ("sesiones", "restricciones"))
 def t1(t):
     """The conflicts after all batches of a feed: those of the edited sessions, whichever batch an edit came in. All creates are in one batch, as their ids depend on that."""
     base, s = scratch(t.spark, "streams"), flat(t)
@@ -42,18 +43,38 @@ def t1(t):
     return state.read("conflictos").select("tipo", "sesion_id", "sesion_2_id", "hash", "estado")
 
 
+@query("j24_simulated_conflicts", AFTER.replace("FEED", FEED).replace("MADE", MADE.replace("(SELECT max(id) FROM sesiones) + row_number() OVER (ORDER BY id)", "-(id + 1)")).replace(", 'por_revisar' AS estado", ""), ("sesiones", "restricciones"))
+def j24(t):
+    """All rules over edits that aren't stored: what is made has negative ids."""
+    s = flat(t)
+    return C.detect_conflicts(M.simulate_changes(s, changes(t, s)), t.restricciones).select("tipo", "sesion_id", "sesion_2_id", "hash")
+
+
 @query("t2_stream_sheet_intake", r"SELECT concat('G', CAST(k AS VARCHAR)) AS codigo_plan FROM (SELECT DISTINCT p_partkey % 9000 + 100 AS k FROM part)")
 def t2(t):
+    return intake(t, t.fichas).read("asignaturas").select("codigo_plan")
+
+
+def intake(t, sheets):
+    """The catalogue after all batches of a feed of sheets, from nothing."""
     base, spark = scratch(t.spark, "streams"), t.spark
     schemas = {
         "asignaturas": "id long, codigo_plan string, nombre string, periodo string, ects int, modalidad string, idioma string, english_friendly boolean", "programas": "id long, nombre string, tipo string, activo boolean", "profesores": "id long, nombre string, apellidos string, activo boolean",
-        "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long", "rechazos": "doc_id long, errores array<string>",
+        "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long", "rechazos": "doc_id long, errores array<string>", "ejecuciones": "feed string, lote long, validas long, con_avisos long, rechazadas long",
     }
     state = Snapshots(spark, f"{base}/estado", jobs.CATALOGUE)
     state.commit({k: spark.createDataFrame([], schema) for k, schema in schemas.items()})
-    t.fichas.repartition(2, "doc_id").write.parquet(f"{base}/entrada")
+    sheets.repartition(2, "doc_id").write.parquet(f"{base}/entrada")
     jobs.stream_sheet_intake(jobs.feed(spark, f"{base}/entrada", "doc_id long, text string"), state, f"{base}/check").awaitTermination()
-    return state.read("asignaturas").select("codigo_plan")
+    return state
+
+
+@query("g7_m16_counted_runs", f"""SELECT count(*) FILTER ({VALID}) AS validas, count(*) FILTER ({VALID} AND (doc_id % 7 = 1 OR doc_id % 4 = 2)) AS con_avisos, count(*) FILTER (NOT ({VALID})) AS rechazadas, (SELECT count(*) FROM fichas_varias WHERE NOT ({VALID})) AS guardadas FROM fichas_varias""", ("fichas_varias",))
+def g7_m16(t):
+    """What the runs of an intake say of themselves, counted while they wrote, beside the rejects that they left."""
+    state = intake(t, t.fichas_varias)
+    runs = state.read("ejecuciones").agg(*[F.sum(c).alias(c) for c in ("validas", "con_avisos", "rechazadas")])
+    return runs.withColumn("guardadas", F.lit(state.read("rechazos").count()))
 
 
 @query("src5_write_stage", "SELECT id, profesor_id, aula_id FROM sesiones", ("sesiones",))

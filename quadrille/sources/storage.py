@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_base(df.sparkSession)
     return df.checkpoint()
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Writes a table in the shared folder and reads it back, with aggregates that are taken from the rows as they are written: no second pass counts them."""
+    seen, path = Observation(name), scratch(df.sparkSession, name)
+    df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get

@@ -10,13 +10,13 @@ from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
 from quadrille.operators.extraction import normalize_sheets, parse_sheets
 from quadrille.sources.snapshots import Snapshots
-from quadrille.sources.storage import cut
+from quadrille.sources.storage import cut, observed
 
 #: Key expressions of the tables of the two states.
 SCHEDULE = {"sesiones": ["id"], "conflictos": ["hash"]}
 CATALOGUE = {
     "asignaturas": ["codigo_plan"], "programas": ["lower(nombre)", "tipo"], "profesores": ["lower(nombre)", "lower(apellidos)"],
-    "enlaces": ["asignatura_id"], "profesores_asignaturas": ["asignatura_id"], "rechazos": ["doc_id"],
+    "enlaces": ["asignatura_id"], "profesores_asignaturas": ["asignatura_id"], "rechazos": ["doc_id"], "ejecuciones": ["feed", "lote"],
 }
 
 
@@ -57,12 +57,18 @@ def stream_session_changes(changes: DataFrame, state: Snapshots, checkpoint: str
 def apply_sheets(state: Snapshots, batch: DataFrame, number: int, feed: str = "fichas") -> None:
     """Parses arriving sheets (doc_id, text) and merges them into the catalogue; invalid ones go to its rejects. One commit, which reads the one before.
 
-    Only the buckets of the sheets' codes, programs, teachers and links are read whole and written.
+    Only the buckets of the sheets' codes, programs, teachers and links are read
+    whole and written. A row of ejecuciones (feed, lote, validas, con_avisos,
+    rechazadas) says what the batch was; its counts are taken while the parsed
+    sheets are written, which happens once.
     """
     before = state.last()
     if state.done(feed, number, before):
         return
     good, bad = parse_sheets(batch)
+    good, valid = observed(good, "fichas", validas=F.count(F.lit(1)), con_avisos=F.count_if(F.size("avisos") > 0))
+    bad, rejected = observed(bad, "rechazos", rechazadas=F.count(F.lit(1)))
+    run = state.spark.createDataFrame([(feed, number, valid["validas"], valid["con_avisos"], rejected["rechazadas"])], "feed string, lote long, validas long, con_avisos long, rechazadas long")
     parts: dict[str, list[int]] = {}
 
     def part(table: str, keys: DataFrame) -> DataFrame:
@@ -71,10 +77,9 @@ def apply_sheets(state: Snapshots, batch: DataFrame, number: int, feed: str = "f
 
     names = ("asignaturas", "programas", "profesores", "enlaces", "profesores_asignaturas")
     merged = M.upsert_sheets({k: state.read(k, before) for k in names}, *normalize_sheets(good), part=part)
-    rejects = state.read("rechazos", before)
-    rejected = cut(bad.select(*[F.col(c).cast(t).alias(c) for c, t in rejects.dtypes]))
-    rejected = part("rechazos", rejected.select("doc_id")).unionByName(rejected)
-    state.commit(merged | {"rechazos": rejected}, parts=parts, feed=feed, batch=number, base=before)
+    rejects = part("rechazos", bad.select("doc_id")).unionByName(bad)
+    runs = part("ejecuciones", run.select("feed", "lote")).unionByName(run)
+    state.commit(merged | {"rechazos": rejects, "ejecuciones": runs}, parts=parts, feed=feed, batch=number, base=before)
 
 
 def stream_sheet_intake(documents: DataFrame, state: Snapshots, checkpoint: str, feed: str = "fichas") -> StreamingQuery:

@@ -136,7 +136,7 @@ def sheets(spark, k):
 
 CATALOGUE = {
     "asignaturas": "id long, codigo_plan string, nombre string, periodo string, ects int, modalidad string, idioma string, english_friendly boolean", "programas": "id long, nombre string, tipo string, activo boolean", "profesores": "id long, nombre string, apellidos string, activo boolean",
-    "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long", "rechazos": "doc_id long, errores array<string>",
+    "enlaces": "id long, programa_id long, asignatura_id long, curso int, tipo_asignatura string", "profesores_asignaturas": "profesor_id long, asignatura_id long", "rechazos": "doc_id long, errores array<string>", "ejecuciones": "feed string, lote long, validas long, con_avisos long, rechazadas long",
 }
 
 
@@ -150,7 +150,7 @@ def test_a_killed_batch_of_sheets_runs_again(spark, tmp_path):
     state = catalogue("b")
     before = all_rows(state)
     with pytest.MonkeyPatch.context() as patch:
-        killed_at(state, patch, 6)  # all data is written, the commit isn't
+        killed_at(state, patch, 7)  # all data is written, the commit isn't
         with pytest.raises(Killed):
             jobs.apply_sheets(state, sheets(spark, 6), 1)
     assert all_rows(state) == before
@@ -166,3 +166,4 @@ def test_a_killed_batch_of_sheets_runs_again(spark, tmp_path):
     for t in ("asignaturas", "programas", "profesores", "profesores_asignaturas", "enlaces"):
         assert rows(state, t) == sorted(map(str, whole[t].select(*state.read(t).columns).collect())), t
     assert sorted(r.doc_id for r in state.read("rechazos").collect()) == [1000, 1006]
+    assert sorted((r.lote, r.validas, r.rechazadas) for r in state.read("ejecuciones").collect()) == [(0, 12, 1), (1, 12, 1)]
