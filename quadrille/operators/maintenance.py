@@ -133,6 +133,12 @@ def read_restrictions(raw: DataFrame) -> tuple[DataFrame, list[str]]:
     return out.where("NOT (profesor = '' AND dias = '' AND franja = '')"), []
 
 
+def restriction_warnings(rows: DataFrame) -> DataFrame:
+    """(fila, message, severity) for the rows that are blank in part; they are tried all the same."""
+    blank = rows.where("profesor = '' OR dias = '' OR franja = ''")
+    return blank.select("fila", F.concat(F.lit("Fila "), F.col("fila").cast("string"), F.lit(": Contiene celdas en blanco. El parser intentará procesarlo.")).alias("message"), F.lit("minor").alias("severity"))
+
+
 def expand_restrictions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row a day, (fila, profesor, dia, ini, fin), and rejects (fila, error)."""
     range_ = T.parse_range(F.col("franja"))

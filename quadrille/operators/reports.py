@@ -110,9 +110,25 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("errores", F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()])))
 
 
-def entity_rules() -> dict[str, Column]:
+# The kinds of rooms, programs and groups.
+ROOM_KINDS = ("teorica", "laboratorio", "informatica", "seminario", "taller", "auditorio", "biblioteca", "gimnasio", "virtual")
+PROGRAM_KINDS = ("grado", "master", "doctorado", "curso_especializacion")
+GROUP_KINDS = ("teoria", "practica", "laboratorio", "seminario", "taller", "tutoria", "examen")
+
+
+def entity_rules(entity: str = "asignatura") -> dict[str, Column]:
+    """The rules of a subject, room (aula), program, mention, alias or group (grupo) by name. Texts count without blanks at the ends and with single ones within."""
     c = F.col
-    return {"ects": c("ects").between(1, 12), "modalidad": c("modalidad").isin("presencial", "online", "semipresencial", "hibrida"), "idioma": c("idioma").isin("español", "ingles", "frances", "aleman", "italiano", "portugues", "catalan", "euskera", "gallego"), "codigo": F.length("codigo_plan") <= 6, "nombre": F.length(F.trim("nombre")).between(1, 255)}
+    size = lambda n, most: F.length(F.trim(F.regexp_replace(c(n), r"\s+", " "))).between(1, most)
+    there = lambda n: c(n).isNotNull() & (c(n) > 0)
+    return {
+        "asignatura": {"ects": c("ects").between(1, 12), "modalidad": c("modalidad").isin("presencial", "online", "semipresencial", "hibrida"), "idioma": c("idioma").isin("español", "ingles", "frances", "aleman", "italiano", "portugues", "catalan", "euskera", "gallego"), "codigo": F.length("codigo_plan") <= 6, "nombre": F.length(F.trim("nombre")).between(1, 255)},
+        "aula": {"nombre": c("nombre").isNotNull() & size("nombre", 200), "codigo": c("codigo").isNotNull() & size("codigo", 50), "tipo": c("tipo").isNotNull() & c("tipo").isin(*ROOM_KINDS), "capacidad": c("capacidad") > 0},
+        "programa": {"nombre": c("nombre").isNotNull() & size("nombre", 200), "tipo": c("tipo").isNotNull() & c("tipo").isin(*PROGRAM_KINDS)},
+        "mencion": {"programa": there("programa_id"), "nombre": c("nombre").isNotNull() & size("nombre", 200)},
+        "alias": {"asignatura": there("asignatura_id"), "alias": c("alias").isNotNull() & size("alias", 250)},
+        "grupo": {"asignatura": there("asignatura_id"), "codigo": c("codigo").isNotNull() & size("codigo", 50), "tipo": c("tipo").isNotNull() & c("tipo").isin(*GROUP_KINDS), "curso": c("curso").between(1, 6)},
+    }[entity]
 
 
 def validate_session(df: DataFrame) -> DataFrame:

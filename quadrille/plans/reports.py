@@ -124,6 +124,24 @@ def f14(t):
     return R.validate(t.asignaturas.withColumn("ects", F.col("ects") + 3), R.entity_rules()).select("id", F.array_join("errores", "").alias("errores"))
 
 
+ODD_ROOMS = "SELECT id, CASE id % 6 WHEN 0 THEN '   ' WHEN 1 THEN NULL ELSE nombre END AS nombre, CASE id % 5 WHEN 0 THEN repeat(codigo, 9) ELSE codigo END AS codigo, CASE id % 4 WHEN 0 THEN 'pasillo' ELSE tipo END AS tipo, CAST(CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE capacidad END AS INT) AS capacidad FROM aulas"
+
+
+@query("f14_validate_rooms", f"SELECT id, CASE WHEN id % 6 < 2 THEN 'nombre ' ELSE '' END || CASE WHEN length(codigo) > 50 THEN 'codigo ' ELSE '' END || CASE WHEN id % 4 = 0 THEN 'tipo ' ELSE '' END || CASE WHEN id % 3 = 0 THEN 'capacidad ' ELSE '' END AS errores FROM ({ODD_ROOMS})", ("aulas",))
+def f14b(t):
+    odd = t.spark.sql(ODD_ROOMS.replace("FROM aulas", "FROM {aulas}"), aulas=t.aulas)
+    return R.validate(odd, R.entity_rules("aula")).select("id", F.array_join(F.transform("errores", lambda e: F.concat(e, F.lit(" "))), "").alias("errores"))
+
+
+GROUPS = "SELECT id, asignatura_id, grupo_codigo AS codigo, lower(tipo_grupo) AS tipo, CAST(CASE WHEN id % 9 = 0 THEN NULL ELSE id % 8 END AS INT) AS curso FROM sesiones"
+
+
+@query("f14_validate_groups", f"SELECT id, CASE WHEN asignatura_id = 0 THEN 'asignatura,' ELSE '' END || CASE WHEN curso IN (0, 7) THEN 'curso,' ELSE '' END AS errores FROM ({GROUPS})", ("sesiones",))
+def f14c(t):
+    groups = t.spark.sql(GROUPS.replace("FROM sesiones", "FROM {sesiones}"), sesiones=t.sesiones)
+    return R.validate(groups, R.entity_rules("grupo")).select("id", F.array_join(F.transform("errores", lambda e: F.concat(e, F.lit(","))), "").alias("errores"))
+
+
 @query("o1_paginate", "SELECT id, (SELECT count(*) FROM aulas) AS total, CAST(2 AS INT) AS pagina FROM aulas ORDER BY codigo, id LIMIT 20 OFFSET 20", ("aulas",))
 def o1(t):
     return R.paginate(t.aulas, ["codigo", "id"], 20, 20).select("id", "total", "pagina")

@@ -14,7 +14,7 @@ from quadrille.plans.extraction import VALID
 from quadrille.plans.registry import query
 from quadrille.sources.snapshots import Snapshots
 from quadrille.sources.storage import scratch
-from quadrille.sources.tables import read_stage, write_stage
+from quadrille.sources.tables import read_sheet, read_stage, write_stage
 from quadrille.streaming import jobs
 
 
@@ -77,6 +77,21 @@ def g7_m16(t):
     return runs.withColumn("guardadas", F.lit(state.read("rechazos").count()))
 
 
+PAPER = "SELECT id, CASE id % 8 WHEN 3 THEN '' WHEN 5 THEN ' nan ' WHEN 7 THEN NULL ELSE concat(nombre, ' ', apellidos) END AS PROFESOR, CASE id % 6 WHEN 5 THEN NULL ELSE 'L, X' END AS dias, CASE WHEN id % 24 IN (5, 11, 23) THEN ' ' WHEN id % 7 = 0 THEN '' ELSE '09:00-11:00' END AS franja FROM profesores"
+BLANK = "(id % 8 IN (3, 5, 7)) AS p, id % 6 = 5 AS d, (id % 24 IN (5, 11, 23) OR id % 7 = 0) AS f"
+
+
+@query("src2_read_sheet", f"WITH n AS (SELECT *, row_number() OVER (ORDER BY id) + 1 AS fila, {BLANK} FROM profesores) SELECT fila, CASE WHEN p THEN '' ELSE concat(nombre, ' ', apellidos) END AS profesor, CASE WHEN d THEN '' ELSE 'L, X' END AS dias, CASE WHEN f THEN '' ELSE '09:00-11:00' END AS franja, p OR d OR f AS avisada FROM n WHERE NOT (p AND d AND f)", ("profesores",))
+def src2(t):
+    """A sheet written as one CSV file and read back with its rows' numbers; rows that are blank in part are warned of."""
+    base = scratch(t.spark, "hoja")
+    sheet = t.spark.sql(PAPER.replace("FROM profesores", "FROM {profesores}"), profesores=t.profesores)
+    sheet.coalesce(1).sortWithinPartitions("id").drop("id").withColumnRenamed("dias", "Días").write.option("header", True).csv(base)
+    rows, _ = M.read_restrictions(read_sheet(t.spark, base))
+    warned = M.restriction_warnings(rows).select("fila", F.lit(True).alias("avisada"))
+    return rows.join(warned, "fila", "left").na.fill(False, ["avisada"])
+
+
 @query("src5_write_stage", "SELECT id, profesor_id, aula_id FROM sesiones", ("sesiones",))
 def src5(t):
     base = scratch(t.spark, "streams")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators.conflicts import effective_teachers, first_context
 from quadrille.operators.intervals import recurrence
+from quadrille.sources.storage import cut
 
 
 def load_sessions(tables: dict[str, DataFrame]) -> DataFrame:
@@ -25,8 +26,18 @@ def load_sessions(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet saved as CSV: all texts, blanks kept."""
-    return spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=False)
+    """A spreadsheet saved as CSV: all texts, blanks kept, and fila, the row of the sheet (its header is row 1), however the file is split.
+
+    Lines without anything, not even separators, are no rows.
+    """
+    rows = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=False)
+    own = rows.columns
+    rows = cut(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n")))
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(blocks.select("_file", "_block", before.alias("_before")), ["_file", "_block"])
+    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_n"))
+    return rows.select(*own, (F.col("_before") + place + 1).cast("long").alias("fila"))
 
 
 def write_stage(df: DataFrame, path: str, stage: str, form: str = "json") -> None:

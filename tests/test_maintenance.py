@@ -102,3 +102,22 @@ def test_confirming_a_draft_knows_the_teachers_of_other_sessions(spark):
     draft = one([("Plan A", None, "Cálculo", None, None, "G1", "TEORIA", 1, "Aula 1", 0, 570, 630, 1)], "plan string, mencion string, asignatura string, texto string, elegida long, grupo string, tipo string, curso long, aula string, dia_semana int, ini int, fin int, orden long")
     out, errors = M.confirm_schedule(state, draft)
     assert errors.isEmpty() and [(r.tipo, r.profesor_id) for r in out["conflictos"].collect()] == [(C.TEACHER, 7)]
+
+
+def test_rows_of_a_sheet_are_numbered_however_it_is_split(spark, tmp_path):
+    from quadrille.sources.tables import read_sheet
+
+    lines = ["Profesor,Días,Franja", *[f"Profesor número {i},{'L' if i % 5 else ''},09:00-11:00" for i in range(3000)]]
+    lines[10] = ",,"
+    (tmp_path / "h.csv").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        raw = read_sheet(spark, str(tmp_path / "h.csv"))
+        assert {r.fila: r.Profesor for r in raw.collect()} == {i + 1: line.split(",")[0] or None for i, line in enumerate(lines) if i}
+        rows, missing = M.read_restrictions(raw)
+        warned = M.restriction_warnings(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert not missing and rows.count() == 2999 and {r.fila for r in warned} == {i + 2 for i in range(3000) if i % 5 == 0 and i != 9}
+    assert warned[0].severity == "minor" and warned[0].message.startswith(f"Fila {warned[0].fila}: ")
