@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quadrille.functions import text as T
 from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
 from quadrille.plans.detection import J1, J2, J3, J4, TEACHERS, sessions
@@ -14,7 +15,7 @@ from quadrille.plans.extraction import VALID
 from quadrille.plans.registry import query
 from quadrille.sources.snapshots import Snapshots
 from quadrille.sources.storage import scratch
-from quadrille.sources.tables import read_sheet, read_stage, write_stage
+from quadrille.sources.tables import read_sheet, read_stage, read_stages, write_stage
 from quadrille.streaming import jobs
 
 
@@ -98,3 +99,15 @@ def src5(t):
     out = sessions(t).select("id", "profesor_id", "aula_id")
     write_stage(out, base, "parsing")
     return read_stage(t.spark, base, "parsing", out.schema)
+
+
+@query("src5_nested_stages", """SELECT 'parsing' AS stage, plan_id, id, aula_id, hora, profesores FROM (SELECT *, concat(lpad(CAST(ini // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(ini % 60 AS VARCHAR), 2, '0')) AS hora, CAST(1 + CAST(profesor_2_id IS NOT NULL AS INT) AS INT) AS profesores FROM sesiones)""", ("sesiones",))
+def src5_nested(t):
+    """A plan is one nested document: its sessions, each with a slot and teachers. Two stages are written, and one is read by its folder."""
+    base = scratch(t.spark, "etapas")
+    slot = F.struct("dia_semana", T.to_hhmm(F.col("ini")).alias("hora")).alias("franja")
+    plan = t.sesiones.groupBy("plan_id").agg(F.collect_list(F.struct("id", "aula_id", slot, F.array_compact(F.array("profesor_id", "profesor_2_id")).alias("profesores"))).alias("sesiones"))
+    write_stage(plan, base, "parsing")
+    write_stage(plan.limit(0), base, "normalizacion")
+    back = read_stages(t.spark, base, f"plan_id long, sesiones {dict(plan.dtypes)['sesiones']}, stage string").where("stage = 'parsing'")
+    return back.select("stage", "plan_id", F.explode("sesiones").alias("s")).select("stage", "plan_id", "s.id", "s.aula_id", F.col("s.franja.hora").alias("hora"), F.size("s.profesores").alias("profesores"))

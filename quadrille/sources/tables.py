@@ -40,11 +40,27 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*own, (F.col("_before") + place + 1).cast("long").alias("fila"))
 
 
-def write_stage(df: DataFrame, path: str, stage: str, form: str = "json") -> None:
-    """A stage's results, one folder a stage."""
-    df.write.mode("overwrite").format(form).save(f"{path}/stage={stage}")
+def write_stage(df: DataFrame, path: str, stage: str, form: str = "json", **options) -> None:
+    """A stage's results, one folder a stage. json keeps nested results as they are, csv takes flat ones (with a header), text one column of lines."""
+    writer = df.write.mode("overwrite").options(**({"header": True} | options if form == "csv" else options))
+    writer.format(form).save(f"{path}/stage={stage}")
 
 
-def read_stage(spark: SparkSession, path: str, stage: str, schema=None, form: str = "json") -> DataFrame:
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.format(form).load(f"{path}/stage={stage}")
+#: Where a line of a stage that doesn't fit its schema is kept.
+CORRUPT = "linea_rota"
+
+
+def read_stage(spark: SparkSession, path: str, stage: str, schema=None, form: str = "json", whole_files: bool = False, **options) -> DataFrame:
+    """A stage's results. whole_files: each JSON file is one value over many lines, as people write them.
+
+    With a schema that has the text column linea_rota, lines (or files) that
+    don't fit come back there, with nulls in the others; without it they come
+    as nulls.
+    """
+    reader = spark.read.options(**({"header": True} if form == "csv" else {}), multiLine=whole_files, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
+    return (reader.schema(schema) if schema is not None else reader).format(form).load(f"{path}/stage={stage}")
+
+
+def read_stages(spark: SparkSession, path: str, schema, form: str = "json") -> DataFrame:
+    """All stages that were written under path, with the column stage; a filter on it reads only their folders."""
+    return spark.read.schema(schema).format(form).load(path)

@@ -121,3 +121,23 @@ def test_rows_of_a_sheet_are_numbered_however_it_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert not missing and rows.count() == 2999 and {r.fila for r in warned} == {i + 2 for i in range(3000) if i % 5 == 0 and i != 9}
     assert warned[0].severity == "minor" and warned[0].message.startswith(f"Fila {warned[0].fila}: ")
+
+
+def test_stages_of_other_forms(spark, tmp_path):
+    from quadrille.sources.tables import CORRUPT, read_stage, write_stage
+
+    base = str(tmp_path)
+    rows = spark.createDataFrame([(1, "uno"), (2, "dos, tres")], "id long, texto string")
+    write_stage(rows, base, "tabla", "csv")
+    write_stage(rows.select("texto"), base, "plano", "text")
+    assert sorted(map(tuple, read_stage(spark, base, "tabla", "id long, texto string", "csv").collect())) == [(1, "uno"), (2, "dos, tres")]
+    assert sorted(r[0] for r in read_stage(spark, base, "plano", form="text").collect()) == ["dos, tres", "uno"]
+    (tmp_path / "stage=mano").mkdir()
+    (tmp_path / "stage=mano" / "a.json").write_text('{\n "id": 7,\n "celdas": [["a", null],\n ["b"]]\n}\n')
+    (tmp_path / "stage=mano" / "b.json").write_text('{"id": 8, "celdas": [')
+    got = {r.id: r for r in read_stage(spark, base, "mano", f"id long, celdas array<array<string>>, {CORRUPT} string", whole_files=True).collect()}
+    assert got[7].celdas == [["a", None], ["b"]] and got[7][CORRUPT] is None and any(r[CORRUPT] for i, r in got.items() if i != 7)
+    (tmp_path / "stage=roto").mkdir()
+    (tmp_path / "stage=roto" / "a.csv").write_text("id,texto\n1,uno\nx,dos\n3,tres\n")
+    got = read_stage(spark, base, "roto", f"id long, texto string, {CORRUPT} string", "csv").cache().collect()
+    assert [(r.id, r.texto) for r in got if r[CORRUPT] is None] == [(1, "uno"), (3, "tres")] and [r[CORRUPT] for r in got if r[CORRUPT]] == ["x,dos"]
