@@ -122,7 +122,7 @@ def entity_rules(entity: str = "asignatura") -> dict[str, Column]:
     size = lambda n, most: F.length(F.trim(F.regexp_replace(c(n), r"\s+", " "))).between(1, most)
     there = lambda n: c(n).isNotNull() & (c(n) > 0)
     return {
-        "asignatura": {"ects": c("ects").between(1, 12), "modalidad": c("modalidad").isin("presencial", "online", "semipresencial", "hibrida"), "idioma": c("idioma").isin("español", "ingles", "frances", "aleman", "italiano", "portugues", "catalan", "euskera", "gallego"), "codigo": F.length("codigo_plan") <= 6, "nombre": F.length(F.trim("nombre")).between(1, 255)},
+        "asignatura": {"ects": c("ects").between(1, 12), "modalidad": c("modalidad").isin("presencial", "online", "semipresencial", "hibrida"), "idioma": c("idioma").isin("español", "ingles", "frances", "aleman", "italiano", "portugues", "catalan", "euskera", "gallego"), "codigo": F.length("codigo_plan") <= 6, "nombre": F.length(F.trim("nombre")).between(1, 250)},
         "aula": {"nombre": c("nombre").isNotNull() & size("nombre", 200), "codigo": c("codigo").isNotNull() & size("codigo", 50), "tipo": c("tipo").isNotNull() & c("tipo").isin(*ROOM_KINDS), "capacidad": c("capacidad") > 0},
         "programa": {"nombre": c("nombre").isNotNull() & size("nombre", 200), "tipo": c("tipo").isNotNull() & c("tipo").isin(*PROGRAM_KINDS)},
         "mencion": {"programa": there("programa_id"), "nombre": c("nombre").isNotNull() & size("nombre", 200)},

@@ -90,6 +90,15 @@ def j5(t):
     return C.dated_overlaps(f, "aula_id", period=False)
 
 
+EXAMS = "x AS (SELECT id, profesor_id, periodo, CAST(dia AS TIMESTAMP) + to_minutes(CAST(ini AS BIGINT)) AS i, CAST(dia AS TIMESTAMP) + to_minutes(CAST(fin AS BIGINT)) AS e FROM examenes)"
+
+
+@query("j5_dated_teacher_overlaps", f"WITH {EXAMS} SELECT a.id AS s1, b.id AS s2, a.profesor_id FROM x a JOIN x b ON a.profesor_id = b.profesor_id AND a.periodo = b.periodo AND a.i < b.e AND b.i < a.e AND a.id < b.id", ("examenes",))
+def j5b(t):
+    x = t.examenes.selectExpr("id", "profesor_id", "periodo", "CAST(dia AS TIMESTAMP) + make_dt_interval(0, 0, ini) AS inicio", "CAST(dia AS TIMESTAMP) + make_dt_interval(0, 0, fin) AS fin_ts")
+    return C.dated_overlaps(x, "profesor_id")
+
+
 @query(
     "j6_effective_teachers",
     """SELECT s.id, coalesce(array_to_string(CASE WHEN s.id % 2 = 0 THEN [s.profesor_id] END, ','), array_to_string(p.l, ','), '') AS profesores
