@@ -133,12 +133,12 @@ def f14b(t):
     return R.validate(odd, R.entity_rules("aula")).select("id", F.array_join(F.transform("errores", lambda e: F.concat(e, F.lit(" "))), "").alias("errores"))
 
 
-GROUPS = "SELECT id, asignatura_id, grupo_codigo AS codigo, lower(tipo_grupo) AS tipo, CAST(CASE WHEN id % 9 = 0 THEN NULL ELSE id % 8 END AS INT) AS curso FROM sesiones"
+ODD_GROUPS = "SELECT id, asignatura_id, grupo_codigo AS codigo, lower(tipo_grupo) AS tipo, CAST(CASE WHEN id % 9 = 0 THEN NULL ELSE id % 8 END AS INT) AS curso FROM sesiones"
 
 
-@query("f14_validate_groups", f"SELECT id, CASE WHEN asignatura_id = 0 THEN 'asignatura,' ELSE '' END || CASE WHEN curso IN (0, 7) THEN 'curso,' ELSE '' END AS errores FROM ({GROUPS})", ("sesiones",))
+@query("f14_validate_groups", f"SELECT id, CASE WHEN asignatura_id = 0 THEN 'asignatura,' ELSE '' END || CASE WHEN curso IN (0, 7) THEN 'curso,' ELSE '' END AS errores FROM ({ODD_GROUPS})", ("sesiones",))
 def f14c(t):
-    groups = t.spark.sql(GROUPS.replace("FROM sesiones", "FROM {sesiones}"), sesiones=t.sesiones)
+    groups = t.spark.sql(ODD_GROUPS.replace("FROM sesiones", "FROM {sesiones}"), sesiones=t.sesiones)
     return R.validate(groups, R.entity_rules("grupo")).select("id", F.array_join(F.transform("errores", lambda e: F.concat(e, F.lit(","))), "").alias("errores"))
 
 
