@@ -8,6 +8,7 @@ from quadrille.operators import extraction as X
 from quadrille.plans.matching import ALIASES, own
 from quadrille.plans.registry import query
 from quadrille.plans.text import case, has
+from quadrille.sources.storage import cut
 
 NAME = r"regexp_extract(text, '(?i)CODI?GO\s+Y\s+DENOMINACI[ÓO]N\s*:\s*([A-Z]{1,2}\d{1,4})\s+([^\n\r]+)', #)"
 
@@ -83,7 +84,7 @@ def x6b(t):
 @query("x7_normalize_sheets", f"""SELECT doc_id, 'asignatura' AS que, {CODE} AS nombre, CASE WHEN doc_id % 7 = 0 THEN 'anual' WHEN doc_id % 2 = 0 THEN 'primer_cuatrimestre' ELSE 'segundo_cuatrimestre' END AS dato, CASE doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN (SELECT p_size % 9 + 1 FROM part WHERE p_partkey = doc_id) ELSE 4 END AS n FROM fichas_varias WHERE {TIMED}
   UNION ALL SELECT doc_id, 'titulacion', replace(programa_nombre, ' en ', ' En '), replace(lower(tipo_asignatura), 'á', 'a'), CAST(curso AS INT) FROM ({DEGREES}) WHERE {VALID} AND tipo_asignatura <> 'Troncal' UNION ALL SELECT doc_id, 'profesor', nombre, apellidos, 0 FROM ({WHO}) WHERE {VALID}""", ("fichas_varias",))
 def x7(t):
-    subject, degrees, teachers = X.normalize_sheets(X.parse_sheets(t.fichas_varias)[0])
+    subject, degrees, teachers = X.normalize_sheets(cut(X.parse_sheets(t.fichas_varias)[0]))
     rows = subject.select("doc_id", F.lit("asignatura").alias("que"), F.col("codigo_plan").alias("nombre"), F.col("periodo").alias("dato"), F.col("ects").alias("n"))
     rows = rows.union(degrees.select("doc_id", F.lit("titulacion"), "programa_nombre", "tipo_asignatura", "curso"))
     return rows.union(teachers.select("doc_id", F.lit("profesor"), "nombre", "apellidos", F.lit(0)))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
-from quadrille.operators.extraction import normalize_sheets, parse_sheets
+from quadrille.operators.extraction import normalize_sheets, read_sheet_texts, split_sheets
 from quadrille.sources.snapshots import Snapshots
 from quadrille.sources.storage import cut, observed
 
@@ -65,10 +65,10 @@ def apply_sheets(state: Snapshots, batch: DataFrame, number: int, feed: str = "f
     before = state.last()
     if state.done(feed, number, before):
         return
-    good, bad = parse_sheets(batch)
-    good, valid = observed(good, "fichas", validas=F.count(F.lit(1)), con_avisos=F.count_if(F.size("avisos") > 0))
-    bad, rejected = observed(bad, "rechazos", rechazadas=F.count(F.lit(1)))
-    run = state.spark.createDataFrame([(feed, number, valid["validas"], valid["con_avisos"], rejected["rechazadas"])], "feed string, lote long, validas long, con_avisos long, rechazadas long")
+    ok = F.size("errores") == 0
+    sheets, seen = observed(read_sheet_texts(batch), "fichas", validas=F.count_if(ok), con_avisos=F.count_if(ok & (F.size("avisos") > 0)), rechazadas=F.count_if(~ok))
+    good, bad = split_sheets(sheets)
+    run = state.spark.createDataFrame([(feed, number, seen["validas"], seen["con_avisos"], seen["rechazadas"])], "feed string, lote long, validas long, con_avisos long, rechazadas long")
     parts: dict[str, list[int]] = {}
 
     def part(table: str, keys: DataFrame) -> DataFrame:

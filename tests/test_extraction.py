@@ -77,3 +77,14 @@ def test_new_ids_are_dense_and_in_order(spark):
     df = spark.createDataFrame([(f"k{i:02d}",) for i in range(25)], "k string")
     got = M.new_ids(df.repartition(5), spark.createDataFrame([(7,)], "id long"), ["k"]).orderBy("k").collect()
     assert [r.id for r in got] == list(range(8, 33))
+
+
+def test_sheet_fields_are_worked_out_once(spark):
+    """A step that a later one reads stands in the plan once, not once for every field that is made of it."""
+    sheets = spark.range(3).selectExpr("id AS doc_id", "concat('CODIGO Y DENOMINACION : G10', id, ' X\\nECTS: 6\\nDATOS DEL PROFESORADO\\nCU GARCIA LOPEZ, ANA Universidad N\\nTOTAL') AS text")
+    good, _ = X.parse_sheets(sheets)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(good).count("[ \\t]+") == 1
+    assert plan(X.extract_teachers(sheets)).count("\\bCSIC N\\b") == 1
+    teachers = X.normalize_sheets(good)[2]
+    assert [(r.nombre, r.apellidos) for r in teachers.limit(1).collect()] == [("Ana", "Garcia Lopez")] and plan(teachers).count("\\bCSIC N\\b") == 1
