@@ -141,3 +141,14 @@ def test_stages_of_other_forms(spark, tmp_path):
     (tmp_path / "stage=roto" / "a.csv").write_text("id,texto\n1,uno\nx,dos\n3,tres\n")
     got = read_stage(spark, base, "roto", f"id long, texto string, {CORRUPT} string", "csv").cache().collect()
     assert [(r.id, r.texto) for r in got if r[CORRUPT] is None] == [(1, "uno"), (3, "tres")] and [r[CORRUPT] for r in got if r[CORRUPT]] == ["x,dos"]
+
+
+def test_rooms_that_share_a_code_are_one_row(spark, tmp_path):
+    """From 100,000 rooms on codes are cut to five digits, so that some repeat."""
+    from quadrille import plans
+
+    spark.range(250_000, 250_200).union(spark.range(2_500_000, 2_500_200)).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1, 4).selectExpr("id AS s_suppkey", "concat('P', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    rooms = {r.codigo for r in plans.registry.table(spark, str(tmp_path), "aulas").select("codigo").collect()}
+    got = [(r.codigo, r.hay) for r in plans.queries()["src6_seed_rooms"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((c, True) for c in rooms | {"S1", "S2", "S3"})
