@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -95,9 +96,13 @@ def _near_universe(queries: DataFrame, index: DataFrame, links: DataFrame) -> tu
     return course.unionByName(program), rest.join(program.select("qid").distinct(), "qid", "left_anti")
 
 
-def _grid(left: DataFrame, by: str, keys: DataFrame, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Deals left and keys (candidate) to the cells (_t, _b) of a grid, so that every row meets every key in one cell of about rows x block pairs."""
-    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((left, rows), (keys, block)))
+def _grid(left: DataFrame, by: str, keys: DataFrame, rows: int, block: int, growth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Deals left and keys (candidate) to the cells (_t, _b) of a grid, so that every row meets every key in one cell.
+
+    A cell has about rows x block pairs; with more than eight cells a side, its
+    sides grow up to growth times, so that fewer copies of rows and keys are dealt.
+    """
+    parts, blocks = (max(1, -(-count // min(max(n, count // 8), n * growth))) for count, n in ((left.count(), rows), (keys.count(), block)))
 
     def dealt(column: str, n: int):
         return F.pmod(F.xxhash64(column), F.lit(n).cast("long"))
@@ -132,43 +137,78 @@ def at_most(text: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(total > 0, 200.0 * both / np.maximum(total, 1), 100.0)
 
 
-def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float] = token_set_ratio, cutoff: float = CUTOFF, rows: int = 200, block: int = 2_000) -> DataFrame:
+def likely_scores(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float], rare: int = 20) -> DataFrame:
+    """(key, floor): the best score of each text (key) with the keys (candidate) that share one of its rare words. It is a bound from below, and texts may have none."""
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w")).where("_w <> ''")
+    known = words(keys, "candidate")
+    few = known.groupBy("_w").agg(F.count("*").alias("_n")).where(F.col("_n") <= rare).select("_w")
+    pairs = words(texts, "key").join(known.join(few, "_w"), "_w").select("key", "candidate").distinct()
+    return pairs.withColumn("_s", scorer(fn)("key", "candidate")).groupBy("key").agg(F.max("_s").alias("floor"))
+
+
+def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float] = token_set_ratio, cutoff: float = CUTOFF, rows: int = 200, block: int = 2_000, growth: int = 10) -> DataFrame:
     """(key, candidate, score): for each of the distinct texts (key) its most similar candidate of all, from cutoff; of equal ones the first.
 
-    Texts and candidates are dealt to the cells of a grid, so that a cell has
-    about rows texts and block candidates. Within it, letters that two have in
-    common bound their ratio, for whole blocks at once; only pairs whose bound
-    reaches the cutoff and the best score so far are compared. A set ratio of
-    texts that share a word isn't bounded by letters: those pairs are compared
-    whatever their letters. Each cell hands on one candidate a text.
+    Every text first gets the best score that it has with candidates of a rare
+    word in common. Texts and candidates are then dealt to the cells of a grid.
+    Within a cell, letters that two have in common bound their ratio, for all
+    candidates of the same letters at once; a set ratio is bounded by the
+    letters, whatever the words' order, and by the length of the words that
+    both have. Only pairs whose bound reaches the cutoff and the best score so
+    far are compared. Each cell hands on one candidate a text.
     """
+    sets = fn is token_set_ratio
 
     def best(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         found = []
         candidates = sorted(keys["candidate"])
-        sets = fn is token_set_ratio
-        compared = lambda t: " ".join(sorted(set(t.split()) if sets else t.split()))  # noqa: E731  what the ratio is taken of, where no word is shared
-        plain = letters([compared(c) for c in candidates])
+        compared = lambda t: " ".join(sorted(set(t.split()) if sets else t.split()))
+        forms = [compared(c) for c in candidates]
+        lengths = np.array([len(f) for f in forms], dtype=np.int64)
+        plain, of = np.unique(letters(forms), axis=0, return_inverse=True) if forms else (letters([]), np.zeros(0, dtype=np.int64))
+        of = of.reshape(-1)
+        near = sorted(range(len(forms)), key=forms.__getitem__)
+        sorted_forms = [forms[i] for i in near]
         with_word: dict[str, list[int]] = {}
-        for i, c in enumerate(candidates if sets else []):
-            for w in set(c.split()):
+        for i, f in enumerate(forms if sets else []):
+            for w in f.split():
                 with_word.setdefault(w, []).append(i)
-        for text in texts["key"]:
-            bound = at_most(letters([compared(text)])[0], plain) + 1e-9
-            for w in set(text.split()):
-                bound[with_word.get(w, [])] = 101.0
-            top, chosen = -1.0, ""
-            for i in np.lexsort((np.arange(len(candidates)), -bound)):
-                if bound[i] < cutoff or bound[i] < top:
-                    break
+        places = {w: np.array(ids, dtype=np.int64) for w, ids in with_word.items()}
+        for text, floor in zip(texts["key"], texts["floor"]):
+            form = compared(text)
+            bound = at_most(letters([form])[0], plain)[of]
+            if sets:
+                shared = np.zeros(len(candidates), dtype=np.int64)
+                for w in form.split():
+                    if w in places:
+                        shared[places[w]] += len(w) + 1
+                both = np.maximum(shared - 1, 0)
+                bound = np.maximum(bound, 200.0 * both / np.maximum(both + np.minimum(lengths, len(form)), 1))
+            bound = bound + 1e-9
+            top, chosen = (-1.0 if floor != floor else floor), None  # a floor that is missing is NaN
+
+            def compare(i: int) -> None:
+                nonlocal top, chosen
                 score = fn(text, candidates[i])
-                if score > top or (score == top and candidates[i] < chosen):
+                if score > top or (score == top and (chosen is None or candidates[i] < chosen)):
                     top, chosen = score, candidates[i]
-            if top >= cutoff:
+
+            at = bisect_left(sorted_forms, form)
+            for i in near[max(at - 2, 0) : at + 2]:
+                if bound[i] >= max(top, cutoff):
+                    compare(i)
+            left = np.flatnonzero(bound >= max(top, cutoff))
+            for i in left[np.lexsort((left, -bound[left]))]:
+                if bound[i] < top:
+                    break
+                compare(i)
+            if chosen is not None and top >= cutoff:
                 found.append((text, chosen, top))
         return pd.DataFrame(found, columns=["key", "candidate", "score"])
 
-    mine, others = _grid(texts, "key", keys, rows, block)
+    texts, keys = cut(texts), cut(keys.select("candidate").distinct())
+    floored = cut(texts.join(likely_scores(texts, keys, fn), "key", "left").select("key", F.coalesce("floor", F.lit(float("nan"))).alias("floor")))
+    mine, others = _grid(floored, "key", keys, rows, block, growth)
     cells = mine.groupBy("_t", "_b").cogroup(others.groupBy("_t", "_b")).applyInPandas(best, "key string, candidate string, score double")
     return best_candidate(cells.withColumn("qid", F.col("key"))).drop("qid")
 
@@ -209,7 +249,7 @@ def infer_program(queries: DataFrame, programs: DataFrame) -> DataFrame:
     q = queries.select("qid", subject_key(F.coalesce("texto", F.lit(""))).alias("key")).where("key <> ''")
     exact = q.join(keys, q["key"] == keys["candidate"]).select("qid", "programa_id", F.lit(100.0).alias("score"))
     rest = q.join(exact.select("qid"), "qid", "left_anti")
-    best = best_of_all(cut(rest.select("key").distinct()), keys.select("candidate"), cutoff=PROGRAM).join(keys, "candidate")
+    best = best_of_all(rest.select("key").distinct(), keys.select("candidate"), cutoff=PROGRAM).join(keys, "candidate")
     found = exact.unionByName(rest.join(best, "key").select("qid", "programa_id", "score"))
     return queries.join(found, "qid", "left")
 
@@ -242,7 +282,7 @@ def match_rooms(queries: DataFrame, rooms: DataFrame, fuzzy: bool = True) -> Dat
     found = one.unionByName(two).unionByName(three)
     if fuzzy:
         rest = rest.join(three, "qid", "left_anti")
-        best = best_of_all(cut(rest.select("key").distinct()), index.select(F.col("key").alias("candidate")), token_sort_ratio, ROOM).select("key", "candidate")
+        best = best_of_all(rest.select("key").distinct(), index.select(F.col("key").alias("candidate")), token_sort_ratio, ROOM).select("key", "candidate")
         four = rest.join(best, "key").join(index.select(F.col("key").alias("candidate"), "aula_id"), "candidate").select("qid", "aula_id", F.lit(4).alias("nivel"))
         found = found.unionByName(four)
     return queries.join(found, "qid", "left")

@@ -45,3 +45,30 @@ def test_rooms(spark):
     q = spark.createDataFrame([(1, "aula 5"), (2, "AULA5"), (3, "LQ1"), (4, "laboratorio quimca"), (5, "Aula 9 norte larga"), (6, "z"), (7, None)], "qid long, texto string")
     got = {r.qid: (r.aula_id, r.nivel) for r in M.match_rooms(q, rooms).collect()}
     assert got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (2, 3) and got[4] == (2, 4) and got[5] == got[6] == got[7] == (None, None)
+
+
+def test_far_fewer_pairs_are_compared_than_there_are(spark, tmp_path):
+    """Names that all share a word: the best of all is found, and few pairs are scored for it."""
+    counter = str(tmp_path)
+
+    def counted(a, b):
+        import os
+
+        with open(f"{counter}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return plain_ratio(a, b)
+
+    plain_ratio = M.token_set_ratio
+    texts, keys = [f"MTERIA {i} CALCULO" for i in range(0, 400, 4)], [f"MATERIA {i} CALCULO" for i in range(400) if i % 3]
+    want = {}
+    for t in texts:
+        score, key = min((-plain_ratio(t, k), k) for k in keys)
+        if -score >= M.CUTOFF:
+            want[t] = (key, -score)
+    M.token_set_ratio = counted
+    try:
+        found = M.best_of_all(spark.createDataFrame([(t,) for t in texts], "key string"), spark.createDataFrame([(k,) for k in keys], "candidate string"), counted)
+        got = {r.key: (r.candidate, r.score) for r in found.collect()}
+    finally:
+        M.token_set_ratio = plain_ratio
+    assert got == want and sum(p.stat().st_size for p in tmp_path.iterdir()) < len(texts) * len(keys) / 4
