@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from quadrille.functions.text import collapse, room_alnum, room_key, subject_key
 from quadrille.sources.storage import cut
 
 CUTOFF, AUTO, STRICT_MORE, PROGRAM, ROOM = 65, 88, 5, 85, 80
+#: Letters taken off to find what is near (two off texts of at most LONG and keys of at most SHORT letters, one off longer ones), and the words of which all subsets are looked up.
+LONG, SHORT, WORDS = 64, 12, 8
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -146,9 +149,150 @@ def likely_scores(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], fl
     return pairs.withColumn("_s", scorer(fn)("key", "candidate")).groupBy("key").agg(F.max("_s").alias("floor"))
 
 
+def compared(text: str, sets: bool) -> str:
+    """The sorted words of a text, each once if sets."""
+    return " ".join(sorted(set(text.split()) if sets else text.split()))
+
+
+def shortened(form: str, off: int, sets: bool) -> dict[str, int]:
+    """What is left of a form without up to off letters, and how many are gone at least. With sets the order of words is not kept, and a blank that goes joins any two."""
+
+    def shorter(v: str) -> set[str]:
+        if not sets:
+            return {v[:k] + v[k + 1 :] for k in range(len(v))}
+        words = v.split()
+        cut_words = [(i, [w[:k] + w[k + 1 :]]) for i, w in enumerate(words) for k in range(len(w))]
+        out = {" ".join(sorted(filter(None, words[:i] + new + words[i + 1 :]))) for i, new in cut_words}
+        return out | {" ".join(sorted([w for n, w in enumerate(words) if n not in (i, j)] + [words[i] + words[j]])) for i in range(len(words)) for j in range(len(words)) if i != j}
+
+    found = edge = {form: 0}
+    for n in range(1, off + 1):
+        edge = {w: n for v in edge for w in shorter(v) if w and w not in found}
+        found = found | edge
+    return found
+
+
+def text_off(n: int) -> int:
+    return 2 if n <= LONG else 1
+
+
+def key_off(n: int) -> int:
+    return 2 if n <= SHORT else 1
+
+
+def beyond(form: str, lengths: list[int]) -> float:
+    """The ratio that no form of these lengths exceeds unless a shortened form of the text is one of its own."""
+    best, off = 0.0, text_off(len(form))
+    for n in lengths:
+        i = max(0, len(form) - n)
+        while i <= off and i + n - len(form) <= key_off(n):
+            i += 1
+        if i <= len(form):
+            best = max(best, 200.0 * (len(form) - i) / max(len(form) + n, 1))
+    return best
+
+
+def _spread(df: DataFrame, rows: int = 5_000) -> DataFrame:
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
+def near_of_all(texts: DataFrame, keys: DataFrame, sets: bool, cutoff: float, fn: Callable[[str, str], float]) -> DataFrame:
+    """(key, candidate, score, open): each text's best candidate by equality joins. Where open is false it is the best of all, or without a candidate there is none from cutoff.
+
+    Texts without one or two letters meet keys without as many. In a ratio of sorted
+    words that says the score, so that of all keys with a shortened form the
+    first is enough. In a set ratio, pairs with one in common are scored; its other
+    ratios depend on the words in common and one side's length, and of the
+    keys that have a subset of words the first and the shortest are enough.
+    A text is open if a pair that isn't met may still reach the best score.
+    """
+
+    def cut_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            forms = [(t, compared(t, sets)) for t in f["key"]]
+            yield pd.DataFrame([(t, len(x), v, n) for t, x in forms for v, n in shortened(x, text_off(len(x)), sets).items()], columns=["key", "_la", "_v", "_i"])
+
+    def cut_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            forms = [(t, compared(t, sets)) for t in f["candidate"]]
+            yield pd.DataFrame([(t, len(x), v, n) for t, x in forms for v, n in shortened(x, key_off(len(x)), sets).items()], columns=["candidate", "_lb", "_v", "_j"])
+
+    def subsets(column: str):
+        def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                forms = [(t, compared(t, True)) for t in f[column]]
+                rows = [(t, len(x), " ".join(some)) for t, x in forms if x and x.count(" ") < WORDS for n in range(1, x.count(" ") + 2) for some in combinations(x.split(" "), n)]
+                yield pd.DataFrame(rows, columns=[column, "_l", "_b"])
+
+        return of
+
+    lengths = sorted(r[0] for r in keys.select(_form_length(sets)("candidate")).distinct().collect())
+
+    def is_open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            forms = [compared(t, sets) for t in f["key"]]
+            limit = [beyond(x, lengths) + 1e-9 for x in forms]
+            wide = [not x or (sets and x.count(" ") >= WORDS) for x in forms]
+            yield f.assign(open=[w or b >= (cutoff if s != s else s) for w, b, s in zip(wide, limit, f["score"].astype("float64"))])
+
+    c, best = F.col, lambda df: df.where(F.col("score") >= cutoff).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("_s"), "candidate")).alias("_m")).select("key", F.col("_m.candidate").alias("candidate"), (-F.col("_m._s")).alias("score"))
+    texts, keys = _spread(texts), _spread(keys)
+    mine = texts.mapInPandas(cut_texts, "key string, _la int, _v string, _i int")
+    others = keys.mapInPandas(cut_keys, "candidate string, _lb int, _v string, _j int")
+    like = 200.0 * (c("_la") - c("_i")) / F.greatest(c("_la") + c("_lb"), F.lit(1))
+    if sets:
+        b = F.length("_b")
+        with_words = keys.mapInPandas(subsets("candidate"), "candidate string, _l int, _b string").groupBy("_b").agg(F.min("candidate").alias("_first"), F.min(F.struct("_l", "candidate")).alias("_short"))
+        met = texts.mapInPandas(subsets("key"), "key string, _l int, _b string").join(with_words, "_b")
+        shared = F.explode(F.array(F.struct(c("_first").alias("candidate"), (200.0 * b / (b + c("_l"))).alias("score")), F.struct(c("_short.candidate").alias("candidate"), (200.0 * b / (b + c("_short._l"))).alias("score"))))
+        words = cut(best(met.select("key", shared.alias("_c")).select("key", "_c.*")))
+        pairs = mine.join(others, "_v").groupBy("key", "candidate").agg(F.max(like).alias("_most")).join(words.select("key", c("score").alias("_top")), "key", "left")
+        pairs = pairs.where(c("_most") + 1e-9 >= F.greatest(F.coalesce("_top", F.lit(0.0)), F.lit(float(cutoff))))
+        found = best(words.unionByName(pairs.select("key", "candidate", scorer(fn)("key", "candidate").alias("score"))))
+    else:
+        found = best(mine.join(others.groupBy("_v", "_j", "_lb").agg(F.min("candidate").alias("candidate")), "_v").select("key", "candidate", like.alias("score")))
+    return cut(texts.join(found, "key", "left").mapInPandas(is_open, "key string, candidate string, score double, open boolean"))
+
+
+def _form_length(sets: bool):
+    @F.pandas_udf("int")
+    def length(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(compared(t, sets))).astype("int32")
+
+    return length
+
+
+def _wide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f[[len(set(t.split())) > WORDS for t in f["candidate"]]]
+
+
 def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float] = token_set_ratio, cutoff: float = CUTOFF, rows: int = 200, block: int = 2_000, growth: int = 10) -> DataFrame:
     """(key, candidate, score): for each of the distinct texts (key) its most similar candidate of all, from cutoff; of equal ones the first.
 
+    Most texts have theirs from near_of_all. Those that it leaves open meet all
+    candidates in a grid, and in set ratios the others still meet those of more than
+    WORDS words, whose subsets aren't looked up.
+    """
+    sets = fn is token_set_ratio
+    texts, keys = cut(texts.select("key").distinct()), cut(keys.select("candidate").distinct())
+    if not sets and fn is not token_sort_ratio:
+        return grid_best(texts.withColumn("floor", F.lit(float("nan"))), keys, fn, cutoff, rows, block, growth)
+    near = near_of_all(texts, keys, sets, cutoff, fn)
+    left = near.where("open").select("key", F.col("score").alias("floor"))
+    found = near.where("NOT open AND candidate IS NOT NULL").select("key", "candidate", "score")
+    if not left.isEmpty():
+        found = found.unionByName(grid_best(left, keys, fn, cutoff, rows, block, growth))
+    wide = cut(keys.mapInPandas(_wide, "candidate string")) if sets else None
+    if wide is not None and not wide.isEmpty():
+        found = found.unionByName(grid_best(near.where("NOT open").select("key", F.col("score").alias("floor")), wide, fn, cutoff, rows, block, growth))
+        return best_candidate(found.withColumn("qid", F.col("key"))).drop("qid")
+    return found
+
+
+def grid_best(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], float], cutoff: float, rows: int, block: int, growth: int) -> DataFrame:
+    """(key, candidate, score) of texts (key, and the score floor that they have already), each of which meets every candidate in a cell.
+
     Every text first gets the best score that it has with candidates of a rare
     word in common. Texts and candidates are then dealt to the cells of a grid.
     Within a cell, letters that two have in common bound their ratio, for all
@@ -162,8 +306,7 @@ def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], floa
     def best(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         found = []
         candidates = sorted(keys["candidate"])
-        compared = lambda t: " ".join(sorted(set(t.split()) if sets else t.split()))
-        forms = [compared(c) for c in candidates]
+        forms = [compared(c, sets) for c in candidates]
         lengths = np.array([len(f) for f in forms], dtype=np.int64)
         plain, of = np.unique(letters(forms), axis=0, return_inverse=True) if forms else (letters([]), np.zeros(0, dtype=np.int64))
         of = of.reshape(-1)
@@ -175,7 +318,7 @@ def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], floa
                 with_word.setdefault(w, []).append(i)
         places = {w: np.array(ids, dtype=np.int64) for w, ids in with_word.items()}
         for text, floor in zip(texts["key"], texts["floor"]):
-            form = compared(text)
+            form = compared(text, sets)
             bound = at_most(letters([form])[0], plain)[of]
             if sets:
                 shared = np.zeros(len(candidates), dtype=np.int64)
@@ -206,8 +349,8 @@ def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], floa
                 found.append((text, chosen, top))
         return pd.DataFrame(found, columns=["key", "candidate", "score"])
 
-    texts, keys = cut(texts), cut(keys.select("candidate").distinct())
-    floored = cut(texts.join(likely_scores(texts, keys, fn), "key", "left").select("key", F.coalesce("floor", F.lit(float("nan"))).alias("floor")))
+    likely = likely_scores(texts, keys, fn).withColumnRenamed("floor", "_likely")
+    floored = cut(texts.join(likely, "key", "left").select("key", F.coalesce(F.greatest(F.nanvl("floor", F.lit(None)), "_likely"), F.lit(float("nan"))).alias("floor")))
     mine, others = _grid(floored, "key", keys, rows, block, growth)
     cells = mine.groupBy("_t", "_b").cogroup(others.groupBy("_t", "_b")).applyInPandas(best, "key string, candidate string, score double")
     return best_candidate(cells.withColumn("qid", F.col("key"))).drop("qid")
@@ -266,22 +409,24 @@ def match_rooms(queries: DataFrame, rooms: DataFrame, fuzzy: bool = True) -> Dat
 
     Levels: 1 the key, 2 the key without blanks, 3 a room whose code ends in
     the query's letters and digits (the lowest id), 4 the most similar key from
-    80. Each level only sees what the ones before left. Codes are looked up by
+    80. Each level only sees what the ones before left, which is worked out once. Codes are looked up by
     all their endings, so that level 3 is an equality join.
     """
-    index = room_index(rooms)
-    q = queries.where(F.length(F.trim("texto")) >= 2).select("qid", room_key(F.col("texto")).alias("key"))
-    one = q.join(index, "key").select("qid", "aula_id", F.lit(1).alias("nivel"))
-    rest = q.join(one, "qid", "left_anti")
+    index = cut(room_index(rooms))
+    q = cut(queries.where(F.length(F.trim("texto")) >= 2).select("qid", room_key(F.col("texto")).alias("key")))
+    one = cut(q.join(index, "key").select("qid", "aula_id", F.lit(1).alias("nivel")))
+    rest = cut(q.join(one, "qid", "left_anti"))
     two = rest.withColumn("key", F.replace("key", F.lit(" "), F.lit(""))).join(index, "key").select("qid", "aula_id", F.lit(2).alias("nivel"))
-    rest = rest.join(two, "qid", "left_anti")
+    two = cut(two)
+    rest = cut(rest.join(two, "qid", "left_anti"))
     code = rooms.where("activo AND codigo IS NOT NULL").select(F.col("id"), room_alnum(F.col("codigo")).alias("code")).where(F.length("code") >= 2)
     ends = code.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.length("code")), lambda n: F.substr("code", F.length("code") - n + 1, n))).alias("ending"))
     ends = ends.groupBy("ending").agg(F.min("id").alias("aula_id"))
     three = rest.withColumn("ending", room_alnum(F.col("key"))).where(F.length("ending") >= 2).join(ends, "ending").select("qid", "aula_id", F.lit(3).alias("nivel"))
+    three = cut(three)
     found = one.unionByName(two).unionByName(three)
     if fuzzy:
-        rest = rest.join(three, "qid", "left_anti")
+        rest = cut(rest.join(three, "qid", "left_anti"))
         best = best_of_all(rest.select("key").distinct(), index.select(F.col("key").alias("candidate")), token_sort_ratio, ROOM).select("key", "candidate")
         four = rest.join(best, "key").join(index.select(F.col("key").alias("candidate"), "aula_id"), "candidate").select("qid", "aula_id", F.lit(4).alias("nivel"))
         found = found.unionByName(four)
