@@ -388,10 +388,11 @@ def match_subjects(queries: DataFrame, subjects: DataFrame, aliases: DataFrame |
 
 def infer_program(queries: DataFrame, programs: DataFrame) -> DataFrame:
     """Adds programa_id and score to queries (qid, texto): an equal key, else the most similar one from 85."""
-    keys = programs.where("activo").groupBy(subject_key(F.col("nombre")).alias("candidate")).agg(F.max("id").alias("programa_id")).where("candidate <> ''")
+    keys = cut(programs.where("activo").groupBy(subject_key(F.col("nombre")).alias("candidate")).agg(F.max("id").alias("programa_id")).where("candidate <> ''"))
+    queries = cut(queries)
     q = queries.select("qid", subject_key(F.coalesce("texto", F.lit(""))).alias("key")).where("key <> ''")
-    exact = q.join(keys, q["key"] == keys["candidate"]).select("qid", "programa_id", F.lit(100.0).alias("score"))
-    rest = q.join(exact.select("qid"), "qid", "left_anti")
+    exact = cut(q.join(keys, q["key"] == keys["candidate"]).select("qid", "programa_id", F.lit(100.0).alias("score")))
+    rest = cut(q.join(exact.select("qid"), "qid", "left_anti"))
     best = best_of_all(rest.select("key").distinct(), keys.select("candidate"), cutoff=PROGRAM).join(keys, "candidate")
     found = exact.unionByName(rest.join(best, "key").select("qid", "programa_id", "score"))
     return queries.join(found, "qid", "left")
