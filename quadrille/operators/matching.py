@@ -444,6 +444,7 @@ def resolve_rooms(queries: DataFrame, rooms: DataFrame) -> DataFrame:
     names = first_by_lower(rooms.withColumnRenamed("id", "_name"), "nombre", "_name")
     codes = first_by_lower(rooms.withColumnRenamed("id", "_code"), "codigo", "_code")
     q = queries.withColumn("_k", F.lower(F.trim("texto"))).join(names, "_k", "left").join(codes, "_k", "left").withColumn("_id", F.coalesce("_name", "_code"))
+    q = cut(q)
     rest = match_rooms(q.where("_id IS NULL").select("qid", "texto"), rooms).select("qid", F.col("aula_id").alias("_match"))
     out = q.join(rest, "qid", "left").withColumn("aula_id", F.coalesce("_id", "_match"))
     return out.select(*queries.columns, "aula_id", F.when(F.col("aula_id").isNull(), F.concat(F.lit("Aula no encontrada: "), F.coalesce("texto", F.lit("")))).alias("error"))
