@@ -93,7 +93,9 @@ def exact_subject(queries: DataFrame, index: DataFrame, links: DataFrame) -> Dat
 def _near_universe(queries: DataFrame, index: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (qid, candidate) by program and course, else by program, and the queries that have none there."""
     keyed = index.join(links.select("asignatura_id", F.col("programa_id").alias("prog_id"), F.coalesce("curso", F.lit(0)).alias("curso")), "asignatura_id")
+    keyed, queries = cut(keyed), cut(queries)
     course = queries.where("curso > 0").join(keyed.select("prog_id", "curso", "key").distinct(), ["prog_id", "curso"]).select("qid", F.col("key").alias("candidate"))
+    course = cut(course)
     rest = queries.join(course.select("qid").distinct(), "qid", "left_anti")
     program = rest.join(keyed.select("prog_id", "key").distinct(), "prog_id").select("qid", F.col("key").alias("candidate"))
     return course.unionByName(program), rest.join(program.select("qid").distinct(), "qid", "left_anti")
@@ -276,6 +278,8 @@ def best_of_all(texts: DataFrame, keys: DataFrame, fn: Callable[[str, str], floa
     """
     sets = fn is token_set_ratio
     texts, keys = cut(texts.select("key").distinct()), cut(keys.select("candidate").distinct())
+    if texts.isEmpty():
+        return texts.selectExpr("key", "key AS candidate", "0D AS score")
     if not sets and fn is not token_sort_ratio:
         return grid_best(texts.withColumn("floor", F.lit(float("nan"))), keys, fn, cutoff, rows, block, growth)
     near = near_of_all(texts, keys, sets, cutoff, fn)
@@ -374,7 +378,7 @@ def match_subjects(queries: DataFrame, subjects: DataFrame, aliases: DataFrame |
     exact = cut(exact_subject(queries, index, links).withColumns({"estado": F.lit("EXACT"), "score": F.lit(100.0)}))
     rest = cut(queries.withColumn("key", subject_key(F.coalesce("texto", F.lit("")))).where(F.length("key") >= 2).join(exact.select("qid"), "qid", "left_anti"))
     near, far = _near_universe(rest.select("qid", "prog_id", "curso"), index, links)
-    pairs = near.join(rest.select("qid", "key"), "qid")
+    pairs = _spread(cut(near.join(rest.select("qid", "key"), "qid")), 20_000)
     scored = pairs.withColumn("score", scorer(token_set_ratio)("key", "candidate")).where(F.col("score") >= CUTOFF)
     best = best_candidate(scored).select("qid", F.col("candidate").alias("key"), "score")
     far = cut(rest.join(far.select("qid").distinct(), "qid", "left_semi").select("qid", "key"))
