@@ -10,7 +10,7 @@ from quadrille.operators import conflicts as C
 from quadrille.operators import maintenance as M
 from quadrille.operators.extraction import normalize_sheets, read_sheet_texts, split_sheets
 from quadrille.sources.snapshots import Snapshots
-from quadrille.sources.storage import cut, observed
+from quadrille.sources.storage import cut, laid, observed
 
 #: Key expressions of the tables of the two states.
 SCHEDULE = {"sesiones": ["id"], "conflictos": ["hash"]}
@@ -39,12 +39,14 @@ def apply_session_changes(state: Snapshots, batch: DataFrame, number: int, feed:
     ids = known.unionByName(made.select("id"))
     touched = state.touched("sesiones", ids)
     part = M.simulate_changes(state.read("sesiones", before, only=touched), batch.where("op <> 'create'")).unionByName(made.select(*rows.columns))
-    part = cut(part)
+    part = laid(part, "sesiones")
     after = state.read("sesiones", before, without=touched).unionByName(part)
-    found = cut(C.detect_for(after, ids, restrictions))
+    found = laid(C.detect_for(after, ids, restrictions), "conflictos")
     stored = state.read("conflictos", before)
-    gone = C.touching(stored.select("hash", "sesion_id", "sesion_2_id"), ids).select("hash")
-    hashes = state.touched("conflictos", gone.unionByName(found.select("hash")))
+    hashes = state.touched("conflictos", found.select("hash"))
+    if len(hashes) < state.buckets:  # else all are read, whatever goes; the buckets are moved, and not the hashes, which are long
+        gone = C.touching(stored.select(state.bucket("conflictos").alias("b"), "sesion_id", "sesion_2_id"), ids)
+        hashes = sorted({*hashes, *(r["b"] for r in gone.select("b").distinct().collect())})
     fresh = M.sync_session_conflicts(state.read("conflictos", before, only=hashes), found, ids)
     state.commit({"sesiones": part, "conflictos": fresh.select(*stored.columns)}, parts={"sesiones": touched, "conflictos": hashes}, feed=feed, batch=number, base=before)
 
