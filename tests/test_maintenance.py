@@ -152,3 +152,17 @@ def test_rooms_that_share_a_code_are_one_row(spark, tmp_path):
     rooms = {r.codigo for r in plans.registry.table(spark, str(tmp_path), "aulas").select("codigo").collect()}
     got = [(r.codigo, r.hay) for r in plans.queries()["src6_seed_rooms"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((c, True) for c in rooms | {"S1", "S2", "S3"})
+
+
+def test_sheets_that_share_a_code_are_subjects_of_their_editions(spark, tmp_path):
+    """From 260,000 sheets on codes come round again; the SQL has a row for every sheet."""
+    from collections import Counter
+
+    duckdb = pytest.importorskip("duckdb")
+    from quadrille import plans
+
+    spark.range(0, 90).union(spark.range(260_000, 260_090)).union(spark.range(2_340_000, 2_340_090)).selectExpr("id AS p_partkey", "concat('cosa ', id) AS p_name", "CAST(id % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = Counter(duck.sql(plans.oracle_sql()["m3_merged_tables"]).fetchall())
+    assert Counter(map(tuple, plans.queries()["m3_merged_tables"](spark, str(tmp_path)).collect())) == want
