@@ -20,8 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quadrille.sources.storage import written
+
 _ROWS = "kind string, name string, bucket int, value string"
 BUCKET = "bucket_of_key"
+#: Bytes of files from which on rows are no longer moved for the sake of fewer files.
+LARGE = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -91,11 +95,18 @@ class Snapshots:
         now = self._digests(new, table)
         return sorted(b for b in old.keys() | now.keys() if old.get(b) != now.get(b))
 
-    def _write(self, df: DataFrame, table: str, number: int, only: Iterable[int]) -> dict[int, str]:
-        """Writes the buckets of df that are in only; where each one lies."""
+    def _large(self, table: str, commit: Commit, only: Iterable[int]) -> bool:
+        """Whether a table that is written for the first time, or buckets of it by what they were, are too large to be moved."""
+        if table not in commit.schemas:
+            return True
+        paths = [p for b, p in commit.folders[table].items() if b in set(only)]
+        return bool(paths) and (self.spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0) >= LARGE
+
+    def _write(self, df: DataFrame, table: str, number: int, only: Iterable[int], large: bool) -> dict[int, str]:
+        """Writes the buckets of df that are in only; where each one lies. Of large ones every task writes its rows to all buckets, so that no row is moved."""
         where = f"{self.path}/{table}/commit={number}-{uuid.uuid4().hex}"
         dealt = df.withColumn(BUCKET, self.bucket(table)).where(F.col(BUCKET).isin(list(only))) if len(set(only)) < self.buckets else df.withColumn(BUCKET, self.bucket(table))
-        dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(where)
+        written(dealt if large else dealt.hint("rebalance", BUCKET), where, BUCKET)
         try:
             files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(where).select("path").collect()
         except AnalysisException:
@@ -128,7 +139,7 @@ class Snapshots:
             if not only:
                 continue
             old = StructType.fromJson(json.loads(schemas[table]))
-            written = self._write(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in old.fields]), table, number, only)
+            written = self._write(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in old.fields]), table, number, only, self._large(table, base, only))
             for b in only:
                 folders[table].pop(b, None)
             folders[table] |= written

@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,37 @@ def test_a_killed_batch_of_sheets_runs_again(spark, tmp_path):
         assert rows(state, t) == sorted(map(str, whole[t].select(*state.read(t).columns).collect())), t
     assert sorted(r.doc_id for r in state.read("rechazos").collect()) == [1000, 1006]
     assert sorted((r.lote, r.validas, r.rechazadas) for r in state.read("ejecuciones").collect()) == [(0, 12, 1), (1, 12, 1)]
+
+
+def test_rows_of_large_tables_are_not_moved_to_their_buckets(spark, tmp_path):
+    """Each of eight tasks writes its own files; small tables have one file a bucket."""
+    from quadrille.sources import snapshots
+
+    state = Snapshots(spark, f"{tmp_path}/s", {"t": ["id"]}, 2)
+    many = lambda: spark.range(0, 400, 1, 8)
+    of = lambda commit: [f for b in (0, 1) for f in os.listdir(commit.folders["t"][b].replace("file:", "")) if f.startswith("part-")]
+    assert len(of(state.commit({"t": many()}))) == 16 and state.read("t").count() == 400
+    assert len(of(state.commit({"t": many()}, parts={"t": [0, 1]}))) == 2
+    limit, snapshots.LARGE = snapshots.LARGE, 1
+    try:
+        assert len(of(state.commit({"t": many()}, parts={"t": [0, 1]}))) == 16 and sorted(r.id for r in state.read("t").collect()) == list(range(400))
+    finally:
+        snapshots.LARGE = limit
+
+
+def test_nothing_shuffled_stays_behind_when_rows_are_written(spark, tmp_path):
+    """cut, laid and a commit leave no shuffle's files on the disks."""
+    from quadrille.sources.storage import cut, laid
+
+    # PySpark names no public way to ask where shuffles lie
+    base = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in base for root, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    before = shuffled()
+    df = lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("id")).agg(F.count("*").alias("n"))
+    assert cut(df()).count() == 7 and laid(df(), "t").count() == 7
+    Snapshots(spark, f"{tmp_path}/s", {"t": ["id"]}, 2).commit({"t": df()})
+    for _ in range(50):
+        if len({f for f in shuffled() - before if f.endswith(".data")}) <= 2:  # counts on the driver keep theirs
+            break
+        time.sleep(0.1)
+    assert len({f for f in shuffled() - before if f.endswith(".data")}) <= 2 and df().collect()
