@@ -72,3 +72,40 @@ def test_stored_conflicts_are_read_once_when_some_are_replaced(spark):
     out = M.sync_session_conflicts(stored, fresh, spark.createDataFrame([(1,)], "id long"))
     assert sorted((r.hash, r.estado) for r in out.collect()) == [("a", M.OPEN), ("c", "solucionado"), ("d", "solucionado"), ("n", M.OPEN)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [hash") == 2
+
+
+def test_rows_stay_where_they_are_when_some_ids_are_marked(spark):
+    """Ids below zero, of the last bit of a word, that come twice and that are null; a null value is among none. Many scattered ids meet by a shuffle, with the same marks."""
+    ids = [-65, -64, -1, 0, 63, 64, 2**40, 2**40, None]
+    rows = spark.createDataFrame([(i, i if i % 2 else None) for i in [*range(-70, 70), 2**40]] + [(None, 63)], "a long, b long")
+    want = sorted((str(r.a), str(r.b), r.a is not None and r.a in ids, r.b is not None and r.b in ids) for r in rows.collect())
+    marked = lambda: C.marked(rows, spark.createDataFrame([(i,) for i in ids], "id long"), _a=C.F.col("a"), _b=C.F.col("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, limit = marked(), C.WORDS
+        assert "BroadcastHashJoin" in plan(few) and "hashpartitioning" not in plan(few)
+        C.WORDS = 2
+        many = marked()
+        assert "hashpartitioning" in plan(many)
+        for out in (few, many):
+            assert sorted((str(r.a), str(r.b), r._a, r._b) for r in out.collect()) == want
+    finally:
+        C.WORDS = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_whole_conflicts_stay_where_they_are_when_some_are_replaced(spark):
+    """Only numbers of keys meet, and keys of which the numbers are equal."""
+    schema = "hash string, sesion_id long, sesion_2_id long, estado string"
+    stored = spark.createDataFrame([(f"k{i}", i, i + 1, "solucionado") for i in range(40)], schema)
+    fresh = spark.createDataFrame([(f"n{i}", 1, i) for i in range(40)] + [("k30", 1, 2), ("k0", 0, 1)], "hash string, sesion_id long, sesion_2_id long")
+    for threshold in ("-1", "10m"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = M.sync_session_conflicts(stored, fresh, spark.createDataFrame([(1,)], "id long"))
+            assert "hashpartitioning" not in plan(out) and "Window" not in plan(out)
+            assert sorted(r.hash for r in out.collect()) == sorted([f"k{i}" for i in range(2, 40)] + [f"n{i}" for i in range(40)] + ["k0"])
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
