@@ -207,6 +207,9 @@ def near_of_all(texts: DataFrame, keys: DataFrame, sets: bool, cutoff: float, fn
     ratios depend on the words in common and one side's length, and of the
     keys that have a subset of words the first and the shortest are enough.
     A text is open if a pair that isn't met may still reach the best score.
+
+    A text has hundreds of forms, and Spark takes them for as small as the text:
+    the joins are merges, as else all forms would go through the driver.
     """
 
     def cut_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,13 +242,13 @@ def near_of_all(texts: DataFrame, keys: DataFrame, sets: bool, cutoff: float, fn
 
     c, best = F.col, lambda df: df.where(F.col("score") >= cutoff).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("_s"), "candidate")).alias("_m")).select("key", F.col("_m.candidate").alias("candidate"), (-F.col("_m._s")).alias("score"))
     texts, keys = _spread(texts), _spread(keys)
-    mine = texts.mapInPandas(cut_texts, "key string, _la int, _v string, _i int")
+    mine = texts.mapInPandas(cut_texts, "key string, _la int, _v string, _i int").hint("merge")
     others = keys.mapInPandas(cut_keys, "candidate string, _lb int, _v string, _j int")
     like = 200.0 * (c("_la") - c("_i")) / F.greatest(c("_la") + c("_lb"), F.lit(1))
     if sets:
         b = F.length("_b")
         with_words = keys.mapInPandas(subsets("candidate"), "candidate string, _l int, _b string").groupBy("_b").agg(F.min("candidate").alias("_first"), F.min(F.struct("_l", "candidate")).alias("_short"))
-        met = texts.mapInPandas(subsets("key"), "key string, _l int, _b string").join(with_words, "_b")
+        met = texts.mapInPandas(subsets("key"), "key string, _l int, _b string").hint("merge").join(with_words, "_b")
         shared = F.explode(F.array(F.struct(c("_first").alias("candidate"), (200.0 * b / (b + c("_l"))).alias("score")), F.struct(c("_short.candidate").alias("candidate"), (200.0 * b / (b + c("_short._l"))).alias("score"))))
         words = cut(best(met.select("key", shared.alias("_c")).select("key", "_c.*")))
         pairs = mine.join(others, "_v").groupBy("key", "candidate").agg(F.max(like).alias("_most")).join(words.select("key", c("score").alias("_top")), "key", "left")

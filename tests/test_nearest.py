@@ -1,5 +1,6 @@
 """The best of all by equality joins: it equals the plain search, and what settles a text doesn't grow with the keys."""
 
+import itertools
 import random
 
 import pytest
@@ -34,3 +35,22 @@ def test_numbered_names_are_settled_without_the_grid(spark, monkeypatch):
     plans = [f"GRADO EN PLAN {i}" for i in range(3_000)]
     got = M.best_of_all(frame([f"PLAN {i}" for i in range(0, 3_000, 10)], "key"), frame(plans, "candidate"), cutoff=85).collect()
     assert {r.candidate for r in got} == {f"GRADO EN PLAN {i}" for i in range(0, 3_000, 10)} and not met
+
+
+@pytest.mark.parametrize("fn", [M.token_set_ratio, M.token_sort_ratio])
+def test_forms_of_texts_do_not_go_through_the_driver(spark, monkeypatch, fn):
+    """A few texts have many forms, which Spark takes for as small as the texts."""
+    ran, real = [], M.cut
+
+    def cut(df):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return real(df)
+
+    monkeypatch.setattr(M, "cut", cut)
+    texts = spark.createDataFrame([(f"MATERIA {i} FISICA",) for i in range(40)], "key string")
+    keys = spark.createDataFrame([(f"MATERIA {i} FISICAS",) for i in range(40)], "candidate string")
+    assert M.near_of_all(texts, keys, fn is M.token_set_ratio, 65, fn).count() == 40
+    below = lambda lines, k: [x for x in itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > len(lines[k]) - len(lines[k].lstrip(" :+-")), lines[k + 1 :])]
+    sent = [x for lines in ran for k, line in enumerate(lines) if "BroadcastExchange" in line for x in below(lines, k) if "MapInPandas" in x]
+    assert any("MapInPandas" in x for lines in ran for x in lines) and not sent
